@@ -84,7 +84,7 @@ def query(
     sql: str | None,
     doubles: Sequence[str] = (),
     longs: Sequence[str] = (),
-    digits: int = 6,
+    digits: int = 9,
 ):
     """Register a query. Doubles are rounded and whole numbers widened on both sides before they are compared."""
 

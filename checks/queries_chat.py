@@ -277,9 +277,9 @@ def runs_write_read(t: Tables) -> DataFrame:
 
 @query(
     "metric_log_write_read",
-    "SELECT run, metric, step, epoch_us(ts) AS ts_us, value FROM @points",
+    "SELECT run, metric, step, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, value FROM @points",
     doubles=["value"],
-    longs=["ts_us", "step"],
+    longs=["step"],
 )
 def metric_log_write_read(t: Tables) -> DataFrame:
     """Points written as log lines, a folder per run, and read back in long form."""
@@ -289,4 +289,4 @@ def metric_log_write_read(t: Tables) -> DataFrame:
         metric_log.append_log(t.points.where(F.col("run") == run), f"{path}/{run}")
         part = metric_log.read_log(t.spark, f"{path}/{run}", run)
         merged = part if merged is None else merged.unionByName(part)
-    return merged.select("run", "metric", "step", F.unix_micros("ts").alias("ts_us"), "value")
+    return merged.select("run", "metric", "step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"), "value")

@@ -221,7 +221,7 @@ def bootstrap_intervals(t: Tables) -> DataFrame:
     return bootstrap.confidence_intervals(_marks(t))
 
 
-@query("bootstrap_attached", f"SELECT dataset, metric, n, round(lower, 4) AS lower, round(upper, 4) AS upper, round(p_value, 4) AS p_value FROM ({_INTERVALS}) WHERE n >= 10", doubles=["lower", "upper", "p_value"], longs=["n"])
+@query("bootstrap_attached", f"SELECT dataset, metric, n, CAST(printf('%.4f', CAST(lower AS DOUBLE)) AS DOUBLE) AS lower, CAST(printf('%.4f', CAST(upper AS DOUBLE)) AS DOUBLE) AS upper, CAST(printf('%.4f', CAST(p_value AS DOUBLE)) AS DOUBLE) AS p_value FROM ({_INTERVALS}) WHERE n >= 10", doubles=["lower", "upper", "p_value"], longs=["n"])
 def bootstrap_attached(t: Tables) -> DataFrame:
     return bootstrap.attached_intervals(bootstrap.confidence_intervals(_marks(t)))
 
@@ -580,9 +580,10 @@ def weakest_advice(t: Tables) -> DataFrame:
 
 # -- weights -----------------------------------------------------------------------------------------------
 
-_SCORES = f"""SELECT dataset, coalesce(accuracy, step_completeness) AS score, total AS n_samples FROM @run_table
-   WHERE run_id = {_NEWEST} AND dataset NOT IN ('ds8', 'ds9') AND coalesce(accuracy, step_completeness) IS NOT NULL
-   UNION ALL SELECT * FROM (VALUES ('ds8', 0.25, 100), ('extra', 0.9, 100))"""
+_SCORED = f"""SELECT dataset, coalesce(accuracy, step_completeness) AS score, total AS n_samples FROM @run_table
+   WHERE run_id = {_NEWEST} AND dataset NOT IN ('ds8', 'ds9') AND coalesce(accuracy, step_completeness) IS NOT NULL"""
+_SCORES = f"""{_SCORED} UNION ALL SELECT * FROM (VALUES ('ds8', 0.25, 100), ('ds1', 0.1, 100), ('extra', 0.9, 100)) l(dataset, score, n)
+   WHERE dataset NOT IN (SELECT dataset FROM ({_SCORED}))"""
 
 
 def _scores(t: Tables) -> DataFrame:
@@ -604,7 +605,7 @@ _V2 = "least(greatest((sqrt(1 - score) + 0.5) * least(1.0, log10(n_samples + 10)
 
 def _weights(formula: str) -> str:
     return f"""SELECT dataset, path, path_exists, score, n_samples, CASE WHEN path_exists THEN w END AS raw_weight,
-       CASE WHEN path_exists THEN round(w, 3) ELSE 0 END AS weight,
+       CASE WHEN path_exists THEN CAST(printf('%.3f', w) AS DOUBLE) ELSE 0 END AS weight,
        CASE WHEN path_exists THEN CASE WHEN w > 1.8 THEN 'focus' WHEN w > 1.3 THEN 'more' WHEN w < 0.7 THEN 'less' ELSE 'keep' END END AS hint
        FROM (SELECT *, CAST({formula} AS DOUBLE) AS w FROM (SELECT r.dataset, path, path_exists, coalesce(score, 0.5) AS score, coalesce(n_samples, 100) AS n_samples
        FROM @registry r LEFT JOIN ({_SCORES}) s USING (dataset)))"""
@@ -659,7 +660,7 @@ def top_weights(t: Tables) -> DataFrame:
 
 @query(
     "feedback_weights",
-    f"""SELECT dataset, CASE WHEN path_exists THEN round({_V2}, 3) ELSE 0 END AS weight FROM (SELECT r.dataset, path_exists, coalesce(score, 0.5) AS score,
+    f"""SELECT dataset, CASE WHEN path_exists THEN CAST(printf('%.3f', CAST({_V2} AS DOUBLE)) AS DOUBLE) ELSE 0 END AS weight FROM (SELECT r.dataset, path_exists, coalesce(score, 0.5) AS score,
         coalesce(n_samples, 100) AS n_samples FROM @registry r LEFT JOIN (SELECT dataset, coalesce(accuracy, step_completeness) AS score, total AS n_samples
         FROM @run_table WHERE run_id = {_NEWEST}) s USING (dataset))""",
     doubles=["weight"],

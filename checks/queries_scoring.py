@@ -252,9 +252,9 @@ def answer_format(t: Tables) -> DataFrame:
 
 @query(
     "hybrid_reward",
-    f"""WITH rule AS ({_reward('responses', duck.fluency)}),
+    f"""WITH rule AS (SELECT sample_id, reward AS rule FROM ({_reward('responses', duck.fluency)})),
         judge AS (SELECT sample_id, {_TOTAL} AS judge FROM ({_JUDGED}))
-        SELECT sample_id, 0.7 * judge + 0.2 * reward + 0.1 * {_FORMAT} AS hybrid, 0.49 * judge + 0.2 * reward + 0.1 * {_FORMAT} AS hybrid_scaled_twice
+        SELECT sample_id, 0.7 * judge + 0.2 * rule + 0.1 * {_FORMAT} AS hybrid, 0.49 * judge + 0.2 * rule + 0.1 * {_FORMAT} AS hybrid_scaled_twice
         FROM rule JOIN judge USING (sample_id) JOIN @responses USING (sample_id)""",
     doubles=["hybrid", "hybrid_scaled_twice"],
     longs=["sample_id"],
@@ -289,7 +289,7 @@ def wrong_samples(t: Tables) -> DataFrame:
     return errors.wrong_samples(t.responses)
 
 
-_DISTRIBUTION = f"""SELECT error_type, count(*) AS count, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS ratio
+_DISTRIBUTION = f"""SELECT error_type, count(*) AS count, CAST(printf('%.4f', count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS DOUBLE) AS ratio
    FROM ({_WRONG}) GROUP BY error_type"""
 
 

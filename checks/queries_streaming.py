@@ -98,8 +98,9 @@ def stream_throughput(t: Tables) -> DataFrame:
     longs=["step", "eta"],
 )
 def eta_minutes(t: Tables) -> DataFrame:
-    ends = t.points.agg(F.min(F.unix_micros("ts")), F.max("step")).first()
-    spent = (F.unix_micros("ts") - F.lit(ends[0])) / 1000000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = t.points.agg(F.min(micros), F.max("step")).first()
+    spent = (micros - F.lit(ends[0])) / 1000000
     eta = metrics.eta_minutes(spent, F.col("step"), F.lit(10), F.lit(ends[1]))
     return t.points.where("step >= 10").select("step", eta.alias("eta"))
 

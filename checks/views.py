@@ -105,8 +105,8 @@ VIEWS = {
           CASE WHEN o_totalprice > 60000 + 23000 * (o_custkey % 19) THEN 1 ELSE 0 END AS accuracy,
           CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END AS step_completeness,
           CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS scaffolding_rate
-        FROM (SELECT *, yr * 12 + mo AS run_no FROM (SELECT *, CAST(year(o_orderdate) AS INT) AS yr,
-          CAST(month(o_orderdate) AS INT) AS mo FROM @orders))
+        FROM (SELECT *, yr * 12 + mo AS run_no FROM (SELECT *, CAST(year(o_orderdate - INTERVAL 1 DAY) AS INT) AS yr,
+          CAST(month(o_orderdate - INTERVAL 1 DAY) AS INT) AS mo FROM @orders))
         WHERE NOT ((yr * 12 + mo) % 5 = 0 AND o_custkey % 19 = 3)""",
     # One row per run and dataset; one dataset failed in every third run.
     "run_table": """

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from edulake.functions.lexicon import NUMBER_WORDS
+from edulake.functions.numeric import round_exact
 
 #: Unicode white space, as characters for trimming and as a class for patterns.
 SPACE_CHARS = (
@@ -137,12 +138,17 @@ def truthy(value: Column) -> Column:
     return value.isNotNull() & (value != "")
 
 
+def fixed(value: Column, digits: int, flags: str = "") -> Column:
+    """The value with so many decimals."""
+    return F.format_string(f"%{flags}.{digits}f", round_exact(value, digits))
+
+
 def percent(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit("N/A"))
+    return F.coalesce(F.when(value.isNotNull(), F.concat(fixed(value * 100, 1), F.lit("%"))), F.lit("N/A"))
 
 
 def signed(value: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%+.{digits}f", value)
+    return fixed(value, digits, "+")
 
 
 def bar(value: Column, width: int = 20) -> Column:

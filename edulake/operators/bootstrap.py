@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edulake.functions.hashing import hash52
+from edulake.functions.numeric import round_exact
 from edulake.schema import METRICS
 from edulake.session import settle
 
@@ -145,7 +146,7 @@ def confidence_intervals(
 
 def attached_intervals(intervals: DataFrame) -> DataFrame:
     """The intervals a run record carries: groups of at least ten rows, four decimals."""
-    rounded = [F.round(c, 4).alias(c) for c in ("lower", "upper", "p_value")]
+    rounded = [round_exact(F.col(c), 4).alias(c) for c in ("lower", "upper", "p_value")]
     others = [c for c in intervals.columns if c not in ("lower", "upper", "p_value")]
     return intervals.where(F.col("n") >= MIN_ATTACHED).select(*others, *rounded)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edulake.functions import text as tx
 from edulake.functions.lexicon import CONCLUSION_PATTERN, ERROR_ADVICE, ERROR_OTHER, ERROR_RULES
+from edulake.functions.numeric import round_exact
 
 
 def error_type(response: Column) -> Column:
@@ -40,7 +41,7 @@ def error_distribution(wrong: DataFrame) -> DataFrame:
     counts = wrong.groupBy("error_type").agg(F.count("*").alias("count"))
     # At most one row per error class is left here, so one partition is enough for the total.
     total = F.sum("count").over(Window.partitionBy())
-    return counts.select("error_type", "count", F.round(F.col("count") / total, 4).alias("ratio"))
+    return counts.select("error_type", "count", round_exact(F.col("count") / total, 4).alias("ratio"))
 
 
 def recommendations(distribution: DataFrame) -> DataFrame:

@@ -55,13 +55,12 @@ def weakest_datasets(run: DataFrame, n: int = 5) -> DataFrame:
 
 def interval_table(runs: DataFrame) -> DataFrame:
     """One row per dataset and metric of a run table whose rows hold a map of intervals."""
+    bounds = [tx.fixed(F.coalesce(c, F.lit(0.0)), 3) for c in ("ci.lower", "ci.upper")]
     return runs.select("run_id", "dataset", F.explode("confidence_intervals").alias("metric", "ci")).select(
         "run_id",
         "dataset",
         "metric",
-        F.format_string("[%.3f, %.3f]", F.coalesce("ci.lower", F.lit(0.0)), F.coalesce("ci.upper", F.lit(0.0))).alias(
-            "interval"
-        ),
+        F.concat(F.lit("["), bounds[0], F.lit(", "), bounds[1], F.lit("]")).alias("interval"),
     )
 
 
@@ -70,6 +69,6 @@ def report_name(headers: DataFrame, extension: str = "md") -> DataFrame:
     stamp = F.date_format(F.to_timestamp("ts", "yyyyMMdd_HHmmss"), "yyyyMMdd_HHmm")
     plain = F.concat_ws("_", "stage", stamp)
     name = F.when(
-        F.col("macro_accuracy").isNotNull(), F.concat(plain, F.format_string("_acc%.4f", F.col("macro_accuracy")))
+        F.col("macro_accuracy").isNotNull(), F.concat(plain, F.lit("_acc"), tx.fixed(F.col("macro_accuracy"), 4))
     ).otherwise(plain)
     return headers.select("run_id", F.concat(name, F.lit("." + extension)).alias("report_name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edulake.functions.numeric import clamp
+from edulake.functions.numeric import clamp, round_exact
 
 DEFAULT_SCORE = 0.5
 DEFAULT_SAMPLES = 100
@@ -73,7 +73,7 @@ def weight_table(
         weight = weight_v2(F.col("score"), F.col("n_samples"), low, high)
     return joined.withColumn("raw_weight", F.when(F.col("path_exists"), weight)).select(
         "*",
-        F.coalesce(F.round("raw_weight", 3), F.lit(0.0)).alias("weight"),
+        F.coalesce(round_exact(F.col("raw_weight"), 3), F.lit(0.0)).alias("weight"),
         F.when(F.col("path_exists"), weight_hint(F.col("raw_weight"))).alias("hint"),
     )
 

@@ -79,7 +79,7 @@ def stream_trend(points: DataFrame, n: int = TREND_POINTS) -> DataFrame:
 
     Every task first cuts its rows to n per metric, so a busy metric does not pass through one task whole.
     """
-    slim = points.select("run", "metric", "step", "ts", "value")
+    slim = points.select("run", "metric", "step", F.col("ts").cast("timestamp").alias("ts"), "value")
     reduced = slim.mapInPandas(
         _newest_in_task(n), "run string, metric string, step long, ts timestamp, value double, seen long"
     )
@@ -115,12 +115,14 @@ def stream_trend(points: DataFrame, n: int = TREND_POINTS) -> DataFrame:
 
 def elapsed(points: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     """Seconds from the first to the last point."""
-    seconds = F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = F.max(micros) - F.min(micros)
     return points.groupBy(*by).agg((seconds / 1e6).alias("elapsed_seconds"))
 
 
 def throughput(points: DataFrame, every: str = "1 minute", seconds: float = 60.0, late: str | None = None) -> DataFrame:
     """Points per second in tumbling windows. A stream needs ``late``, the time late points are waited for."""
+    points = points.withColumn("ts", F.col("ts").cast("timestamp"))
     if late is not None:
         points = points.withWatermark("ts", late)
     return (
