@@ -36,6 +36,14 @@ def unit(*parts: str) -> str:
     return f"({hash52(*parts)} / CAST({1 << 52} AS DOUBLE))"
 
 
+def draw_number(seed: str, j: str) -> str:
+    mask = (1 << 31) - 1
+    a = f"(({seed} + {j} * {0x1E3779B1}) & {mask})"
+    b = f"((xor({a}, {a} >> 15) * {0x2C1B3C6D}) & {mask})"
+    c = f"((xor({b}, {b} >> 12) * {0x297A2D39}) & {mask})"
+    return f"xor({c}, {c} >> 15)"
+
+
 def normalize(x: str, numbers=lx.NUMBER_WORDS) -> str:
     for word, digits in numbers:
         x = f"replace({x}, {lit(word)}, {lit(digits)})"

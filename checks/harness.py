@@ -10,8 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import DUCKDB_VIEWS, VIEWS
-from edulake.session import ensure_checkpoint_dir
+from checks.views import DUCKDB_VIEWS, SPREAD, STORED, VIEWS
+from edulake.session import ensure_checkpoint_dir, settle, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -40,9 +40,11 @@ class Tables:
             elif name in VIEWS:
                 sql = VIEWS[name].replace("$list(", "array(")
                 used = set(_NAME.findall(sql))
-                self._cache[name] = self.spark.sql(
-                    _NAME.sub(r"{\1}", sql), **{u: getattr(self, u) for u in used}
-                )
+                inputs = {u: getattr(self, u) for u in used}
+                if name in SPREAD:
+                    inputs = {u: spread(df) for u, df in inputs.items()}
+                view = self.spark.sql(_NAME.sub(r"{\1}", sql), **inputs)
+                self._cache[name] = settle(view) if name in STORED else view
             else:
                 raise AttributeError(name)
         return self._cache[name]

@@ -196,8 +196,9 @@ def _means(scores: str, by: str, replicates: int = 1000) -> str:
     return f"""scores AS ({scores}),
       positions AS (SELECT {by}, value, row_number() OVER (PARTITION BY {by} ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS n FROM scores),
       sizes AS (SELECT {by}, count(*) AS n FROM scores GROUP BY {by}),
-      draws AS (SELECT {by}, n, b, j FROM sizes, range({replicates}) AS r(b), unnest(range(n)) AS u(j)),
-      picks AS (SELECT {by}, n, b, {duck.hash52(by, 'b', 'j')} % n AS pos FROM draws),
+      seeds AS (SELECT {by}, n, b, {duck.hash52(by, 'b')} & {(1 << 31) - 1} AS seed FROM sizes, range({replicates}) AS r(b)),
+      draws AS (SELECT {by}, n, b, seed, unnest(range(n)) AS j FROM seeds),
+      picks AS (SELECT {by}, n, b, {duck.draw_number('seed', 'j')} % n AS pos FROM draws),
       means AS (SELECT {', '.join('k.' + c for c in by.split(', '))}, k.n, k.b, avg(value) AS mean FROM picks k
         JOIN positions p ON {' AND '.join(f'k.{c} = p.{c}' for c in by.split(', '))} AND k.pos = p.pos GROUP BY ALL)"""
 
@@ -369,7 +370,7 @@ def regression_verdict(t: Tables) -> DataFrame:
 
 _LADDER = """CASE WHEN sft_accuracy IS NULL THEN 'good' WHEN grpo_accuracy < sft_accuracy * 0.95 THEN 'severe'
    WHEN grpo_accuracy < sft_accuracy * 1.02 AND grpo_accuracy < sft_accuracy THEN 'fallback_slight' WHEN grpo_accuracy < sft_accuracy * 1.02 THEN 'fallback'
-   WHEN grpo_accuracy < sft_accuracy * 1.05 THEN 'combined' ELSE 'good' END AS verdict, (grpo_accuracy - sft_accuracy) / sft_accuracy AS change"""
+   WHEN grpo_accuracy < sft_accuracy * 1.05 THEN 'combined' ELSE 'good' END AS verdict, (grpo_accuracy - sft_accuracy) / nullif(sft_accuracy, 0) AS change"""
 
 
 @query(

@@ -117,7 +117,7 @@ def tokens_responses(t: Tables) -> DataFrame:
 def tfidf_documents(t: Tables) -> DataFrame:
     r, g = both()
     return pairs(t).select(
-        "sample_id", scoring.tfidf_cosine(tx.tokens(tx.normalize_text(g)), tx.tokens(tx.normalize_text(r))).alias("semantic")
+        "sample_id", scoring.tfidf_cosine(tx.normal_tokens(g), tx.normal_tokens(r)).alias("semantic")
     )
 
 

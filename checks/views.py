@@ -147,3 +147,9 @@ DUCKDB_VIEWS = {
           lambda t: t.content IS NOT NULL) AS turns
         FROM @sample_parts""",
 }
+
+#: Views that cut long texts up; a single small input file is spread over the cores first.
+SPREAD = {"qa_wide", "sample_parts"}
+
+#: Run tables are stored when a run ends, and read many times.
+STORED = {"run_table"}

@@ -5,7 +5,8 @@ Patterns spell out the Unicode classes, because the JVM's short classes cover AS
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ SPACE = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
 NON_WORD = r"[^\p{L}\p{N}_\t-\r\x1c-\x1f \x85\p{Z}]"
 HAN = "[\u4e00-\u9fff]"
 NUMBER = r"\p{Nd}+\.?\p{Nd}*"
+_HAN_WORD = re.compile("[\u4e00-\u9fff]+")
 
 
 def strip(text: Column) -> Column:
@@ -54,10 +56,8 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def matches_any(text: Column, patterns: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for pattern in patterns:
-        found = found | matches(text, pattern)
-    return found
+    """True when at least one pattern occurs: one pass over the text with all patterns as alternatives."""
+    return matches(text, "|".join(f"(?:{pattern})" for pattern in patterns))
 
 
 def count_matching(text: Column, patterns: Iterable[str]) -> Column:
@@ -82,26 +82,66 @@ def count_chars(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it as often as ``body`` likes."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def number_words(text: Column, numbers: Sequence[tuple[str, str]] = NUMBER_WORDS) -> Column:
+    """Write number words as digits; pairs are applied in order."""
+    mapped = text
+    for word, digits in numbers:
+        mapped = F.replace(mapped, F.lit(word), F.lit(digits))
+    if all(_HAN_WORD.fullmatch(word) for word, _ in numbers):
+        # Texts without Han characters hold none of the words.
+        return F.when(text.rlike(HAN), mapped).otherwise(text)
+    return mapped
+
+
 def normalize_text(text: Column, numbers: Sequence[tuple[str, str]] = NUMBER_WORDS) -> Column:
     """Write number words as digits, collapse white space, blank out punctuation, strip."""
-    for word, digits in numbers:
-        text = F.replace(text, F.lit(word), F.lit(digits))
-    text = F.regexp_replace(text, SPACE + "+", " ")
+    text = F.regexp_replace(number_words(text, numbers), SPACE + "+", " ")
     return strip(F.regexp_replace(text, NON_WORD, " "))
 
 
-def keywords(text: Column) -> Column:
+def latin_runs(text: Column) -> Column:
+    """Lower-case Latin runs, with repeats."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
+def keywords(text: Column, latin: Column | None = None) -> Column:
     """Distinct Han runs and lower-case Latin runs of two characters or more."""
     han = F.regexp_extract_all(text, F.lit(HAN + "{2,}"), F.lit(0))
-    latin = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    return F.array_distinct(F.concat(han, latin))
+    latin = latin_runs(text) if latin is None else latin
+    return F.array_distinct(F.concat(han, F.filter(latin, lambda w: F.length(w) > 1)))
 
 
 def tokens(text: Column) -> Column:
     """Single Han characters, lower-case Latin runs and numbers, with repeats."""
     han = F.regexp_extract_all(text, F.lit(HAN), F.lit(0))
-    latin = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    return F.concat(han, latin, F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+    return F.concat(han, latin_runs(text), F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+
+
+def normal_tokens(
+    text: Column, numbers: Sequence[tuple[str, str]] = NUMBER_WORDS, latin: Column | None = None
+) -> Column:
+    """The tokens of the normalised text, without building that text.
+
+    Normalising turns all but letters, digits and underscores into spaces. That changes no Han character and no
+    Latin run, and of numbers it only cuts the decimal point. ``latin`` may hold the text's Latin runs when they
+    are known already.
+    """
+    mapped = number_words(text, numbers)
+    if latin is None or any(re.search("[A-Za-z]", word + digits) for word, digits in numbers):
+        latin = latin_runs(mapped)
+    return let(
+        mapped,
+        lambda m: F.concat(
+            F.regexp_extract_all(m, F.lit(HAN), F.lit(0)),
+            latin,
+            F.regexp_extract_all(m, F.lit(r"\p{Nd}+"), F.lit(0)),
+        ),
+    )
 
 
 def numbers(text: Column) -> Column:

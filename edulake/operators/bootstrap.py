@@ -26,24 +26,52 @@ EXACT_ROWS = 2000
 MIN_ROWS = 5
 MIN_ATTACHED = 10
 _OPEN_GROUPS = 512
+_CHUNK = 50
+
+
+def _draw_rows(dealt: DataFrame) -> DataFrame:
+    """One row per draw with a row number ``pick`` below n, mixed from the replicate's ``seed`` and the draw.
+
+    Plain integer columns, so that the draws run in generated code; all products fit in 63 bits.
+    """
+    mask = F.lit((1 << 31) - 1).cast("bigint")
+    steps = [
+        ("x", (F.col("seed") + F.col("j") * F.lit(0x1E3779B1)).bitwiseAND(mask)),
+        ("x", (F.col("x").bitwiseXOR(F.shiftright("x", 15)) * F.lit(0x2C1B3C6D)).bitwiseAND(mask)),
+        ("x", (F.col("x").bitwiseXOR(F.shiftright("x", 12)) * F.lit(0x297A2D39)).bitwiseAND(mask)),
+        ("pick", (F.col("x").bitwiseXOR(F.shiftright("x", 15)) % F.col("n")).cast("int")),
+    ]
+    draws = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    for name, step in steps:
+        draws = draws.withColumn(name, step)
+    return draws
 
 
 def _means_by_hash(hist: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:
-    """Resample means of small groups: draw j of replicate b takes row ``hash(group|b|j) mod n``."""
+    """Resample means of small groups, draw by draw.
+
+    The replicates of a group are dealt out in chunks, so that a few groups still keep every core busy. Draws are
+    added up where they are made; one row per task, group and replicate is shuffled.
+    """
     rows = hist.groupBy(*by).agg(
         F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("value", "cnt"))).alias("bins")
     )
     values = F.flatten(F.transform("bins", lambda b: F.array_repeat(b["value"], b["cnt"].cast("int"))))
-    drawn = rows.select(
-        *by, "n", values.alias("scores"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
+    chunks = F.sequence(F.lit(0), F.lit((replicates - 1) // _CHUNK))
+    first = F.col("chunk") * _CHUNK
+    dealt = (
+        rows.select(*by, "n", values.alias("scores"), F.explode(chunks).alias("chunk"))
+        .repartition(*by, "chunk")
+        .select(*by, "n", "scores", F.explode(F.sequence(first, first + (_CHUNK - 1))).alias("b"))
+        .where(F.col("b") < replicates)
+        .withColumn("seed", hash52(*[F.col(c) for c in by], F.col("b")).bitwiseAND(F.lit((1 << 31) - 1)))
     )
-    tag = F.concat_ws("|", *by, F.col("b"))
-    total = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1),
-        F.lit(0.0),
-        lambda s, j: s + F.get("scores", F.pmod(hash52(tag, j), F.col("n")).cast("int")),
+    drawn = _draw_rows(dealt).withColumn("value", F.get("scores", F.col("pick")))
+    return (
+        drawn.groupBy(*by, "b")
+        .agg(F.max("n").alias("n"), F.sum("value").alias("total"))
+        .select(*by, "n", "b", (F.col("total") / F.col("n")).alias("mean"))
     )
-    return drawn.select(*by, "n", "b", (total / F.col("n")).alias("mean"))
 
 
 def _means_by_poisson(hist: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:

@@ -67,60 +67,61 @@ def numeric_match(response: Column, answer: Column, tolerance: float = 1e-3) ->
 def tfidf_cosine(left: Column, right: Column) -> Column:
     """Cosine of the TF-IDF vectors of two token lists of one row.
 
-    Both lists are sorted together once and folded run by run, so the cost is that of one sort of the row's
-    own tokens and nothing leaves the row.
+    Both lists are sorted together once, by token and side, and folded: the cost is one sort of the row's own
+    tokens, and nothing leaves the row. The fold keeps how often the current token occurred on either side, the
+    squared lengths ``ll`` and ``rr`` with weight 1, and the parts ``sl``, ``sr`` and ``dot`` of shared tokens,
+    whose weight is applied at the end. Squares grow by 2n + 1 when a count grows from n to n + 1.
     """
-    tagged = F.array_sort(
-        F.concat(
-            F.transform(left, lambda t: F.struct(t.alias("token"), F.lit(0).alias("side"))),
-            F.transform(right, lambda t: F.struct(t.alias("token"), F.lit(1).alias("side"))),
-        )
-    )
-    start = F.struct(
-        F.lit("").alias("token"),
-        F.lit(0.0).alias("l"),
-        F.lit(0.0).alias("r"),
-        F.lit(0.0).alias("dot"),
-        F.lit(0.0).alias("ll"),
-        F.lit(0.0).alias("rr"),
-    )
 
-    def closed(run: Column) -> tuple[Column, Column, Column]:
-        weight = F.when((run.l > 0) & (run.r > 0), F.lit(IDF_SHARED * IDF_SHARED)).otherwise(F.lit(1.0))
-        return run.dot + run.l * run.r * weight, run.ll + run.l * run.l * weight, run.rr + run.r * run.r * weight
+    def tagged(tokens: Column, side: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(side).alias("side")))
+
+    names = ("token", "l", "r", "ll", "rr", "dot", "sl", "sr")
+
+    def state(*values: Column) -> Column:
+        return F.struct(*[value.alias(name) for name, value in zip(names, values)])
+
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
     def step(run: Column, item: Column) -> Column:
-        is_left = F.when(item.side == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        dot, ll, rr = closed(run)
-        same = F.struct(
-            run.token.alias("token"),
-            (run.l + is_left).alias("l"),
-            (run.r + 1.0 - is_left).alias("r"),
-            run.dot.alias("dot"),
-            run.ll.alias("ll"),
-            run.rr.alias("rr"),
+        shared = (run.dot, run.sl, run.sr)
+        new_left = state(item.token, one, zero, run.ll + one, run.rr, *shared)
+        new_right = state(item.token, zero, one, run.ll, run.rr + one, *shared)
+        more_left = state(run.token, run.l + one, run.r, run.ll + run.l + run.l + one, run.rr, *shared)
+        # Left occurrences come first, so the first right one makes the token a shared one.
+        growth = run.r + run.r + one
+        more_right = state(
+            run.token,
+            run.l,
+            run.r + one,
+            run.ll,
+            run.rr + growth,
+            run.dot + run.l,
+            F.when(run.r == 0, run.sl + run.l * run.l).otherwise(run.sl),
+            F.when(run.l > 0, run.sr + growth).otherwise(run.sr),
         )
-        new = F.struct(
-            item.token.alias("token"),
-            is_left.alias("l"),
-            (1.0 - is_left).alias("r"),
-            dot.alias("dot"),
-            ll.alias("ll"),
-            rr.alias("rr"),
-        )
-        return F.when(run.token == item.token, same).otherwise(new)
+        is_left = item.side == 0
+        return F.when(
+            run.token == item.token, F.when(is_left, more_left).otherwise(more_right)
+        ).otherwise(F.when(is_left, new_left).otherwise(new_right))
 
     def finish(run: Column) -> Column:
-        dot, ll, rr = closed(run)
-        return F.when((ll > 0) & (rr > 0), dot / (F.sqrt(ll) * F.sqrt(rr))).otherwise(F.lit(0.0))
+        weight = F.lit(IDF_SHARED * IDF_SHARED)
+        ll = run.ll - run.sl + weight * run.sl
+        rr = run.rr - run.sr + weight * run.sr
+        return F.when((ll > 0) & (rr > 0), weight * run.dot / (F.sqrt(ll) * F.sqrt(rr))).otherwise(F.lit(0.0))
 
-    return F.aggregate(tagged, start, step, finish)
+    start = state(F.lit(""), zero, zero, zero, zero, zero, zero, zero)
+    return F.aggregate(F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))), start, step, finish)
 
 
 def keyword_recall(response: Column, answer: Column) -> Column:
     """Share of the answer's keywords that the response holds; 0.5 when the answer has none."""
-    wanted = tx.keywords(answer)
-    shared = F.size(F.array_intersect(wanted, tx.keywords(response)))
+    return _recall(tx.keywords(response), tx.keywords(answer))
+
+
+def _recall(found: Column, wanted: Column) -> Column:
+    shared = F.size(F.array_intersect(wanted, found))
     return F.when(F.size(wanted) == 0, F.lit(0.5)).otherwise(shared / F.greatest(F.size(wanted), F.lit(1)))
 
 
@@ -156,11 +157,29 @@ def _number_match_sets(found: Column, wanted: Column, tolerance: float) -> Colum
 
 
 def accuracy_score(response: Column, answer: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    semantic = tfidf_cosine(
-        tx.tokens(tx.normalize_text(answer, lexicon.numbers)), tx.tokens(tx.normalize_text(response, lexicon.numbers))
-    )
-    total = 0.4 * keyword_recall(response, answer) + 0.4 * semantic + 0.2 * number_match(response, answer)
-    return F.when(F.coalesce(answer, F.lit("")) == "", F.lit(0.0)).otherwise(F.least(total, F.lit(1.0)))
+    """Keyword recall, similarity of the normalised texts and number agreement in one score."""
+
+    def parts(text: Column) -> Column:
+        return tx.let(
+            tx.latin_runs(text),
+            lambda latin: F.struct(
+                tx.keywords(text, latin).alias("keywords"),
+                tx.normal_tokens(text, lexicon.numbers, latin).alias("tokens"),
+                tx.numbers(text).alias("numbers"),
+            ),
+        )
+
+    def total(sides: Column) -> Column:
+        found, wanted = sides["response"], sides["answer"]
+        score = (
+            0.4 * _recall(found["keywords"], wanted["keywords"])
+            + 0.4 * tfidf_cosine(wanted["tokens"], found["tokens"])
+            + 0.2 * _number_match_sets(found["numbers"], wanted["numbers"], 0.05)
+        )
+        return F.least(score, F.lit(1.0))
+
+    both = F.struct(parts(response).alias("response"), parts(answer).alias("answer"))
+    return F.when(F.coalesce(answer, F.lit("")) == "", F.lit(0.0)).otherwise(tx.let(both, total))
 
 
 def completeness_score(response: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
@@ -169,13 +188,17 @@ def completeness_score(response: Column, lexicon: Lexicon = DEFAULT_LEXICON) ->
 
 
 def fluency_score(response: Column) -> Column:
-    """Share of distinct character pairs."""
-    chars = F.split(response, "")
-    pairs = F.zip_with(
-        chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b)
+    """Share of distinct character pairs. A pair is the number made of its two code points."""
+    codes = F.transform(F.split(response, ""), lambda c: F.ascii(c).cast("bigint"))
+    pairs = tx.let(
+        codes,
+        lambda c: F.zip_with(
+            F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))),
+            F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))),
+            lambda a, b: F.shiftleft(a, 21) + b,
+        ),
     )
-    # The last character has no partner; its pair is null and counts in neither number.
-    distinct = F.size(F.array_compact(F.array_distinct(pairs)))
+    distinct = F.size(F.array_distinct(pairs))
     return F.when(F.length(response) < 2, F.lit(0.0)).otherwise(distinct / (F.length(response) - 1))
 
 
