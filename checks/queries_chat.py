@@ -224,17 +224,17 @@ def sample_preview(t: Tables) -> DataFrame:
 @query(
     "samples_write_read",
     """SELECT dataset, count(*) AS rows, count(*) FILTER (WHERE sample_id % 7 <> 0) AS with_image FROM @samples
-       WHERE dataset IN ('src1', 'src2', 'src3') GROUP BY dataset""",
+       GROUP BY dataset""",
     longs=["rows", "with_image"],
 )
 def samples_write_read(t: Tables) -> DataFrame:
     """Written by dataset, written again without effect, one dataset appended, and read back with a missing path."""
     path = f"{t.scratch}/samples"
-    first = d1(t).where("dataset in ('src1', 'src2')").drop("sample_id")
+    first = d1(t).where("dataset <> 'src3'").drop("sample_id")
     samples.write_samples(first, path)
     samples.write_if_absent(first, path)
-    samples.append_missing_datasets(d1(t).where("dataset in ('src2', 'src3')").drop("sample_id"), path)
-    names = {d: f"{path}/dataset={d}" for d in ("src1", "src2", "src3", "src_missing")}
+    samples.append_missing_datasets(d1(t).drop("sample_id"), path)
+    names = {d: f"{path}/dataset={d}" for d in [*(f"src{i}" for i in range(20)), "src_missing"]}
     merged, _skipped = samples.read_datasets(t.spark, names)
     return merged.groupBy("dataset").agg(F.count("*").alias("rows"), F.count("image_bytes").alias("with_image"))
 

@@ -231,14 +231,14 @@ def bootstrap_attached(t: Tables) -> DataFrame:
     "paired_bootstrap",
     f"""WITH {_means("SELECT dataset, CAST(second_mark - first_mark AS DOUBLE) AS value FROM @mark_pairs WHERE dataset <> 'src3'", 'dataset')}
         SELECT dataset, max(n) AS n, avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) AS p_value FROM means GROUP BY dataset
-        UNION ALL SELECT dataset, count(*) FILTER (WHERE sample_id % 2 = 0), 1.0 FROM @mark_pairs WHERE dataset = 'src3' GROUP BY dataset""",
+        UNION ALL SELECT dataset, count(*) FILTER (WHERE first_mark = 1), 1.0 FROM @mark_pairs WHERE dataset = 'src3' GROUP BY dataset""",
     doubles=["p_value"],
     longs=["n"],
 )
 def paired_bootstrap(t: Tables) -> DataFrame:
     first = t.mark_pairs.select("dataset", "sample_id", F.col("first_mark").alias("value"))
     second = t.mark_pairs.select("dataset", "sample_id", F.col("second_mark").alias("value"))
-    return bootstrap.paired_p_value(first, second.where("dataset <> 'src3' or sample_id % 2 = 0"))
+    return bootstrap.paired_p_value(first, second.join(first.where("dataset <> 'src3' or value = 1").select("dataset", "sample_id"), ["dataset", "sample_id"], "left_semi"))
 
 
 @query("bootstrap_poisson", None)
@@ -321,9 +321,9 @@ def regression_verdict_tested(t: Tables) -> DataFrame:
     return compare.regression_verdict_tested(stages_compared(t))
 
 
-def _flat_sql(month: int) -> str:
+def _flat_sql(half: int) -> str:
     return f"""SELECT event_type || '_' || (user_id % 10) AS key, avg(value) AS value FROM @events
-       WHERE day(ts) % 2 = {month} AND NOT (user_id % 10 = {month} AND event_type = 'view') GROUP BY 1"""
+       WHERE (day(ts) <= 15) = {'true' if half == 0 else 'false'} AND NOT (user_id % 10 = {half} AND event_type = 'view') GROUP BY 1"""
 
 
 _FLAT = f"""WITH a AS ({_flat_sql(0)}), b AS ({_flat_sql(1)}),
@@ -331,9 +331,9 @@ _FLAT = f"""WITH a AS ({_flat_sql(0)}), b AS ({_flat_sql(1)}),
    flat AS (SELECT *, v2 - v1 AS delta, CASE WHEN abs(v2 - v1) < 0.001 THEN 'flat' WHEN v2 - v1 > 0 THEN 'up' ELSE 'down' END AS trend FROM flat_pairs)"""
 
 
-def _flat_run(t: Tables, month: int) -> DataFrame:
+def _flat_run(t: Tables, half: int) -> DataFrame:
     rows = t.events.where(
-        (F.day("ts") % 2 == month) & ~((F.col("user_id") % 10 == month) & (F.col("event_type") == "view"))
+        ((F.day("ts") <= 15) == (half == 0)) & ~((F.col("user_id") % 10 == half) & (F.col("event_type") == "view"))
     )
     key = F.concat_ws("_", "event_type", (F.col("user_id") % 10).cast("string"))
     return rows.groupBy(key.alias("key")).agg(F.avg("value").alias("value"))

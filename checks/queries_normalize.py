@@ -223,19 +223,16 @@ _PAIRS = "[{'role': 'user', 'content': '<image>' || chr(10) || question}, {'role
     """SELECT row_id, '<image>' || chr(10) || coalesce(question, '') AS user_text, text AS assistant_text,
       CASE WHEN lang = 'en' THEN 'math' ELSE 'general' END AS subject, 'K12' AS grade_level, 'synthetic' AS question_type,
       CASE WHEN lang = 'en' THEN 'geo170k' ELSE 'docs' END AS source,
-      'data/local/Open-source-data/geo170k/' || image AS image_text
-      FROM @qa_wide WHERE image IS NOT NULL AND row_id % 3 = 0
-      UNION ALL
-      SELECT row_id, '<image>' || chr(10) || coalesce(question, ''), text,
-      CASE WHEN lang = 'en' THEN 'math' ELSE 'general' END, 'K12', 'synthetic',
-      CASE WHEN lang = 'en' THEN 'geo170k' ELSE 'docs' END, 'other/' || image
-      FROM @qa_wide WHERE image IS NOT NULL AND row_id % 3 = 1""",
+      CASE WHEN lang = 'en' THEN 'data/local/Open-source-data/geo170k/' ELSE 'other/' END || image AS image_text
+      FROM @qa_wide WHERE image IS NOT NULL AND lang <> 'de'""",
     longs=["row_id"],
 )
 def normalize_windata(t: Tables) -> DataFrame:
+    """English rows lie in a mapped folder, others in an unmapped one; the files of German rows are missing."""
     from edulake.sources.images import folder_table
 
     wide = t.qa_wide
+    english = F.col("lang") == "en"
     pair = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
     rows = wide.select(
         "row_id",
@@ -243,12 +240,12 @@ def normalize_windata(t: Tables) -> DataFrame:
             pair("human", F.concat(F.lit("<image>\n"), F.coalesce("question", F.lit("")))), pair("gpt", F.col("text"))
         ).alias("conversations"),
         F.when(F.col("image").isNotNull(), F.array("image")).otherwise(F.array()).alias("image"),
-        F.when(F.col("row_id") % 3 == 0, "geo170k").otherwise("other").alias("image_file"),
-        F.when(F.col("lang") == "en", "geo170k-synthetic.json").otherwise("docs-synthetic.json").alias("json_file"),
+        F.when(english, "geo170k").otherwise("other").alias("image_file"),
+        F.when(english, "geo170k-synthetic.json").otherwise("docs-synthetic.json").alias("json_file"),
     )
-    folder = F.when(F.col("row_id") % 3 == 0, "data/local/Open-source-data/geo170k").otherwise("other")
+    folder = F.when(english, "data/local/Open-source-data/geo170k").otherwise("other")
     path = F.concat_ws("/", folder, F.col("image"))
-    files = wide.where("image is not null and row_id % 3 < 2").select(
+    files = wide.where("image is not null and lang <> 'de'").select(
         path.alias("path"), path.cast("binary").alias("content")
     )
     done = nz.normalize_source_conversations(rows, files, folder_table(t.spark))

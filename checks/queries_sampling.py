@@ -167,8 +167,8 @@ def curated_sample(t: Tables) -> DataFrame:
 
 
 def _draws(weight: str) -> str:
-    return f"""WITH rows AS (SELECT source AS dataset, doc_id, row_number() OVER (PARTITION BY source ORDER BY {_h('doc_id')}, doc_id) AS position
-       FROM @documents WHERE doc_id % 20 > 2 OR source <> 'src4'),
+    return f"""WITH rows AS (SELECT lang AS dataset, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {_h('doc_id')}, doc_id) AS position
+       FROM @documents),
      sizes AS (SELECT dataset, count(*) AS size FROM rows GROUP BY dataset),
      masses AS (SELECT *, sqrt(size::DOUBLE) * {weight} AS mass FROM sizes),
      shares AS (SELECT *, (sum(mass) OVER (ORDER BY dataset) - mass) / sum(mass) OVER () AS lo,
@@ -180,7 +180,7 @@ def _draws(weight: str) -> str:
 
 
 def _draw_rows(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id % 20 > 2 or source <> 'src4'").select(F.col("source").alias("dataset"), "doc_id")
+    return t.documents.select(F.col("lang").alias("dataset"), "doc_id")
 
 
 @query("weighted_draws", _draws("1"), longs=["draw", "doc_id"])
@@ -188,9 +188,9 @@ def weighted_draws(t: Tables) -> DataFrame:
     return sampling.weighted_draws(_draw_rows(t), "doc_id")
 
 
-@query("weighted_draws_feedback", _draws("(CASE WHEN dataset = 'src1' THEN 2.5 WHEN dataset = 'src2' THEN 0 ELSE 1 END)"), longs=["draw", "doc_id"])
+@query("weighted_draws_feedback", _draws("(CASE WHEN dataset = 'de' THEN 2.5 WHEN dataset = 'es' THEN 0 ELSE 1 END)"), longs=["draw", "doc_id"])
 def weighted_draws_feedback(t: Tables) -> DataFrame:
-    weights = t.spark.createDataFrame([("src1", 2.5), ("src2", 0.0)], "dataset string, weight double")
+    weights = t.spark.createDataFrame([("de", 2.5), ("es", 0.0)], "dataset string, weight double")
     return sampling.weighted_draws(_draw_rows(t), "doc_id", multipliers=weights)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from edulake.functions.hashing import hash52
 from edulake.functions.numeric import round_exact
 from edulake.schema import METRICS
-from edulake.session import settle
+from edulake.session import bounded, settle
 
 REPLICATES = 1000
 EXACT_ROWS = 2000
@@ -125,8 +125,8 @@ def resample_means(
     by = list(by)
     hist = df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("cnt"))
     hist = settle(hist)
-    sizes = hist.groupBy(*by).agg(F.sum("cnt").alias("n"))
-    hist = settle(hist.join(sizes, by))
+    sizes = settle(hist.groupBy(*by).agg(F.sum("cnt").alias("n")))
+    hist = hist.join(bounded(sizes), by)
     small = _means_by_hash(hist.where(F.col("n") <= exact_rows), by, replicates)
     large = hist.where(F.col("n") > exact_rows)
     if large.isEmpty():

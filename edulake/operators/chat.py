@@ -13,6 +13,7 @@ from edulake.functions.hashing import hash52, unit
 from edulake.functions.lexicon import ASSISTANT_MARKERS, EMPTY_USER_TEXT, EVAL_PROMPTS, TUTOR_PROMPTS
 from edulake.functions.text import first_truthy, strip
 from edulake.schema import TURN, TURNS
+from edulake.session import settle
 
 IMAGE_TAG = "<image>"
 
@@ -141,7 +142,7 @@ def first_answer_by_turn(turns: DataFrame, by: str = "conv_id") -> DataFrame:
 
 def prompt_part(turns: DataFrame, by: str = "conv_id", seed: str = "42") -> DataFrame:
     """Turns before the first assistant turn, with a fresh system text and clean user text."""
-    first = turns.groupBy(by).agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("__first"))
+    first = settle(turns.groupBy(by).agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("__first")))
     kept = turns.join(first, by).where(
         (F.col("__first").isNull() | (F.col("turn") < F.col("__first"))) & F.col("role").isin("system", "user")
     )

@@ -54,7 +54,8 @@ def lowest_cut(
     ``quotas`` adds columns per group that ``quota`` may refer to; groups missing from it are dropped.
     The result has one row per group and is settled in the checkpoint folder.
     """
-    slim = _keyed(df.select(*groups, key), key, seed)
+    # The keys are read twice; settled, an expensive source is computed once.
+    slim = settle(_keyed(df.select(*groups, key), key, seed))
     totals = _bucket_totals(slim, groups)
     if quotas is not None:
         totals = totals.join(quotas, list(groups))
@@ -117,8 +118,8 @@ def with_rank(df: DataFrame, groups: Sequence[str], key: str, seed: str, to: str
 
     Pass only the columns that are needed; wide payloads are joined back by key afterwards.
     """
-    keyed = _keyed(df, key, seed)
-    totals = settle(_bucket_totals(_keyed(df.select(*groups, key), key, seed), groups))
+    keyed = settle(_keyed(df, key, seed))
+    totals = settle(_bucket_totals(keyed, groups))
     before = totals.select(*groups, _BUCKET, (F.col("upto") - F.col("cnt")).alias("__before"))
     order = Window.partitionBy(*groups, _BUCKET).orderBy(_HASH, key)
     ranked = keyed.join(bounded(before), [*groups, _BUCKET]).withColumn(
@@ -133,14 +134,15 @@ def first_by_id(df: DataFrame, key: str, n: int) -> DataFrame:
     Id ranges are counted first; the range that holds the n-th id is cut again until it is small, and the
     result is a plain filter on the id that the scan can use to skip files.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    ids = settle(df.select(key))
+    low, high = ids.agg(F.min(key), F.max(key)).first()
     if low is None or n <= 0:
         return df.where(F.lit(False))
     need, buckets = n, 1 << BUCKET_BITS
     while high > low:
         width = max(1, -(-(high - low + 1) // buckets))
         bucket = F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("bigint")
-        counts = df.where(F.col(key).between(low, high)).groupBy(bucket.alias("b")).count()
+        counts = ids.where(F.col(key).between(low, high)).groupBy(bucket.alias("b")).count()
         running = Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         row = (
             counts.withColumn("upto", F.sum("count").over(running))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edulake.functions.text import strip
+from edulake.session import settle
 
 EPS = 1e-8
 
@@ -21,7 +22,7 @@ def group_advantage(df: DataFrame, prompt: str = "prompt_id", reward: str = "rew
     The group's mean and deviation are aggregated first and joined back. A window would hold a whole group in
     one task; here partial sums are shuffled, and adaptive execution splits a prompt that fills a partition.
     """
-    stats = df.groupBy(prompt).agg(F.avg(reward).alias("__mean"), F.stddev_samp(reward).alias("__sd"))
+    stats = settle(df.groupBy(prompt).agg(F.avg(reward).alias("__mean"), F.stddev_samp(reward).alias("__sd")))
     flat = F.col("__sd").isNull() | (F.col("__sd") < EPS)
     advantage = F.when(flat, F.lit(0.0)).otherwise((F.col(reward) - F.col("__mean")) / (F.col("__sd") + EPS))
     return df.join(stats, prompt).withColumn("advantage", advantage).drop("__mean", "__sd")

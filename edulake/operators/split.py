@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edulake.operators.ranking import lowest_cut, with_lowest_mark
+from edulake.session import settle
 
 MIN_EVAL = 10
 MIN_TRAIN = 10
@@ -71,7 +72,9 @@ def leaked_prefixes(df: DataFrame, question: str = "question", chars: int = 100)
 def leaked_rows(df: DataFrame, question: str = "question", chars: int = 100) -> DataFrame:
     """Rows whose question prefix occurs in both splits."""
     prefix = F.substring(question, 1, chars)
-    return df.withColumn("prefix", prefix).join(leaked_prefixes(df, question, chars), "prefix", "left_semi")
+    return df.withColumn("prefix", prefix).join(
+        settle(leaked_prefixes(df, question, chars)), "prefix", "left_semi"
+    )
 
 
 def config_overlap(evaluated: DataFrame, trained: DataFrame) -> DataFrame:

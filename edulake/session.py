@@ -1,8 +1,9 @@
-"""Session helpers: checkpointing in the shared folder, and joins to small tables behind a size check."""
+"""Session helpers: settling results in the shared folder, and joins to small tables behind a size check."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so later passes read the result and not its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Later passes read the result and not its lineage, also after executors are lost. As a table of known size the
+    result is broadcast by Spark where it is small, and where it is not, adaptive execution can split skewed
+    partitions, which it cannot while an aggregation stands between shuffle and join.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

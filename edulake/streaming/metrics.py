@@ -140,19 +140,8 @@ def eta_minutes(spent_seconds: Column, step: Column, start_step: Column, total_s
 
 def dataset_progress(results: DataFrame, totals: DataFrame) -> DataFrame:
     """Finished and expected samples and running accuracy per dataset; also over a stream, in update mode."""
-    return (
-        results.join(totals, "dataset")
-        .groupBy("dataset")
-        .agg(
-            F.count("*").alias("completed"),
-            F.max("total").alias("total"),
-            F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
-        )
-        .select(
-            "dataset",
-            "completed",
-            "total",
-            F.when(F.col("total") > 0, F.col("completed") / F.col("total") * 100).otherwise(0.0).alias("percent"),
-            "accuracy",
-        )
+    done = results.groupBy("dataset").agg(
+        F.count("*").alias("completed"), F.avg(F.col("is_correct").cast("double")).alias("accuracy")
     )
+    percent = F.when(F.col("total") > 0, F.col("completed") / F.col("total") * 100).otherwise(0.0)
+    return done.join(totals, "dataset").select("dataset", "completed", "total", percent.alias("percent"), "accuracy")
