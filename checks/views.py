@@ -148,8 +148,8 @@ DUCKDB_VIEWS = {
         FROM @sample_parts""",
 }
 
-#: Views that cut long texts up; a single small input file is spread over the cores first.
-SPREAD = {"qa_wide", "sample_parts"}
+#: Views that build or cut texts; a single small input file is spread over the cores first.
+SPREAD = {"qa_wide", "sample_parts", "responses", "judged"}
 
 #: Run tables are stored when a run ends, and read many times.
 STORED = {"run_table"}

@@ -83,7 +83,10 @@ def count_chars(text: Column, chars: str) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Compute ``value`` once and use it as often as ``body`` likes."""
+    """Compute ``value`` once and use it as often as ``body`` likes.
+
+    Inside a lambda an outer expression is evaluated again for every element, so it has to be bound first.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

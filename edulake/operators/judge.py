@@ -46,11 +46,20 @@ def judge_scores(output: Column) -> Column:
     raw = F.from_json(
         F.regexp_extract(output, r"\{[^}]+\}", 0), "map<string,string>", {"allowSingleQuotes": "false"}
     )
-    values = {name: F.try_element_at(raw, F.lit(name)).try_cast("double") for name in DIMENSIONS}
-    complete = F.lit(True)
-    for value in values.values():
-        complete = complete & value.isNotNull()
-    return F.when(complete, F.struct(*[clamp(value, 0, 10).alias(name) for name, value in values.items()]))
+    values = tx.let(
+        raw,
+        lambda scores: F.struct(
+            *[F.try_element_at(scores, F.lit(name)).try_cast("double").alias(name) for name in DIMENSIONS]
+        ),
+    )
+
+    def clamped(scores: Column) -> Column:
+        complete = F.lit(True)
+        for name in DIMENSIONS:
+            complete = complete & scores[name].isNotNull()
+        return F.when(complete, F.struct(*[clamp(scores[name], 0, 10).alias(name) for name in DIMENSIONS]))
+
+    return tx.let(values, clamped)
 
 
 def judge_reward(scores: Column, weights: dict[str, float] = JUDGE_WEIGHTS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edulake.functions.text import strip
+from edulake.functions.text import let, strip
 from edulake.session import settle
 
 EPS = 1e-8
@@ -51,11 +51,15 @@ def sequence_logp(logp: Column, label: Column, ignore: int = -100) -> Column:
     kept = F.filter(
         F.arrays_zip(logp.alias("logp"), label.alias("label")), lambda t: t["label"] != F.lit(ignore)
     )
-    total = F.aggregate(kept, F.lit(0.0), lambda s, t: s + t["logp"].cast("double"))
-    count = F.size(kept)
-    return F.struct(
-        total.alias("logp_sum"), count.alias("tokens"), (total / F.greatest(count, F.lit(1))).alias("logp_mean")
-    )
+
+    def summed(tokens: Column) -> Column:
+        total = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + t["logp"].cast("double"))
+        count = F.size(tokens)
+        return F.struct(
+            total.alias("logp_sum"), count.alias("tokens"), (total / F.greatest(count, F.lit(1))).alias("logp_mean")
+        )
+
+    return let(kept, summed)
 
 
 def reward_trend(df: DataFrame, step: str = "step", reward: str = "reward", interval: int = 10) -> DataFrame:

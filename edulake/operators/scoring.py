@@ -117,7 +117,8 @@ def tfidf_cosine(left: Column, right: Column) -> Column:
 
 def keyword_recall(response: Column, answer: Column) -> Column:
     """Share of the answer's keywords that the response holds; 0.5 when the answer has none."""
-    return _recall(tx.keywords(response), tx.keywords(answer))
+    sides = F.struct(tx.keywords(response).alias("found"), tx.keywords(answer).alias("wanted"))
+    return tx.let(sides, lambda s: _recall(s["found"], s["wanted"]))
 
 
 def _recall(found: Column, wanted: Column) -> Column:
@@ -127,10 +128,12 @@ def _recall(found: Column, wanted: Column) -> Column:
 
 def number_match(response: Column, answer: Column, tolerance: float = 0.05) -> Column:
     """Agreement of the number sets of response and answer."""
-    return _number_match_sets(tx.numbers(response), tx.numbers(answer), tolerance)
+    sides = F.struct(tx.numbers(response).alias("found"), tx.numbers(answer).alias("wanted"))
+    return tx.let(sides, lambda s: _number_match_sets(s["found"], s["wanted"], tolerance))
 
 
 def _number_match_sets(found: Column, wanted: Column, tolerance: float) -> Column:
+    """Both sides must be bound values: the inner pair test reads ``found`` once per wanted number."""
     shared = F.array_intersect(found, wanted)
     merged = F.size(F.array_union(found, wanted))
     # A shared number other than zero is its own close pair; only when all shared numbers are zero must the
