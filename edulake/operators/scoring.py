@@ -64,55 +64,86 @@ def numeric_match(response: Column, answer: Column, tolerance: float = 1e-3) ->
 # -- similarity --------------------------------------------------------------------------------------------
 
 
-def tfidf_cosine(left: Column, right: Column) -> Column:
-    """Cosine of the TF-IDF vectors of two token lists of one row.
+def _fold(tokens: Column, names: tuple[str, ...], start: tuple, step, finish) -> Column:
+    """Fold a list with a state of named whole numbers beside the current token."""
 
-    Both lists are sorted together once, by token and side, and folded: the cost is one sort of the row's own
-    tokens, and nothing leaves the row. The fold keeps how often the current token occurred on either side, the
-    squared lengths ``ll`` and ``rr`` with weight 1, and the parts ``sl``, ``sr`` and ``dot`` of shared tokens,
-    whose weight is applied at the end. Squares grow by 2n + 1 when a count grows from n to n + 1.
-    """
+    def state(*values) -> Column:
+        columns = [v if isinstance(v, Column) else F.lit(v).cast("bigint") for v in values]
+        return F.struct(*[c.alias(n) for n, c in zip(("token", *names), columns)])
 
-    def tagged(tokens: Column, side: int) -> Column:
-        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(side).alias("side")))
+    return F.aggregate(tokens, state(F.lit(""), *start), lambda run, item: step(state, run, item), finish)
+
+
+def _squared_counts(tokens: Column) -> Column:
+    """Sum of the squared token counts. A square grows by 2n + 1 when its count grows from n to n + 1."""
 
-    names = ("token", "l", "r", "ll", "rr", "dot", "sl", "sr")
+    def step(state, run: Column, token: Column) -> Column:
+        again = state(run.token, run.n + 1, run.total + run.n + run.n + 1)
+        return F.when(run.token == token, again).otherwise(state(token, 1, run.total + 1))
 
-    def state(*values: Column) -> Column:
-        return F.struct(*[value.alias(name) for name, value in zip(names, values)])
+    return _fold(F.sort_array(tokens), ("n", "total"), (0, 0), step, lambda run: run.total)
 
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
-    def step(run: Column, item: Column) -> Column:
-        shared = (run.dot, run.sl, run.sr)
-        new_left = state(item.token, one, zero, run.ll + one, run.rr, *shared)
-        new_right = state(item.token, zero, one, run.ll, run.rr + one, *shared)
-        more_left = state(run.token, run.l + one, run.r, run.ll + run.l + run.l + one, run.rr, *shared)
-        # Left occurrences come first, so the first right one makes the token a shared one.
-        growth = run.r + run.r + one
+def _shared_counts(left: Column, right: Column) -> Column:
+    """Over the tokens of both lists: sums of l*r, l*l and r*r as ``dot``, ``ll`` and ``rr``.
+
+    The lists are sorted together by token and side, so the left occurrences of a token come first and its first
+    right occurrence makes it a shared one.
+    """
+
+    def tagged(tokens: Column, side: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(side).alias("side")))
+
+    def step(state, run: Column, item: Column) -> Column:
+        sums = (run.dot, run.ll, run.rr)
+        opened = F.when(item.side == 0, state(item.token, 1, 0, *sums)).otherwise(state(item.token, 0, 1, *sums))
         more_right = state(
             run.token,
             run.l,
-            run.r + one,
-            run.ll,
-            run.rr + growth,
+            run.r + 1,
             run.dot + run.l,
-            F.when(run.r == 0, run.sl + run.l * run.l).otherwise(run.sl),
-            F.when(run.l > 0, run.sr + growth).otherwise(run.sr),
+            F.when(run.r == 0, run.ll + run.l * run.l).otherwise(run.ll),
+            F.when(run.l > 0, run.rr + run.r + run.r + 1).otherwise(run.rr),
         )
-        is_left = item.side == 0
-        return F.when(
-            run.token == item.token, F.when(is_left, more_left).otherwise(more_right)
-        ).otherwise(F.when(is_left, new_left).otherwise(new_right))
-
-    def finish(run: Column) -> Column:
-        weight = F.lit(IDF_SHARED * IDF_SHARED)
-        ll = run.ll - run.sl + weight * run.sl
-        rr = run.rr - run.sr + weight * run.sr
-        return F.when((ll > 0) & (rr > 0), weight * run.dot / (F.sqrt(ll) * F.sqrt(rr))).otherwise(F.lit(0.0))
-
-    start = state(F.lit(""), zero, zero, zero, zero, zero, zero, zero)
-    return F.aggregate(F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))), start, step, finish)
+        more = F.when(item.side == 0, state(run.token, run.l + 1, run.r, *sums)).otherwise(more_right)
+        return F.when(run.token == item.token, more).otherwise(opened)
+
+    merged = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
+    return _fold(merged, ("l", "r", "dot", "ll", "rr"), (0, 0, 0, 0, 0), step, lambda run: run)
+
+
+#: Up to so many shared tokens the lists are first cut to them, at one look into a short list per token.
+_FEW_SHARED = 64
+
+
+def tfidf_cosine(left: Column, right: Column) -> Column:
+    """Cosine of the TF-IDF vectors of two token lists of one row.
+
+    Every token weighs 1 but those of both lists, so the squared lengths come from the counts of each list alone,
+    and only shared tokens need a closer look. The cost is that of sorting the row's own tokens, and nothing
+    leaves the row.
+    """
+    sides = F.struct(left.alias("left"), right.alias("right"), F.array_intersect(left, right).alias("shared"))
+
+    def kept(s: Column, side: str) -> Column:
+        cut = F.filter(s[side], lambda t: F.array_contains(s["shared"], t))
+        return F.when(F.size(s["shared"]) <= _FEW_SHARED, cut).otherwise(s[side])
+
+    def sums(s: Column) -> Column:
+        return F.struct(
+            _squared_counts(s["left"]).alias("ll"),
+            _squared_counts(s["right"]).alias("rr"),
+            _shared_counts(kept(s, "left"), kept(s, "right")).alias("both"),
+        )
+
+    def cosine(t: Column) -> Column:
+        weight = IDF_SHARED * IDF_SHARED
+        ll = t["ll"] - (1 - weight) * t["both"]["ll"]
+        rr = t["rr"] - (1 - weight) * t["both"]["rr"]
+        dot = weight * t["both"]["dot"]
+        return F.when((ll > 0) & (rr > 0), dot / (F.sqrt(ll) * F.sqrt(rr))).otherwise(F.lit(0.0))
+
+    return tx.let(tx.let(sides, sums), cosine)
 
 
 def keyword_recall(response: Column, answer: Column) -> Column:

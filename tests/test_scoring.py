@@ -87,6 +87,15 @@ def test_cosine_and_fluency(spark):
         assert row["f"] == pytest.approx(len(set(bigrams)) / len(bigrams) if bigrams else 0.0)
 
 
+@pytest.mark.parametrize("vocabulary", [3, 64, 65, 500])
+def test_cosine_with_few_and_many_shared_tokens(spark, vocabulary):
+    rng = random.Random(vocabulary)
+    lists = [[[f"w{rng.randrange(vocabulary)}" for _ in range(700)] for _ in range(2)] for _ in range(5)]
+    df = spark.createDataFrame(lists + [[["a"], []], [[], []]], "l array<string>, r array<string>")
+    for row in df.select("l", "r", scoring.tfidf_cosine(F.col("l"), F.col("r")).alias("c")).collect():
+        assert row["c"] == pytest.approx(python_cosine(row["l"], row["r"]))
+
+
 def test_idf_of_shared_and_single_tokens():
     assert scoring.IDF_SHARED == pytest.approx(0.594535, abs=1e-6)
     assert math.log(2 / 2) + 1 == 1.0
