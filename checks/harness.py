@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.views import DUCKDB_VIEWS, SPREAD, STORED, VIEWS
-from edulake.session import ensure_checkpoint_dir, settle, spread
+from edulake.session import ensure_checkpoint_dir, settle
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -23,6 +23,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than cores before CPU-heavy row work.
+
+    A table of many files has more partitions than cores, and is then left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 class Tables:
     """The given tables of one folder, and views derived from them."""
 

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import duck
-from checks.harness import Tables, query
+from checks.harness import Tables, query, spread
 from checks.queries_chat import d1
 from edulake.functions import text as tx
 from edulake.operators import bootstrap, chat, checks, compare, report, resample, rollout, runs, scoring, summary
 from edulake.plans import evaluate, feedback
-from edulake.session import spread
 
 METRICS = ["accuracy", "step_completeness", "scaffolding_rate"]
 _NEWEST = "(SELECT run_id FROM (SELECT DISTINCT run_id, ts FROM @run_table) ORDER BY ts DESC, run_id DESC LIMIT 1)"

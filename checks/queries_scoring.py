@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks import duck
-from checks.harness import Tables, query
+from checks.harness import Tables, query, spread
 from edulake.functions import lexicon as lx
 from edulake.functions import text as tx
 from edulake.operators import errors, judge, scoring
-from edulake.session import spread
 
 
 def responses(t: Tables) -> DataFrame:

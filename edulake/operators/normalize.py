@@ -150,7 +150,10 @@ def joined(separator: str, *columns: str) -> Expr:
 
     def build(r: Row) -> Column:
         values = [
-            F.array_join(r.raw(c), separator) if isinstance(r.type(c), T.ArrayType) else r.text(c) for c in columns
+            F.array_join(r.raw(c).cast("array<string>"), separator)
+            if isinstance(r.type(c), T.ArrayType)
+            else r.text(c)
+            for c in columns
         ]
         return F.coalesce(*values, F.lit(""))
 
@@ -159,7 +162,12 @@ def joined(separator: str, *columns: str) -> Expr:
 
 def first_of_list(column: str, fallback: str) -> Expr:
     """The column, else the first entry of the fallback list."""
-    return lambda r: tx.first_present(r.text(column), F.get(r.raw(fallback), F.lit(0)).cast("string"), F.lit(""))
+
+    def build(r: Row) -> Column:
+        listed = F.get(r.raw(fallback), F.lit(0)) if isinstance(r.type(fallback), T.ArrayType) else F.lit(None)
+        return tx.first_present(r.text(column), listed.cast("string"), F.lit(""))
+
+    return build
 
 
 def index_letter(column: str) -> Expr:
@@ -167,15 +175,14 @@ def index_letter(column: str) -> Expr:
 
 
 def gold_letter(column: str) -> Expr:
-    """First of a list: a whole number becomes a letter, anything else stays text."""
+    """First of a list: a whole number becomes a letter, anything else stays text; an empty list reads ``[]``."""
 
     def build(r: Row) -> Column:
         kind = r.type(column)
         value = F.get(r.raw(column), F.lit(0)) if isinstance(kind, T.ArrayType) else r.raw(column)
         inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
-        if isinstance(inner, T.IntegralType):
-            return tx.letter(value.cast("int"))
-        return value.cast("string")
+        named = tx.letter(value.cast("int")) if isinstance(inner, T.IntegralType) else value.cast("string")
+        return F.coalesce(named, F.lit("[]"))
 
     return build
 
@@ -232,7 +239,7 @@ SOURCES: dict[str, SourceSpec] = {
         _Q,
         first_of_list("answer", "answers"),
         images=("image",),
-        required=lambda r: F.coalesce(F.size(r.raw("answers")) > 0, F.lit(True)) if r.has("answers") else F.lit(True),
+        required=lambda r: F.coalesce(F.size(r.raw("answers")) != 0, F.lit(True)) if r.has("answers") else F.lit(True),
     ),
     "ceval": SourceSpec(
         _Q,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edulake.operators.ranking import lowest_cut, with_lowest_mark
-from edulake.session import settle
+from edulake.session import bounded, settle
 
 MIN_EVAL = 10
 MIN_TRAIN = 10
@@ -55,8 +55,8 @@ def holdout_split(
 
 
 def train_rows(df: DataFrame, eval_rows: DataFrame, key: str) -> DataFrame:
-    """All rows whose key is not held out."""
-    return df.join(eval_rows.select(key), key, "left_anti")
+    """All rows whose key is not held out. Held-out keys are few, so the rows stay where they are."""
+    return df.join(bounded(settle(eval_rows.select(key))), key, "left_anti")
 
 
 def leaked_prefixes(df: DataFrame, question: str = "question", chars: int = 100) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Largest lookup side, in rows, that is sent to every executor.
 BROADCAST_ROWS = 200_000
 
+_SETTLED: list[str] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder named by ``spark.checkpoint.dir``; fall back to a scratch folder in local mode only."""
@@ -37,11 +39,22 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_settled(spark: SparkSession) -> int:
+    """Delete what this process has settled, once all results that rest on it are written. Gives the number."""
+    configuration = spark._jsc.hadoopConfiguration()
+    count = len(_SETTLED)
+    while _SETTLED:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        target.getFileSystem(configuration).delete(target, True)
+    return count
+
+
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a settled table for broadcast when it holds at most ``max_rows``.
+    """Mark a settled or stored table for broadcast when it holds at most ``max_rows``.
 
     A larger table is returned as it is: Spark then shuffles both sides, and adaptive execution splits
     the skewed partitions.
@@ -49,14 +62,3 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than cores before CPU-heavy row work.
-
-    A table of many files has more partitions than cores, and is then left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edulake.schema import SOURCE_CONVERSATION
+from edulake.session import bounded
 
 # ---- Fixed values: folder of every image key. ----
 IMAGE_FOLDERS = (
@@ -41,6 +42,6 @@ def folder_table(spark: SparkSession) -> DataFrame:
 
 def resolve_images(df: DataFrame, images: DataFrame, folders: DataFrame) -> DataFrame:
     """Rows whose first image exists, with its ``content``. Rows meet files on the path."""
-    named = df.join(folders.withColumnRenamed("folder_key", "image_file"), "image_file", "left")
+    named = df.join(bounded(folders.withColumnRenamed("folder_key", "image_file")), "image_file", "left")
     path = F.concat_ws("/", F.nullif(F.coalesce("folder", "image_file"), F.lit("")), F.get("image", F.lit(0)))
     return named.withColumn("path", path).join(images, "path")

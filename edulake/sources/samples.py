@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from edulake.operators.chat import parse_turns
 from edulake.schema import SAMPLE, SAMPLE_ATTRIBUTES
+from edulake.session import bounded, settle
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -81,8 +82,8 @@ def append_missing_datasets(samples: DataFrame, path: str) -> None:
     spark = samples.sparkSession
     if path_exists(spark, path):
         # Only the partition column is read, which comes from folder names.
-        have = spark.read.parquet(path).select("dataset").distinct()
-        samples = samples.join(have, "dataset", "left_anti")
+        have = settle(spark.read.parquet(path).select("dataset").distinct())
+        samples = samples.join(bounded(have), "dataset", "left_anti")
     write_samples(samples, path, mode="append")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from edulake import session
 from edulake.functions.lexicon import TUTOR_PROMPTS
 from edulake.operators import chat, judge, normalize, split
 from edulake.plans import build, evaluate, feedback
@@ -104,6 +105,21 @@ def test_normalise_article_and_gold(spark):
     assert json.loads(normalize.normalize_qa(text_gold, "gaokao_mathqa").first()["conversations"])[2]["content"] == "答案：x+1"
 
 
+def test_normalise_with_missing_columns_and_odd_lists(spark):
+    plain = qa(spark, [(1, "q", b"i")], "question string, image binary")
+    assert json.loads(normalize.normalize_qa(plain, "ocr_vqa").first()["conversations"])[2]["content"] == "答案："
+    for name in normalize.SOURCES:
+        got = normalize.normalize_qa(spark.range(2).withColumnRenamed("id", "row_id"), name)
+        dropped = normalize.SOURCES[name].image_rule == "drop"
+        assert got.count() == (0 if dropped else 2), name
+        for row in got.collect():
+            assert all(turn["content"] is not None for turn in json.loads(row["conversations"])), name
+    empty = qa(spark, [(1, "q", [], [])], "query string, choices array<string>, gold array<int>")
+    assert json.loads(normalize.normalize_qa(empty, "gaokao_mathqa").first()["conversations"])[2]["content"] == "答案：[]"
+    numbers = qa(spark, [(1, "q", [1, 2], b"i")], "question string, answer array<int>, image binary")
+    assert json.loads(normalize.normalize_qa(numbers, "vizwiz").first()["conversations"])[2]["content"] == "答案：1; 2"
+
+
 def test_configs_outside_the_list_are_left_out(spark):
     rows = [(1, "q", "college_physics", "A"), (2, "q", "art_studies", "A")]
     table = qa(spark, rows, "question string, config string, answer string")
@@ -244,6 +260,16 @@ def test_evaluate_and_feedback_plans(spark):
     assert drawn.count() == 500
 
 
+def test_settled_tables_are_kept_until_released(spark, monkeypatch):
+    monkeypatch.setattr(session, "_SETTLED", [])
+    table = settle(spark.range(5))
+    assert table.count() == 5 and len(session._SETTLED) == 1
+    folder = session._SETTLED[0]
+    assert samples.path_exists(spark, folder)
+    assert session.release_settled(spark) == 1
+    assert not samples.path_exists(spark, folder)
+
+
 def test_broadcast_only_up_to_the_bound(spark):
     table = settle(spark.range(50).toDF("k"))
     joined = lambda bound: spark.range(10**6).toDF("k").join(bounded(table, bound), "k")
