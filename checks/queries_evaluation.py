@@ -53,6 +53,19 @@ def evaluate_responses(t: Tables) -> DataFrame:
     return summary.dataset_summary(evaluate.score_responses(t.responses), length="response_length")
 
 
+@query(
+    "evaluation_errors",
+    f"""SELECT error_type, count(*) AS count, CAST(printf('%.4f', count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS DOUBLE) AS ratio
+        FROM (SELECT {duck.error_type('response')} AS error_type FROM @responses JOIN ({_scored('responses')}) s USING (dataset, sample_id)
+        WHERE s.accuracy <> 1) GROUP BY error_type""",
+    doubles=["ratio"],
+    longs=["count"],
+)
+def evaluation_errors(t: Tables) -> DataFrame:
+    """Error classes of the responses that the whole evaluation flow finds wrong."""
+    return evaluate.evaluate(t.responses).errors
+
+
 _SLICE = f"""SELECT * FROM (SELECT 'ds' || (conv_id % 7) AS dataset, conv_id,
      coalesce({duck.strip("replace(max_by(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END), '<image>', '')")}, '') AS question,
      coalesce(max_by(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END), '') AS response

@@ -11,6 +11,8 @@ from edulake.functions.lexicon import GUIDANCE_WORDS
 from edulake.functions.text import contains_any
 from edulake.operators import bootstrap, checks, errors, report, summary
 from edulake.operators.scoring import step_flag, token_overlap
+from edulake.schema import METRICS
+from edulake.session import settle
 
 
 @dataclass
@@ -38,9 +40,14 @@ def score_responses(responses: DataFrame) -> DataFrame:
 
 
 def evaluate(responses: DataFrame) -> Evaluation:
-    scored = score_responses(responses)
-    run = summary.dataset_summary(scored, length="response_length")
-    marked = scored.withColumn("is_correct", F.col("accuracy") == 1)
+    """Score once, settle the marks without the texts, and derive every table of the run from them."""
+    wrong = F.when(F.col("accuracy") != 1, errors.error_type(F.col("response")))
+    scored = settle(
+        score_responses(responses).select(
+            "dataset", "sample_id", *METRICS, "response_length", wrong.alias("error_type")
+        )
+    )
+    run = settle(summary.dataset_summary(scored, length="response_length"))
     return Evaluation(
         scored=scored,
         summary=run,
@@ -48,6 +55,6 @@ def evaluate(responses: DataFrame) -> Evaluation:
             bootstrap.confidence_intervals(bootstrap.long_scores(scored, ["dataset"]))
         ),
         findings=checks.consistency_checks(run.withColumn("run_id", F.lit("current"))),
-        errors=errors.error_distribution(errors.wrong_samples(marked)),
+        errors=errors.error_distribution(scored.where("error_type is not null")),
         weakest=report.weakest_datasets(run),
     )
