@@ -69,17 +69,21 @@ def count_matching(text: Column, patterns: Iterable[str]) -> Column:
 
 
 def count_occurrences(text: Column, needles: Iterable[str]) -> Column:
-    """Non-overlapping occurrences of every needle, summed."""
+    """Non-overlapping occurrences of every needle, summed, from the bytes that removing it saves."""
     total = F.lit(0)
+    needles = list(needles)
     for needle in needles:
-        removed = F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))
-        total = total + removed / F.lit(len(needle))
-    return total.cast("bigint")
+        removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))
+        total = total + (removed / F.lit(len(needle.encode()))).cast("int")
+    if all(re.search(HAN, needle) for needle in needles):
+        # A text without Han characters holds none of the words, which one look tells.
+        return F.when(text.rlike(HAN), total).otherwise(F.lit(0))
+    return total
 
 
 def count_chars(text: Column, chars: str) -> Column:
     """Characters of the text that belong to ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit("[" + "".join("\\" + c for c in chars) + "]"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
