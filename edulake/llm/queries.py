@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edulake.llm import simhash
+from edulake.llm import decontaminate, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,14 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash_near_dedup")
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op2_line_dedup", line_dedup.SQL)
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.drop_boilerplate(table(spark, folder, "documents"))
+    return cleaned.select("row.doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op4_decontaminate", decontaminate.SQL)
+def contaminations(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
