@@ -112,8 +112,10 @@ _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64
 def _power(kind: str, factor: int, count: int) -> np.ndarray:
     if len(_powers[kind]) < count:
         size = max(count, 1 << 16)
+        steps = np.full(size + 1, factor, dtype=np.uint64)
+        steps[0] = 1
         with np.errstate(over="ignore"):
-            _powers[kind] = np.cumprod(np.concatenate(([1], np.full(size, factor, dtype=np.uint64))), dtype=np.uint64)
+            _powers[kind] = np.cumprod(steps, dtype=np.uint64)
     return _powers[kind]
 
 
