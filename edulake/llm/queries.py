@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edulake.llm import decontaminate, line_dedup, packing, simhash
+from edulake.llm import boosting, decontaminate, line_dedup, packing, perplexity, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,26 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op7_quality_rules")
+def rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = perplexity.judge(table(spark, folder, "documents"), keep=["doc_id"])
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "log_perplexity",
+        "lower",
+        "upper",
+    )
+
+
+@query("op5_quality_classifier")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return boosting.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
