@@ -14,9 +14,15 @@ def held_out(id: Column) -> Column:
 
 
 def training_rows(
-    docs: DataFrame, labels: DataFrame, label: str, most: int, id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    most: int,
+    id: str = "doc_id",
+    text: str = "text",
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """``__text`` and ``label`` (0 or 1) of at most ``most`` labelled rows that are not held out.
+    """``__id``, ``label`` (0 or 1), ``extra`` columns of the document and ``__text`` of at most ``most`` labelled rows that are not held out.
 
     Where there are more, those with the smallest hashes of their ids are taken, so the sample depends neither on the
     order nor on the partitions. Null labels and null texts teach nothing. Its bound makes the sample safe to broadcast.
@@ -24,5 +30,7 @@ def training_rows(
     own = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & ~held_out(F.col("__id")))
     sample = settle(own.orderBy(F.xxhash64("__id"), "__id", "label").limit(most))
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text")).where("__text IS NOT NULL")
-    return rows.join(F.broadcast(sample), "__id").select("__id", "__text", "label")
+    more = [column.alias(name) for name, column in (extra or {}).items()]
+    rows = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"), *more)
+    rows = rows.where("__text IS NOT NULL")
+    return rows.join(F.broadcast(sample), "__id").select("__id", "label", *(extra or {}), "__text")

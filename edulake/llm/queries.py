@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edulake.llm import boosting, decontaminate, line_dedup, packing, perplexity, simhash
+from edulake.llm import boosting, decontaminate, line_dedup, packing, perplexity, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_quality_classifier")
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     return boosting.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
