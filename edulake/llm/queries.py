@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edulake.llm import boosting, decontaminate, line_dedup, packing, perplexity, simhash, toxicity
+from edulake.llm import boosting, ctw, decontaminate, line_dedup, packing, perplexity, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_toxicity")
 def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_context_tree_scores")
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(table(spark, folder, "documents"))
