@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edulake.llm import boosting, ctw, decontaminate, line_dedup, packing, perplexity, simhash, toxicity
+from edulake.llm import boosting, ctw, decontaminate, line_dedup, packing, perplexity, simhash, toxicity, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_context_tree_scores")
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     return ctw.score(table(spark, folder, "documents"))
+
+
+@query("op10_html_extraction")
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
