@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edulake.llm import boosting, ctw, decontaminate, line_dedup, packing, perplexity, simhash, toxicity, wrapper
+from edulake.llm import boosting, ctw, decontaminate, line_dedup, packing, perplexity, pii, simhash, toxicity, wrapper
+
+#: The key of the surrogates in the query. Whoever keeps it secret keeps the surrogates from being undone by trial.
+PII_KEY = "surrogates-1"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +95,9 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_extraction")
 def main_texts(spark: SparkSession, folder: str) -> DataFrame:
     return wrapper.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+@query("op8_pii_surrogates")
+def private(spark: SparkSession, folder: str) -> DataFrame:
+    replaced = pii.replace_personal_data(table(spark, folder, "documents"), PII_KEY)
+    return replaced.select("row.doc_id", "text", "n_replaced")
