@@ -18,6 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _fingerprint_batches(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             found = []
             for part in slices(batch, "__text"):
@@ -97,17 +99,23 @@ def _fingerprint_batches(words: int):
                 found.append(majority_bits(flat, counts).view(np.int64))
             prints = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
             kept = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(prints)], [*kept, "__print"])
+            rows = np.arange(number, number + len(prints))
+            number += len(prints)
+            arrays = [*(batch.column(n) for n in kept), pa.array(rows), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "__row", "__print"])
 
     return run
 
 
 def fingerprints(rows: DataFrame, text: str, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Replace the text column by ``__print``, the fingerprint as a signed long. Null and wordless texts give 0."""
+    """Replace the text column by ``__row``, a number for the row, and ``__print``, the fingerprint as a signed long.
+
+    Null and wordless texts have the fingerprint 0.
+    """
     kept = [c for c in rows.columns if c != text]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     source = rows.select(*[F.col(f"`{c}`") for c in kept], whole_text(F.col(f"`{text}`")).alias("__text"))
-    return source.mapInArrow(_fingerprint_batches(words), f"{schema + ', ' if schema else ''}__print bigint")
+    return source.mapInArrow(_fingerprint_batches(words), f"{schema + ', ' if schema else ''}__row bigint, __print bigint")
 
 
 def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -204,17 +212,42 @@ def near_duplicates(
     their row. A null id never is the smallest; a component of null ids alone has a null component. No rows give none.
     """
     rows = settle(fingerprints(docs.select(F.col(id).alias("__id"), F.col(text).alias("__whole")), "__whole", words))
-    classes = settle(rows.groupBy(F.col("__print").alias("print")).agg(F.min("__id").alias("first")))
-    joined = settle(components(links(classes.select("print"), bits)).withColumnRenamed("node", "print"))
-    linked = classes.join(joined, "print")
-    smallest = linked.groupBy("component").agg(F.min("first").alias("least"))
-    found = linked.select("print", "component").join(smallest, "component").select("print", "least")
-    reached = classes.join(settle(found), "print", "left").select(
-        "print", F.least("first", "least").alias("component_id")
-    )
-    reached = settle(reached).withColumnRenamed("print", "__print")
-    return rows.join(reached, "__print").select(
+    reached = _reached(rows, F.min("__id").alias("least"), F.least("first", "least"), bits)
+    return rows.join(settle(reached), "__print").select(
         F.col("__id").alias(id),
         F.lower(F.lpad(F.hex("__print"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("least").alias("component_id"),
     )
+
+
+def _reached(rows: DataFrame, smallest: Column, lesser: Column, bits: int) -> DataFrame:
+    """``__print`` of every class of equal fingerprints, and ``least``, the smallest over all it is linked to.
+
+    ``smallest`` aggregates the rows of a class as ``least``; ``lesser`` compares ``first`` and ``least``, if any.
+    """
+    classes = settle(rows.groupBy("__print").agg(smallest).withColumnRenamed("least", "first"))
+    prints = classes.select(F.col("__print").alias("print"))
+    joined = settle(components(links(prints, bits)).withColumnRenamed("node", "__print"))
+    linked = classes.join(joined, "__print")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    found = settle(linked.select("__print", "component").join(least, "component").select("__print", "least"))
+    return classes.join(found, "__print", "left").select("__print", lesser.alias("least"))
+
+
+def keep_one(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, bits: int = MAX_BITS
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component, the row with the smallest id stays.
+
+    Null ids come last, and of rows with one id, also of repeated rows, one stays. Rows are linked as in
+    ``near_duplicates``; null, empty and wordless texts are duplicates of each other.
+    """
+    source = docs.select(F.struct("*").alias("row"), F.col(text).alias("__whole"), F.col(id).alias("__id"))
+    rows = settle(fingerprints(source, "__whole", words))
+    place = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row"))
+    narrow = rows.select("__id", "__row", "__print")
+    # The least of two places; a class without links has its own alone.
+    reached = _reached(narrow, F.min(place).alias("least"), F.coalesce("least", "first"), bits)
+    kept = reached.select(F.col("least.__row").alias("__row")).distinct()
+    gone = settle(narrow.select("__row").join(kept, "__row", "left_anti"))
+    return rows.join(gone, "__row", "left_anti").select("row.*")
