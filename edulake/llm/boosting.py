@@ -177,8 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str, text: str, most: int = MA
     found = rows.mapInArrow(_statistic_batches, f"id {kind}, label int, x array<double>").toArrow()
     found = found.sort_by([("id", "ascending"), ("label", "ascending")]).combine_chunks()
     y = found.column("label").to_numpy().astype(float)
-    flat = found.column("x").combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0)
-    return fit(flat.reshape(len(y), -1), y)
+    if not len(y):
+        return fit(np.zeros((0, 1)), y)
+    return fit(found.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1), y)
 
 
 def classify(
