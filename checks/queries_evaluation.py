@@ -10,6 +10,7 @@ from checks import duck
 from checks.harness import Tables, query, spread
 from checks.queries_chat import d1
 from edulake.functions import text as tx
+from edulake.functions.poisson import SPLIT, WIDE, quantile
 from edulake.operators import bootstrap, chat, checks, compare, report, resample, rollout, runs, scoring, summary
 from edulake.plans import evaluate, feedback
 
@@ -205,14 +206,20 @@ def below_half(t: Tables) -> DataFrame:
 
 def _means(scores: str, by: str, replicates: int = 1000) -> str:
     """CTEs that end in ``means(by, n, b, mean)`` for the scores ``(by, value)``."""
+    same = " AND ".join(f"m.{c} IS NOT DISTINCT FROM s.{c}" for c in by.split(", "))
+    floor = "CAST(floor(value) AS BIGINT)"
+    seed = duck.hash52(by, floor, f"CAST(floor((value - {floor}) * 1e9) AS BIGINT)", "piece")
     return f"""scores AS ({scores}),
-      positions AS (SELECT {by}, value, row_number() OVER (PARTITION BY {by} ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS n FROM scores),
-      sizes AS (SELECT {by}, count(*) AS n FROM scores GROUP BY {by}),
-      seeds AS (SELECT {by}, n, b, {duck.hash52(by, 'b')} & {(1 << 31) - 1} AS seed FROM sizes, range({replicates}) AS r(b)),
-      draws AS (SELECT {by}, n, b, seed, unnest(range(n)) AS j FROM seeds),
-      picks AS (SELECT {by}, n, b, {duck.draw_number('seed', 'j')} % n AS pos FROM draws),
-      means AS (SELECT {', '.join('k.' + c for c in by.split(', '))}, k.n, k.b, avg(value) AS mean FROM picks k
-        JOIN positions p ON {' AND '.join(f'k.{c} = p.{c}' for c in by.split(', '))} AND k.pos = p.pos GROUP BY ALL)"""
+      hist AS (SELECT {by}, value, count(*) AS cnt FROM scores GROUP BY ALL),
+      sizes AS (SELECT {by}, sum(cnt) AS n FROM hist GROUP BY {by}),
+      pieces AS (SELECT *, unnest(range(CASE WHEN cnt >= {WIDE} THEN 1 ELSE cnt // {SPLIT} + cnt % {SPLIT} END)) AS piece FROM hist),
+      seeded AS (SELECT *, CAST(CASE WHEN cnt >= {WIDE} THEN cnt WHEN piece < cnt // {SPLIT} THEN {SPLIT} ELSE 1 END AS DOUBLE) AS lam,
+        {seed} & {(1 << 31) - 1} AS seed FROM pieces),
+      mixed AS (SELECT {by}, value, lam, b, ({duck.draw_number('seed', 'b')} + 0.5::DOUBLE) / {1 << 31}::DOUBLE AS u
+        FROM seeded, range({replicates}) AS r(b)),
+      drawn AS (SELECT {by}, value, b, {quantile('u', 'lam')} AS k FROM mixed),
+      summed AS (SELECT {by}, b, sum(k * value) / nullif(sum(k), 0) AS mean FROM drawn GROUP BY {by}, b),
+      means AS (SELECT m.*, s.n FROM summed m JOIN sizes s ON {same})"""
 
 
 _MARKS = """SELECT dataset, 'first' AS metric, CAST(first_mark AS DOUBLE) AS value FROM @mark_pairs
@@ -221,7 +228,7 @@ _INTERVALS = f"""WITH {_means(_MARKS, 'dataset, metric')}
    SELECT dataset, metric, max(n) AS n, CASE WHEN max(n) >= 5 THEN quantile_cont(mean, 0.025) ELSE 0 END AS lower,
    CASE WHEN max(n) >= 5 THEN quantile_cont(mean, 0.975) ELSE 0 END AS upper,
    CASE WHEN max(n) >= 5 THEN greatest(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 0.001) ELSE 1 END AS p_value
-   FROM means GROUP BY dataset, metric"""
+   FROM means WHERE mean IS NOT NULL GROUP BY dataset, metric"""
 
 
 def _marks(t: Tables) -> DataFrame:
@@ -242,7 +249,7 @@ def bootstrap_attached(t: Tables) -> DataFrame:
 @query(
     "paired_bootstrap",
     f"""WITH {_means("SELECT dataset, CAST(second_mark - first_mark AS DOUBLE) AS value FROM @mark_pairs WHERE dataset <> 'src3'", 'dataset')}
-        SELECT dataset, max(n) AS n, avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) AS p_value FROM means GROUP BY dataset
+        SELECT dataset, max(n) AS n, avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) AS p_value FROM means WHERE mean IS NOT NULL GROUP BY dataset
         UNION ALL SELECT dataset, count(*) FILTER (WHERE first_mark = 1), 1.0 FROM @mark_pairs WHERE dataset = 'src3' GROUP BY dataset""",
     doubles=["p_value"],
     longs=["n"],
@@ -253,11 +260,31 @@ def paired_bootstrap(t: Tables) -> DataFrame:
     return bootstrap.paired_p_value(first, second.join(first.where("dataset <> 'src3' or value = 1").select("dataset", "sample_id"), ["dataset", "sample_id"], "left_semi"))
 
 
-@query("bootstrap_poisson", None)
-def bootstrap_poisson(t: Tables) -> DataFrame:
-    """Intervals of the order flags by Poisson counts on the histogram, whatever the number of rows."""
-    scores = bootstrap.long_scores(t.eval_samples, ["dataset"])
-    return bootstrap.confidence_intervals(scores, exact_rows=0)
+# Continuous values in groups of a few to all rows, and one large group of a hundred steps.
+_SIZES = """SELECT o_orderpriority AS dataset, CAST(o_totalprice / 500000 AS DOUBLE) AS value FROM @orders
+   UNION ALL SELECT 'c' || CAST(o_custkey % 997 AS VARCHAR), CAST(o_totalprice / 500000 - 0.3 AS DOUBLE) FROM @orders WHERE o_custkey % 997 < 60
+   UNION ALL SELECT 'all', CAST(floor(o_totalprice / 5000) / 100 AS DOUBLE) FROM @orders"""
+
+
+@query(
+    "bootstrap_sizes",
+    f"""WITH {_means(_SIZES, 'dataset')}
+   SELECT dataset, max(n) AS n, CASE WHEN max(n) >= 5 THEN quantile_cont(mean, 0.025) ELSE 0 END AS lower,
+   CASE WHEN max(n) >= 5 THEN quantile_cont(mean, 0.975) ELSE 0 END AS upper,
+   CASE WHEN max(n) >= 5 THEN greatest(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 0.001) ELSE 1 END AS p_value
+   FROM means WHERE mean IS NOT NULL GROUP BY dataset""",
+    doubles=["lower", "upper", "p_value"],
+    longs=["n"],
+)
+def bootstrap_sizes(t: Tables) -> DataFrame:
+    """Intervals of groups of a few rows and of all rows, by the same method."""
+    price, customer = F.col("o_totalprice"), F.col("o_custkey") % 997
+    continuous = t.orders.select(F.col("o_orderpriority").alias("dataset"), (price / 500000).cast("double").alias("value"))
+    small = t.orders.where(customer < 60).select(
+        F.concat(F.lit("c"), customer.cast("string")).alias("dataset"), (price / 500000 - F.lit(0.3)).cast("double").alias("value")
+    )
+    stepped = t.orders.select(F.lit("all").alias("dataset"), (F.floor(price / 5000) / 100).cast("double").alias("value"))
+    return bootstrap.confidence_intervals(continuous.unionByName(small).unionByName(stepped), ["dataset"])
 
 
 # -- comparisons -------------------------------------------------------------------------------------------

@@ -1,137 +1,72 @@
-"""Bootstrap intervals and tests on per-sample scores.
+"""Bootstrap intervals and tests on per-sample scores, by one method for groups of any size.
 
-Scores are reduced to a histogram per group before anything is drawn. Groups of up to ``EXACT_ROWS`` rows are
-resampled draw by draw with portable hashes. In larger groups every histogram row gets a Poisson count per
-replicate, which costs distinct values times replicates whatever the number of rows, and is added up inside
-each task before it is shuffled.
+Scores are reduced to a histogram per group. In every replicate a histogram row that stands for c samples gets a Poisson
+count of mean c, which is what c samples drawn with replacement come to in a group of any size. The counts are quantiles
+of portable hashes, so they are the same on every engine and retry. The work is distinct values times replicates, in
+generated code, and the counts are added up inside each task before they are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from edulake.functions.hashing import hash52
 from edulake.functions.numeric import round_exact
+from edulake.functions.poisson import MIX, SPLIT, WIDE, quantile
 from edulake.schema import METRICS
-from edulake.session import bounded, settle
+from edulake.session import join_with_nulls, settle
 
 REPLICATES = 1000
-EXACT_ROWS = 2000
 MIN_ROWS = 5
 MIN_ATTACHED = 10
-_OPEN_GROUPS = 512
-_CHUNK = 50
 
 
-def _draw_rows(dealt: DataFrame) -> DataFrame:
-    """One row per draw with a row number ``pick`` below n, mixed from the replicate's ``seed`` and the draw.
+def _uniform(pieces: DataFrame) -> DataFrame:
+    """A column ``u`` in (0, 1) mixed from ``seed`` and the replicate ``b``.
 
     Plain integer columns, so that the draws run in generated code; all products fit in 63 bits.
     """
     mask = F.lit((1 << 31) - 1).cast("bigint")
+    first, second, third = [F.lit(x).cast("bigint") for x in MIX]
     steps = [
-        ("x", (F.col("seed") + F.col("j") * F.lit(0x1E3779B1)).bitwiseAND(mask)),
-        ("x", (F.col("x").bitwiseXOR(F.shiftright("x", 15)) * F.lit(0x2C1B3C6D)).bitwiseAND(mask)),
-        ("x", (F.col("x").bitwiseXOR(F.shiftright("x", 12)) * F.lit(0x297A2D39)).bitwiseAND(mask)),
-        ("pick", (F.col("x").bitwiseXOR(F.shiftright("x", 15)) % F.col("n")).cast("int")),
+        ("u", (F.col("seed") + F.col("b") * first).bitwiseAND(mask)),
+        ("u", (F.col("u").bitwiseXOR(F.shiftright("u", 15)) * second).bitwiseAND(mask)),
+        ("u", (F.col("u").bitwiseXOR(F.shiftright("u", 12)) * third).bitwiseAND(mask)),
+        ("u", (F.col("u").bitwiseXOR(F.shiftright("u", 15)) + F.lit(0.5)) / F.lit(float(1 << 31))),
     ]
-    draws = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     for name, step in steps:
-        draws = draws.withColumn(name, step)
-    return draws
+        pieces = pieces.withColumn(name, step)
+    return pieces
 
 
-def _means_by_hash(hist: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:
-    """Resample means of small groups, draw by draw.
+def resample_means(df: DataFrame, by: Sequence[str], value: str, replicates: int = REPLICATES) -> DataFrame:
+    """One row per group and replicate: the mean of a resample; null where a replicate holds no sample.
 
-    The replicates of a group are dealt out in chunks, so that a few groups still keep every core busy. Draws are
-    added up where they are made; one row per task, group and replicate is shuffled.
+    A count below ``WIDE`` is dealt out as Poisson counts of mean ``SPLIT`` and 1, which add up to the same.
     """
-    rows = hist.groupBy(*by).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("value", "cnt"))).alias("bins")
-    )
-    values = F.flatten(F.transform("bins", lambda b: F.array_repeat(b["value"], b["cnt"].cast("int"))))
-    chunks = F.sequence(F.lit(0), F.lit((replicates - 1) // _CHUNK))
-    first = F.col("chunk") * _CHUNK
-    dealt = (
-        rows.select(*by, "n", values.alias("scores"), F.explode(chunks).alias("chunk"))
-        .repartition(*by, "chunk")
-        .select(*by, "n", "scores", F.explode(F.sequence(first, first + (_CHUNK - 1))).alias("b"))
-        .where(F.col("b") < replicates)
-        .withColumn("seed", hash52(*[F.col(c) for c in by], F.col("b")).bitwiseAND(F.lit((1 << 31) - 1)))
-    )
-    drawn = _draw_rows(dealt).withColumn("value", F.get("scores", F.col("pick")))
-    return (
-        drawn.groupBy(*by, "b")
-        .agg(F.max("n").alias("n"), F.sum("value").alias("total"))
-        .select(*by, "n", "b", (F.col("total") / F.col("n")).alias("mean"))
-    )
-
-
-def _means_by_poisson(hist: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:
-    """Resample means of large groups from Poisson counts per histogram row."""
-    schema = T.StructType(
-        [
-            *[hist.schema[c] for c in by],
-            T.StructField("n", T.LongType()),
-            T.StructField("weights", T.ArrayType(T.DoubleType())),
-            T.StructField("sums", T.ArrayType(T.DoubleType())),
-        ]
+    by = list(by)
+    hist = settle(df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("cnt")))
+    sizes = hist.groupBy(*by).agg(F.sum("cnt").alias("n"))
+    wide, whole = F.col("cnt") >= WIDE, F.floor(F.col("cnt") / SPLIT)
+    number = F.when(wide, 1).otherwise(whole + F.col("cnt") % SPLIT)
+    mean = F.when(wide, F.col("cnt")).when(F.col("piece") < whole, SPLIT).otherwise(1)
+    floor = F.floor("value")
+    name = [*[F.col(c) for c in by], floor, F.floor((F.col("value") - floor) * F.lit(1e9)), F.col("piece")]
+    pieces = (
+        hist.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), number.cast("bigint") - 1)).alias("piece"))
+        .withColumn("lam", mean.cast("double"))
+        .withColumn("seed", hash52(*name).bitwiseAND(F.lit((1 << 31) - 1)))
+        .select(*by, "value", "lam", "seed", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     )
-    keys = list(by)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_groups: dict[tuple, list] = {}
-
-        def emit() -> pd.DataFrame:
-            rows = [(*key, n, w.tolist(), s.tolist()) for key, (n, w, s) in open_groups.items()]
-            open_groups.clear()
-            return pd.DataFrame(rows, columns=[*keys, "n", "weights", "sums"])
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key not in open_groups:
-                    if len(open_groups) >= _OPEN_GROUPS:
-                        yield emit()
-                    open_groups[key] = [row.n, np.zeros(replicates), np.zeros(replicates)]
-                counts = np.random.default_rng(row.seed).poisson(row.cnt, replicates)
-                group = open_groups[key]
-                group[1] += counts
-                group[2] += counts * row.value
-        if open_groups:
-            yield emit()
-
-    seeded = hist.select(*by, "n", "value", "cnt", hash52("poisson", *[F.col(c) for c in by], F.col("value")).alias("seed"))
-    parts = seeded.mapInPandas(partial, schema)
-    per_draw = parts.select(*by, "n", F.posexplode(F.arrays_zip("weights", "sums")).alias("b", "part"))
-    return (
-        per_draw.groupBy(*by, "b")
-        .agg(F.max("n").alias("n"), F.sum("part.weights").alias("w"), F.sum("part.sums").alias("s"))
-        .select(*by, "n", F.col("b").cast("int").alias("b"), F.try_divide("s", "w").alias("mean"))
+    drawn = _uniform(pieces).select(*by, "b", "value", F.expr(quantile("u", "lam")).alias("count"))
+    sums = drawn.groupBy(*by, "b").agg(
+        F.sum("count").alias("w"), F.sum(F.col("count") * F.col("value")).alias("s")
     )
-
-
-def resample_means(
-    df: DataFrame, by: Sequence[str], value: str, replicates: int = REPLICATES, exact_rows: int = EXACT_ROWS
-) -> DataFrame:
-    """One row per group and replicate: the mean of a resample as large as the group."""
-    by = list(by)
-    hist = df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("cnt"))
-    hist = settle(hist)
-    sizes = settle(hist.groupBy(*by).agg(F.sum("cnt").alias("n")))
-    hist = hist.join(bounded(sizes), by)
-    small = _means_by_hash(hist.where(F.col("n") <= exact_rows), by, replicates)
-    large = hist.where(F.col("n") > exact_rows)
-    if large.isEmpty():
-        return small
-    return small.unionByName(_means_by_poisson(large, by, replicates))
+    means = sums.select(*by, "b", F.try_divide("s", "w").alias("mean"))
+    return join_with_nulls(means, sizes, by).select(*by, "n", "b", "mean")
 
 
 def long_scores(df: DataFrame, ids: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -149,14 +84,13 @@ def confidence_intervals(
     value: str = "value",
     confidence: float = 0.95,
     replicates: int = REPLICATES,
-    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Bootstrap interval of the mean and the share of resample means at or below 0, at least 1/replicates.
 
     Groups of fewer than five rows get the interval (0, 0) and p = 1.
     """
     alpha = 1 - confidence
-    means = resample_means(scores, by, value, replicates, exact_rows)
+    means = resample_means(scores, by, value, replicates)
     result = means.groupBy(*by).agg(
         F.max("n").alias("n"),
         F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"),
@@ -186,7 +120,6 @@ def paired_p_value(
     key: str = "sample_id",
     value: str = "value",
     replicates: int = REPLICATES,
-    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Share of paired resamples in which the second run is not better than the first.
 
@@ -197,10 +130,10 @@ def paired_p_value(
     right = second.select(*by, key, F.col(value).cast("double").alias("b_"))
     pairs = left.join(right, [*by, key], "full_outer").withColumn("diff", F.col("b_") - F.col("a"))
     status = pairs.groupBy(*by).agg(F.count_if(F.col("diff").isNull()).alias("unpaired"))
-    tested = resample_means(pairs.where("diff is not null"), by, "diff", replicates, exact_rows)
+    tested = resample_means(pairs.where("diff is not null"), by, "diff", replicates)
     p = tested.groupBy(*by).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("p"), F.max("n").alias("n"))
     usable = (F.col("unpaired") == 0) & F.col("p").isNotNull()
-    return status.join(p, by, "left").select(
+    return join_with_nulls(status, p, by, "left").select(
         *by,
         F.coalesce("n", F.lit(0)).alias("n"),
         F.when(usable, F.col("p")).otherwise(1.0).alias("p_value"),

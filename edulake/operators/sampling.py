@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edulake.functions.hashing import unit
 from edulake.operators.ranking import first_by_id, lowest, with_rank
-from edulake.session import bounded, settle
+from edulake.session import join_with_nulls, settle
 
 #: Cells a unit interval is cut into, so that a draw meets its dataset through an equality join.
 _CELLS = 1024
@@ -35,7 +35,7 @@ def random_n(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
 
 def curated_sample(df: DataFrame, quotas: DataFrame, key: str, seed: str = "42") -> DataFrame:
     """Up to ``quota`` rows of every dataset named in ``quotas``; other datasets are left out."""
-    return lowest(df, ["dataset"], key, seed, lambda total: F.col("quota"), quotas.select("dataset", "quota"))
+    return lowest(df, ["dataset"], key, seed, lambda total: F.coalesce("quota", F.lit(0)), quotas.select("dataset", "quota"))
 
 
 def draw_shares(sizes: DataFrame, multipliers: DataFrame | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def draw_shares(sizes: DataFrame, multipliers: DataFrame | None = None) -> DataF
     shares = sizes.withColumn("mass", F.sqrt(F.col("size").cast("double")))
     if multipliers is not None:
         shares = (
-            shares.join(multipliers.select("dataset", "weight"), "dataset", "left")
+            join_with_nulls(shares, multipliers.select("dataset", "weight"), ["dataset"], "left")
             .withColumn("mass", F.col("mass") * F.coalesce("weight", F.lit(1.0)))
             .drop("weight")
         )
@@ -103,13 +103,13 @@ def weighted_draws(
         .withColumnRenamed("id", "draw")
         .withColumn("u", unit("d", tag, F.col("draw")))
         .withColumn("cell", F.floor(F.col("u") * _CELLS).cast("int"))
-        .join(bounded(cells), "cell")
+        .join(cells, "cell")
         .where("u >= lo and u < hi")
         .withColumn("position", F.floor(unit("r", tag, F.col("draw")) * F.col("size")) + 1)
         .select("draw", "dataset", "position")
     )
     rows = with_rank(df.select("dataset", key), ["dataset"], key, seed)
-    return picks.join(rows, ["dataset", "position"]).select("draw", "dataset", key)
+    return join_with_nulls(picks, rows, ["dataset", "position"]).select("draw", "dataset", key)
 
 
 def epoch_order(df: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edulake.operators.ranking import lowest_cut, with_lowest_mark
-from edulake.session import bounded, settle
+from edulake.session import settle
 
 MIN_EVAL = 10
 MIN_TRAIN = 10
@@ -30,7 +30,8 @@ def holdout_split(
 ) -> DataFrame:
     """Give every row ``split`` = ``eval`` or ``train``, with an exact number of eval rows per dataset.
 
-    ``settings`` may carry ``eval_ratio`` and ``eval_cap`` per dataset. With ``group_key`` whole groups are
+    ``settings`` may carry ``eval_ratio`` and ``eval_cap`` per dataset; ``ratio`` and ``cap`` hold for those it leaves
+    out. Every row comes back, also of a null dataset; of a repeated key as many rows as the number needs. With ``group_key`` whole groups are
     drawn, so copies of one question never end up on both sides, and the number counts groups. Datasets of
     fewer than ten rows cannot be split and are refused. An existing ``split`` column is kept.
     """
@@ -42,7 +43,9 @@ def holdout_split(
     def quota(total):
         if settings is None:
             return holdout_size(total, F.lit(ratio), F.lit(cap))
-        return holdout_size(total, F.col("eval_ratio"), F.col("eval_cap"))
+        return holdout_size(
+            total, F.coalesce("eval_ratio", F.lit(ratio)), F.coalesce("eval_cap", F.lit(cap))
+        )
 
     cut = lowest_cut(units, [dataset], unit_key, seed, quota, settings)
     small = cut.where(F.col("total") < MIN_TRAIN).select(dataset).head(5)
@@ -56,7 +59,7 @@ def holdout_split(
 
 def train_rows(df: DataFrame, eval_rows: DataFrame, key: str) -> DataFrame:
     """All rows whose key is not held out. Held-out keys are few, so the rows stay where they are."""
-    return df.join(bounded(settle(eval_rows.select(key))), key, "left_anti")
+    return df.join(settle(eval_rows.select(key)), key, "left_anti")
 
 
 def leaked_prefixes(df: DataFrame, question: str = "question", chars: int = 100) -> DataFrame:

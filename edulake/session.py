@@ -1,21 +1,18 @@
-"""Session helpers: settling results in the shared folder, and joins to small tables behind a size check."""
+"""Session helpers: settling results in the shared folder, and joins that keep nulls."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest lookup side, in rows, that is sent to every executor.
-BROADCAST_ROWS = 200_000
-
 _SETTLED: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder named by ``spark.checkpoint.dir``; fall back to a scratch folder in local mode only."""
+    """Use the folder named by ``spark.checkpoint.dir``; in local mode an unset folder lies in the warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -24,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="edulake-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/settled"
     context.setCheckpointDir(folder)
     return folder
 
@@ -53,12 +50,13 @@ def release_settled(spark: SparkSession) -> int:
     return count
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a settled or stored table for broadcast when it holds at most ``max_rows``.
+def join_with_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null. The key columns are those of ``left``.
 
-    A larger table is returned as it is: Spark then shuffles both sides, and adaptive execution splits
-    the skewed partitions.
+    Settled sides carry their size, so Spark broadcasts the small ones and splits the skewed partitions of others.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    renamed = right.select(*[F.col(c).alias(f"__right_{c}" if c in keys else c) for c in right.columns])
+    matched = F.lit(True)
+    for key in keys:
+        matched = matched & left[key].eqNullSafe(F.col(f"__right_{key}"))
+    return left.join(renamed, matched, how).drop(*[f"__right_{key}" for key in keys])

@@ -131,3 +131,54 @@ def test_raw_sample_cap_cuts_before_the_shuffle(rows):
     plan = capped._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert capped.groupBy("dataset").count().where("count > 100").count() == 0
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Repeated string keys, a null dataset, a null key."""
+    rows = [(f"k{i % 5}", "a") for i in range(100)] + [(f"u{i}", None) for i in range(60)]
+    rows += [(f"v{i}", "b") for i in range(40)] + [(None, "b")] * 3
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "key string, dataset string, row long").cache()
+
+
+def by_dataset(df):
+    return {r["dataset"]: r["count"] for r in df.groupBy("dataset").count().collect()}
+
+
+def test_split_returns_every_row_once(uneven):
+    done = split.holdout_split(uneven, "key")
+    assert sorted(r["row"] for r in done.collect()) == list(range(203))
+    assert by_dataset(done.where("split = 'eval'")) == {"a": 10, None: 10, "b": 10}
+
+
+def test_split_settings_may_leave_datasets_out(spark, uneven):
+    settings = spark.createDataFrame([("a", 0.5, 20), (None, 0.5, 500)], "dataset string, eval_ratio double, eval_cap long")
+    done = split.holdout_split(uneven, "key", settings=settings)
+    assert done.count() == 203
+    assert by_dataset(done.where("split = 'eval'")) == {"a": 20, None: 30, "b": 10}
+
+
+def test_samples_of_repeated_keys_are_exact(spark, uneven):
+    for n in (0, 1, 7, 33, 203, 500):
+        drawn = sampling.random_n(uneven, "key", n)
+        assert drawn.count() == drawn.select("row").distinct().count() == min(n, 203)
+    assert sampling.fraction_sample(uneven, "key", 0.5).count() == 101
+    quotas = spark.createDataFrame([("a", 33), (None, 7)], "dataset string, quota long")
+    assert by_dataset(sampling.curated_sample(uneven, quotas, "key")) == {"a": 33, None: 7}
+    assert by_dataset(sampling.audit_sample(uneven, "key", n=30)) == {"a": 10, None: 10, "b": 10}
+
+
+def test_first_rows_of_any_key(spark, uneven):
+    ordered = sorted((r["key"] is not None, r["key"] or "") for r in uneven.collect())
+    for n in (0, 1, 2, 3, 4, 30, 103, 150, 203, 900):
+        got = sorted((r["key"] is not None, r["key"] or "") for r in ranking.first_by_id(uneven, "key", n).collect())
+        assert got == ordered[:n]
+
+
+def test_no_draw_is_lost(uneven):
+    draws = sampling.weighted_draws(uneven, "key", draws=1000)
+    assert draws.count() == 1000 and by_dataset(draws)[None] > 200
+
+
+def test_order_of_repeated_keys_is_a_permutation(uneven):
+    assert sorted(r["position"] for r in sampling.epoch_order(uneven, "key").collect()) == list(range(1, 204))

@@ -8,6 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from edulake.functions import poisson
 from edulake.operators import bootstrap, checks, rollout
 
 
@@ -15,18 +16,26 @@ def marks(spark, rows):
     return spark.createDataFrame(rows, "dataset string, value double")
 
 
-@pytest.mark.parametrize("exact_rows", [2000, 0])
-def test_interval_of_a_proportion(spark, exact_rows):
-    """Resampling draw by draw and by Poisson counts agree with the normal interval."""
-    data = marks(spark, [("a", float(i % 5 < 2)) for i in range(1000)])
-    row = bootstrap.confidence_intervals(data, ["dataset"], exact_rows=exact_rows).first()
-    spread = 1.96 * (0.4 * 0.6 / 1000) ** 0.5
-    assert row["n"] == 1000
-    assert row["lower"] == pytest.approx(0.4 - spread, abs=0.008)
-    assert row["upper"] == pytest.approx(0.4 + spread, abs=0.008)
+@pytest.mark.parametrize("n", [50, 1000, 2000, 2001, 100_000])
+def test_interval_of_a_proportion(spark, n):
+    """The interval agrees with the normal one, and moves smoothly with the size of the group."""
+    data = spark.range(n).selectExpr("'a' AS dataset", "CAST(id % 5 < 2 AS DOUBLE) AS value")
+    row = bootstrap.confidence_intervals(data, ["dataset"]).first()
+    spread = 1.96 * (0.4 * 0.6 / n) ** 0.5
+    assert row["n"] == n
+    assert row["lower"] == pytest.approx(0.4 - spread, abs=0.2 * spread)
+    assert row["upper"] == pytest.approx(0.4 + spread, abs=0.2 * spread)
     assert row["p_value"] == pytest.approx(0.001)
 
 
+@pytest.mark.parametrize("mean", [1, 8, 64, 1000])
+def test_counts_have_the_mean_and_variance_of_a_poisson(spark, mean):
+    draws = spark.range(200_000).selectExpr("(id + 0.5D) / 200000D AS u", f"{mean}D AS lam")
+    row = draws.select(F.expr(poisson.quantile("u", "lam")).alias("k")).agg(F.avg("k").alias("m"), F.var_pop("k").alias("v")).first()
+    assert row["m"] == pytest.approx(mean, rel=2e-3)
+    assert row["v"] == pytest.approx(mean, rel=2e-2)
+
+
 def test_small_groups(spark):
     data = marks(spark, [("four", 1.0)] * 4 + [("nine", 1.0)] * 9 + [("ten", 0.0)] * 10)
     rows = {r["dataset"]: r for r in bootstrap.confidence_intervals(data, ["dataset"]).collect()}
@@ -37,7 +46,7 @@ def test_small_groups(spark):
     assert [r["dataset"] for r in attached] == ["ten"]
 
 
-def test_poisson_is_repeatable_and_handles_many_values(spark):
+def test_intervals_are_repeatable_with_many_values(spark):
     rng = random.Random(4)
     values = [rng.gauss(0.3, 1) for _ in range(3000)]
     data = marks(spark, [("a", v) for v in values])
