@@ -396,8 +396,8 @@ def flat_verdict(t: Tables) -> DataFrame:
 @query(
     "regression_verdict",
     f"""WITH base AS (SELECT * FROM @run_table WHERE run_id = {_SECOND} AND dataset <> 'ds7'),
-        drops AS (SELECT c.dataset, b.accuracy AS base_accuracy, b.accuracy - c.accuracy AS accuracy_drop,
-          b.step_completeness - c.step_completeness AS step_drop FROM @run_table c LEFT JOIN base b USING (dataset) WHERE c.run_id = {_NEWEST}),
+        drops AS (SELECT c.dataset, b.accuracy AS base_accuracy, b.accuracy - coalesce(c.accuracy, 0) AS accuracy_drop,
+          b.step_completeness - coalesce(c.step_completeness, 0) AS step_drop FROM @run_table c LEFT JOIN base b USING (dataset) WHERE c.run_id = {_NEWEST}),
         verdicts AS (SELECT dataset, accuracy_drop, step_drop, CASE WHEN base_accuracy IS NULL THEN 'no_baseline' WHEN accuracy_drop > 0.10 THEN 'severe'
           WHEN accuracy_drop > 0.05 THEN 'mild' ELSE 'fine' END AS verdict FROM drops)
         SELECT *, verdict <> 'severe' AS safe FROM verdicts""",
@@ -407,7 +407,7 @@ def regression_verdict(t: Tables) -> DataFrame:
     return compare.regression_verdict(latest(t, 1), latest(t, 2).where("dataset <> 'ds7'"))
 
 
-_LADDER = """CASE WHEN sft_accuracy IS NULL THEN 'good' WHEN grpo_accuracy < sft_accuracy * 0.95 THEN 'severe'
+_LADDER = """CASE WHEN grpo_accuracy IS NULL THEN 'no_policy_run' WHEN sft_accuracy IS NULL THEN 'good' WHEN grpo_accuracy < sft_accuracy * 0.95 THEN 'severe'
    WHEN grpo_accuracy < sft_accuracy * 1.02 AND grpo_accuracy < sft_accuracy THEN 'fallback_slight' WHEN grpo_accuracy < sft_accuracy * 1.02 THEN 'fallback'
    WHEN grpo_accuracy < sft_accuracy * 1.05 THEN 'combined' ELSE 'good' END AS verdict, (grpo_accuracy - sft_accuracy) / nullif(sft_accuracy, 0) AS change"""
 

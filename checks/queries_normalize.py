@@ -75,7 +75,7 @@ EXPECTED = {
     "scienceqa": (
         _TAG + _Q + " || " + _choices("choices"),
         _explained("lecture", _LETTER, "'正确答案是 ' || ", answer_lead="正确答案是 "),
-        "image IS NOT NULL", "image IS NOT NULL", nz.SYSTEM_DEFAULT),
+        "image IS NOT NULL", "image IS NOT NULL AND answer_idx IS NOT NULL", nz.SYSTEM_DEFAULT),
     "mathverse": (
         _TAG + "coalesce(question, problem, '')", "'答案：' || coalesce(answer, '')",
         "image IS NOT NULL", "image IS NOT NULL", nz.SYSTEM_DEFAULT),

@@ -108,12 +108,15 @@ def flat_verdict(comparison: DataFrame) -> DataFrame:
 
 
 def regression_verdict(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Accuracy drop of every dataset against its baseline; without a baseline it is safe."""
+    """Accuracy drop of every dataset against its baseline; without a baseline it is safe.
+
+    A dataset that failed in the current run, and so has no accuracy, counts as 0.
+    """
     base = baseline.select(
         "dataset", F.col("accuracy").alias("base_accuracy"), F.col("step_completeness").alias("base_steps")
     )
     joined = current.select("dataset", "accuracy", "step_completeness").join(base, "dataset", "left")
-    drop = F.col("base_accuracy") - F.col("accuracy")
+    drop = F.col("base_accuracy") - F.coalesce("accuracy", F.lit(0.0))
     verdict = (
         F.when(F.col("base_accuracy").isNull(), "no_baseline")
         .when(drop > 0.10, "severe")
@@ -123,7 +126,7 @@ def regression_verdict(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return joined.select(
         "dataset",
         drop.alias("accuracy_drop"),
-        (F.col("base_steps") - F.col("step_completeness")).alias("step_drop"),
+        (F.col("base_steps") - F.coalesce("step_completeness", F.lit(0.0))).alias("step_drop"),
         verdict.alias("verdict"),
         (verdict != "severe").alias("safe"),
     )
@@ -146,10 +149,14 @@ def regression_verdict_tested(comparison: DataFrame) -> DataFrame:
 
 
 def optimisation_verdict(scores: DataFrame, tuned: str = "grpo_accuracy", base: str = "sft_accuracy") -> DataFrame:
-    """What to do after policy training, from its accuracy and that of the run it started from."""
+    """What to do after policy training, from its accuracy and that of the run it started from.
+
+    Without a policy run there is nothing to judge; without the run it started from it is good.
+    """
     g, s = F.col(tuned), F.col(base)
     verdict = (
-        F.when(s.isNull(), "good")
+        F.when(g.isNull(), "no_policy_run")
+        .when(s.isNull(), "good")
         .when(g < s * 0.95, "severe")
         .when((g < s * 1.02) & (g < s), "fallback_slight")
         .when(g < s * 1.02, "fallback")

@@ -229,7 +229,14 @@ _Q = present("question")
 
 SOURCES: dict[str, SourceSpec] = {
     "scienceqa": SourceSpec(
-        _Q, index_letter("answer"), lettered("choices"), truthy("lecture"), answer_lead=CORRECT, images=("image",)
+        _Q,
+        index_letter("answer"),
+        lettered("choices"),
+        truthy("lecture"),
+        answer_lead=CORRECT,
+        images=("image",),
+        # Without the column the first choice is right; a row without an answer is left out.
+        required=lambda r: r.raw("answer").isNotNull() if r.has("answer") else F.lit(True),
     ),
     "mathverse": SourceSpec(present("question", "problem"), present("answer"), images=("image",)),
     "mathvista": SourceSpec(

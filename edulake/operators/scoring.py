@@ -112,28 +112,19 @@ def _shared_counts(left: Column, right: Column) -> Column:
     return _fold(merged, ("l", "r", "dot", "ll", "rr"), (0, 0, 0, 0, 0), step, lambda run: run)
 
 
-#: Up to so many shared tokens the lists are first cut to them, at one look into a short list per token.
-_FEW_SHARED = 64
-
-
 def tfidf_cosine(left: Column, right: Column) -> Column:
     """Cosine of the TF-IDF vectors of two token lists of one row.
 
     Every token weighs 1 but those of both lists, so the squared lengths come from the counts of each list alone,
-    and only shared tokens need a closer look. The cost is that of sorting the row's own tokens, and nothing
-    leaves the row.
+    and only shared tokens add to the product. The cost is that of sorting the row's own tokens, and nothing leaves
+    the row. Both lists are bound once, however dear the expressions that make them.
     """
-    sides = F.struct(left.alias("left"), right.alias("right"), F.array_intersect(left, right).alias("shared"))
-
-    def kept(s: Column, side: str) -> Column:
-        cut = F.filter(s[side], lambda t: F.array_contains(s["shared"], t))
-        return F.when(F.size(s["shared"]) <= _FEW_SHARED, cut).otherwise(s[side])
 
     def sums(s: Column) -> Column:
         return F.struct(
             _squared_counts(s["left"]).alias("ll"),
             _squared_counts(s["right"]).alias("rr"),
-            _shared_counts(kept(s, "left"), kept(s, "right")).alias("both"),
+            _shared_counts(s["left"], s["right"]).alias("both"),
         )
 
     def cosine(t: Column) -> Column:
@@ -143,7 +134,7 @@ def tfidf_cosine(left: Column, right: Column) -> Column:
         dot = weight * t["both"]["dot"]
         return F.when((ll > 0) & (rr > 0), dot / (F.sqrt(ll) * F.sqrt(rr))).otherwise(F.lit(0.0))
 
-    return tx.let(tx.let(sides, sums), cosine)
+    return tx.let(tx.let(F.struct(left.alias("left"), right.alias("right")), sums), cosine)
 
 
 def keyword_recall(response: Column, answer: Column) -> Column:
