@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.duck import hash52, lit, strip, unit
 from checks.harness import Tables, query
 from edulake.functions.lexicon import EVAL_PROMPTS, JUDGE_EMPTY, JUDGE_TEMPLATE, TUTOR_PROMPTS
 from edulake.operators import chat
 from edulake.operators.judge import judge_prompt
+from edulake.session import settle
 from edulake.sources import metric_log, runs, samples
 
 SYSTEMS = "[" + ", ".join(lit(p) for p in TUTOR_PROMPTS) + "]"
@@ -271,10 +273,45 @@ def runs_write_read(t: Tables) -> DataFrame:
     runs.write_json(documents, path)
     from edulake.schema import EVAL_RUN
 
-    back = t.spark.read.schema(EVAL_RUN.add("run_id", "string")).json(path).withColumnRenamed("timestamp", "ts")
+    schema = T.StructType([*EVAL_RUN.fields, T.StructField("run_id", T.StringType())])
+    back = t.spark.read.schema(schema).json(path).withColumnRenamed("timestamp", "ts")
     return runs.flatten_runs(back).select("run_id", "stage", "ts", "model_path", "dataset", "accuracy", "total")
 
 
+@query(
+    "run_metrics_write_read",
+    """WITH weighted AS (SELECT run_id, sum(accuracy * total) / nullif(sum(total), 0) AS w FROM @run_table GROUP BY run_id),
+         results AS (SELECT run_id, dataset, total, accuracy IS NULL AS failed, w, scaffolding_rate * 2 - 1 AS mean_reward, accuracy FROM @run_table JOIN weighted USING (run_id))
+       SELECT run_id, dataset, total, w AS weighted_accuracy, CASE WHEN failed THEN 'out of memory' END AS error, m.metric, m.value
+       FROM results LEFT JOIN (SELECT run_id, dataset, 'accuracy' AS metric, accuracy AS value FROM results WHERE NOT failed
+         UNION ALL SELECT run_id, dataset, 'mean_reward', mean_reward FROM results WHERE NOT failed) m USING (run_id, dataset)""",
+    doubles=["value", "weighted_accuracy"],
+    longs=["total"],
+)
+def run_metrics_write_read(t: Tables) -> DataFrame:
+    """Runs with metrics of any name, failed datasets and their own aggregate, written and read back."""
+    failed = F.col("accuracy").isNull()
+    result = F.struct(
+        "accuracy",
+        F.when(~failed, F.col("scaffolding_rate") * 2 - 1).alias("mean_reward"),
+        "total",
+        F.when(failed, "out of memory").alias("error"),
+    )
+    weighted = F.try_divide(F.sum(F.col("accuracy") * F.col("total")), F.sum("total")).alias("weighted_accuracy")
+    documents = t.run_table.groupBy("run_id", "stage", F.col("ts").alias("timestamp"), "model_path").agg(
+        F.map_from_entries(F.collect_list(F.struct("dataset", result))).alias("datasets"),
+        F.struct(weighted).alias("aggregate"),
+    )
+    path = f"{t.scratch}/run-metrics"
+    runs.write_json(documents, path)
+    results = settle(runs.read_run_results(t.spark, path, one_per_line=True))
+    metrics = runs.result_metrics(results).select("run_id", "dataset", "metric", "value")
+    total = F.get_json_object("result", "$.total").cast("bigint").alias("total")
+    return results.select("run_id", "dataset", total, "weighted_accuracy", "error").join(
+        metrics, ["run_id", "dataset"], "left"
+    )
+
+
 @query(
     "metric_log_write_read",
     "SELECT run, metric, step, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, value FROM @points",

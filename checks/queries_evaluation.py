@@ -54,6 +54,22 @@ def evaluate_responses(t: Tables) -> DataFrame:
     return summary.dataset_summary(evaluate.score_responses(t.responses), length="response_length")
 
 
+@query(
+    "evaluate_rules",
+    f"""SELECT dataset, count(*) AS total, avg(accuracy) AS accuracy, avg(step_completeness) AS step_completeness, avg(scaffolding_rate) AS scaffolding_rate
+        FROM (SELECT * REPLACE (CAST(CASE WHEN dataset IN ('ds1', 'ds2') THEN contains(r.response, r.gt_answer) WHEN dataset = 'ds3' THEN contains(left(r.response, 50), r.gt_answer)
+            ELSE accuracy = 1 END AS INTEGER) AS accuracy, CASE WHEN dataset IN ('ds1', 'ds2')
+            THEN CAST({duck.any_of('r.response', ('观察', '思考', '想一想', '你能发现'))} AS INTEGER) ELSE scaffolding_rate END AS scaffolding_rate)
+          FROM ({_scored('responses')}) s JOIN (SELECT dataset, sample_id, response, gt_answer FROM @responses) r USING (dataset, sample_id)) GROUP BY dataset""",
+    doubles=METRICS,
+    longs=["total"],
+)
+def evaluate_rules(t: Tables) -> DataFrame:
+    """Three kinds of accuracy rules in one run."""
+    rules = {"ds1": "contained", "ds2": "contained", "ds3": "prefix"}
+    return summary.dataset_summary(evaluate.score_responses(t.responses, rules))
+
+
 @query(
     "evaluation_errors",
     f"""SELECT error_type, count(*) AS count, CAST(printf('%.4f', count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS DOUBLE) AS ratio

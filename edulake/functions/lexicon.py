@@ -9,6 +9,7 @@ from dataclasses import dataclass
 STEP_WORDS = ("步骤", "首先", "然后", "Step")
 GUIDANCE_WORDS = ("观察", "思考", "想一想")
 GUIDANCE_WORDS_SCIENCE = ("观察", "思考", "想一想", "你能发现")
+ACCURACY_RULES = {"scienceqa": "contained", "ceval": "prefix"}
 
 SCAFFOLDING_WORDS = (
     "观察", "思考", "想一想", "你能发现", "注意到",

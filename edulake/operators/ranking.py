@@ -176,3 +176,22 @@ def first_by_id(df: DataFrame, key: str, n: int) -> DataFrame:
         return df.where(F.coalesce(lower, F.lit(False)) | own)
     ties = df.where(own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).limit(take)
     return df.where(F.coalesce(lower, F.lit(False))).unionByName(ties)
+
+
+#: Parts that a group is cut into before its first rows are taken.
+PARTS = 256
+
+
+def first_per_group(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, to: str = "__rn"
+) -> DataFrame:
+    """The first n rows of every group, numbered from 1.
+
+    A group's rows are dealt into parts, each part is cut to n rows, and then the parts of a group meet: one task gets
+    ``PARTS * n`` rows of a group at most, whatever its size and the number of input partitions.
+    """
+    part = F.pmod(F.xxhash64(F.struct("*")), F.lit(PARTS))
+    within = Window.partitionBy(*groups, "__part").orderBy(*order)
+    cut = df.withColumn("__part", part).withColumn(to, F.row_number().over(within)).where(F.col(to) <= n)
+    whole = Window.partitionBy(*groups).orderBy(*order)
+    return cut.drop("__part").withColumn(to, F.row_number().over(whole)).where(F.col(to) <= n)

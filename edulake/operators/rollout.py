@@ -9,6 +9,8 @@ from edulake.functions.text import let, strip
 from edulake.session import settle
 
 EPS = 1e-8
+#: Parts that a prompt's candidates are added up in.
+PARTS = 256
 
 
 def drop_blank(df: DataFrame, response: str = "response") -> DataFrame:
@@ -37,10 +39,15 @@ def clipped_term(old: Column, new: Column, advantage: Column, clip: float = 0.2)
 def surrogate_loss(
     df: DataFrame, prompt: str = "prompt_id", batch: str | None = None, clip: float = 0.2
 ) -> DataFrame:
-    """Clipped surrogate per prompt, and averaged over the prompts of a batch when one is given."""
+    """Clipped surrogate per prompt, and averaged over the prompts of a batch when one is given.
+
+    A prompt's terms are added up in parts first, so that one prompt with most of the candidates is not one task.
+    """
     term = clipped_term(F.col("logp_old"), F.col("logp_new"), F.col("advantage"), clip)
     keys = [prompt] if batch is None else [batch, prompt]
-    per_prompt = df.groupBy(*keys).agg(F.avg(term).alias("loss"))
+    part = F.pmod(F.xxhash64("logp_old", "logp_new", "advantage"), F.lit(PARTS)).alias("__part")
+    parts = df.groupBy(*keys, part).agg(F.sum(term).alias("__sum"), F.count(term).alias("__n"))
+    per_prompt = parts.groupBy(*keys).agg(F.try_divide(F.sum("__sum"), F.sum("__n")).alias("loss"))
     if batch is None:
         return per_prompt
     return per_prompt.groupBy(batch).agg(F.avg("loss").alias("loss"), F.count("*").alias("prompts"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edulake.operators.ranking import lowest_cut, with_lowest_mark
+from edulake.operators.ranking import first_per_group, lowest_cut, with_lowest_mark
 from edulake.session import settle
 
 MIN_EVAL = 10
@@ -86,6 +86,8 @@ def config_overlap(evaluated: DataFrame, trained: DataFrame) -> DataFrame:
 
 
 def raw_sample_cap(df: DataFrame, key: str, dataset: str = "dataset", n: int = 100) -> DataFrame:
-    """The first n rows of every dataset. Spark cuts each input partition to n per dataset before it shuffles."""
-    order = Window.partitionBy(dataset).orderBy(key)
-    return df.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= n).drop("__rn")
+    """The first n rows of every dataset. Null datasets are one dataset, and of equal keys any rows are taken.
+
+    Parts of a dataset are cut to n rows each before they meet, so one dataset of many rows never meets in one task.
+    """
+    return first_per_group(df, [dataset], [F.col(key)], n).drop("__rn")

@@ -22,9 +22,18 @@ def next_training_sample(
 
 
 def policy_verdict(run_table: DataFrame) -> DataFrame:
-    """Verdict on the newest policy-trained run against the newest fine-tuned run."""
+    """Verdict on the newest policy-trained run against the newest fine-tuned run.
+
+    A run's own ``weighted_accuracy`` counts where the table has one, and the mean over its datasets elsewhere.
+    """
     newest = runs.latest_per_stage(run_table).where(F.col("stage").isin("sft", "grpo")).select("run_id")
-    scores = summary.macro_mean(run_table.join(newest, "run_id", "left_semi"), ["stage"])
+    chosen = run_table.join(newest, "run_id", "left_semi")
+    scores = summary.macro_mean(chosen, ["stage"])
+    if "weighted_accuracy" in run_table.columns:
+        weighted = chosen.groupBy("stage").agg(F.max("weighted_accuracy").alias("__weighted"))
+        scores = scores.join(weighted, "stage").withColumn(
+            "macro_accuracy", F.coalesce("__weighted", "macro_accuracy")
+        )
     pivoted = scores.agg(
         F.max(F.when(F.col("stage") == "grpo", F.col("macro_accuracy"))).alias("grpo_accuracy"),
         F.max(F.when(F.col("stage") == "sft", F.col("macro_accuracy"))).alias("sft_accuracy"),

@@ -28,6 +28,44 @@ def flatten_runs(runs: DataFrame) -> DataFrame:
     return exploded.select("run_id", "stage", "ts", "model_path", "dataset", "result.*")
 
 
+#: Numbers of a result that are no metrics.
+NO_METRICS = ("total", "p_value", "lower", "upper")
+
+
+def read_run_results(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """One row per run and dataset with the whole ``result`` as JSON, its ``error`` if it failed, and the run's own
+    ``weighted_accuracy``. A document is a file, or a line; the file's name is the run unless the document names it.
+    """
+    schema = (
+        "run_id string, timestamp string, stage string, model_path string, datasets map<string, string>, "
+        "aggregate struct<weighted_accuracy: double, weakest_datasets: array<string>>"
+    )
+    rows = spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
+    name = F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit(".json"), F.lit(""))
+    named = rows.withColumn("run_id", F.coalesce("run_id", name))
+    named = named.where(~F.col("run_id").isin("latest", "audit_samples"))
+    return named.select(
+        "run_id",
+        "stage",
+        F.col("timestamp").alias("ts"),
+        "model_path",
+        F.col("aggregate.weighted_accuracy").alias("weighted_accuracy"),
+        F.explode("datasets").alias("dataset", "result"),
+    ).withColumn("error", F.get_json_object("result", "$.error"))
+
+
+def result_metrics(results: DataFrame) -> DataFrame:
+    """Every numeric entry of every result but counts and interval bounds, as ``metric`` and ``value``."""
+    entries = F.from_json("result", "map<string, string>")
+    ids = [c for c in ("run_id", "stage", "ts", "model_path", "dataset") if c in results.columns]
+    total = F.try_element_at(entries, F.lit("total")).try_cast("bigint").alias("total")
+    each = results.select(*ids, total, F.explode(entries).alias("metric", "text"))
+    value = F.col("text").try_cast("double")
+    return each.where(~F.col("metric").isin(*NO_METRICS)).select(*ids, "total", "metric", value.alias("value")).where(
+        "value IS NOT NULL"
+    )
+
+
 def raw_samples(runs: DataFrame) -> DataFrame:
     """One row per stored sample of every run and dataset."""
     flat = flatten_runs(runs)
@@ -37,11 +75,12 @@ def raw_samples(runs: DataFrame) -> DataFrame:
 
 
 def read_flat_runs(spark: SparkSession, path: str) -> DataFrame:
-    """``key``/``value`` rows of flat run documents; entries that are no numbers are left out."""
+    """``run_id``, ``key`` and ``value`` rows of flat run documents; entries that are no numbers are left out."""
     schema = T.MapType(T.StringType(), T.StringType())
     lines = spark.read.option("wholetext", True).text(path)
-    entries = lines.select(F.explode(F.from_json("value", schema)).alias("key", "text"))
-    return entries.select("key", F.col("text").try_cast("double").alias("value")).where("value is not null")
+    name = F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit(".json"), F.lit(""))
+    entries = lines.select(name.alias("run_id"), F.explode(F.from_json("value", schema)).alias("key", "text"))
+    return entries.select("run_id", "key", F.col("text").try_cast("double").alias("value")).where("value is not null")
 
 
 def append_run(summary: DataFrame, path: str, run_id: str, stage: str, ts: str, model_path: str = "") -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from edulake.operators.ranking import first_per_group
+
 KEYS = ("run", "metric")
 TREND_POINTS = 5
 HISTORY_POINTS = 100
@@ -30,11 +32,10 @@ def trend_label(delta: Column, flat: float = FLAT) -> Column:
 def newest(points: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """The newest n points of every metric, numbered from the newest.
 
-    Every input partition is cut to n points per metric before the shuffle, so a metric that fills most of the
-    log still sends only a few rows on.
+    Parts of a metric are cut to n points each before they meet, so a metric that fills most of the log sends only a
+    few rows to any task.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("step"))
-    return points.withColumn("recency", F.row_number().over(order)).where(F.col("recency") <= n)
+    return first_per_group(points, keys, [F.desc("ts"), F.desc("step")], n, "recency")
 
 
 def bounded_history(points: DataFrame, n: int = HISTORY_POINTS) -> DataFrame:
