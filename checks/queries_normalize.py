@@ -262,24 +262,37 @@ def normalize_windata(t: Tables) -> DataFrame:
     )
 
 
+def _built(name: str) -> str:
+    user, assistant, has_image, kept, _ = EXPECTED[name]
+    return f"""SELECT '{name}' AS dataset, row_id, {user} AS user_text, {assistant} AS assistant_text, {has_image} AS has_real_image
+      FROM @qa_wide WHERE {kept}"""
+
+
 @query(
     "build_samples",
-    """WITH merged AS (
-         SELECT 'biology' AS dataset, row_id FROM @qa_wide WHERE image IS NOT NULL
-         UNION ALL SELECT 'ceval', row_id FROM @qa_wide
-         UNION ALL SELECT 'race', row_id FROM @qa_wide),
+    f"""WITH merged AS ({_built('biology')} UNION ALL {_built('ceval')} UNION ALL {_built('race')}),
        ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY
            CAST('0x' || substr(md5('42|' || dataset || ':' || row_id), 1, 13) AS BIGINT), dataset || ':' || row_id) AS rn,
          count(*) OVER (PARTITION BY dataset) AS total FROM merged)
-       SELECT dataset, row_id, CASE WHEN rn <= least(greatest(least(floor(total * 0.05::DOUBLE), 500), 10), total - 10)
-         THEN 'eval' ELSE 'train' END AS split FROM ranked""",
+       SELECT dataset, row_id, user_text, assistant_text, has_real_image,
+         CASE WHEN rn <= least(greatest(least(floor(total * 0.05::DOUBLE), 500), 10), total - 10) THEN 'eval' ELSE 'train' END AS split
+       FROM ranked""",
     longs=["row_id"],
 )
 def build(t: Tables) -> DataFrame:
+    """Whole flow from three sources: the rendered texts and the side of the split that they end on."""
     sources = {
         "biology": source(t, "biology"),
         "ceval": source(t, "ceval"),
         "race": t.qa_wide.withColumnRenamed("text", "article"),
         "unknown": t.qa_wide,
     }
-    return build_samples(sources).select("dataset", "row_id", "split")
+    turns = parse_turns(F.col("conversations"))
+    return build_samples(sources).select(
+        "dataset",
+        "row_id",
+        turns[1]["content"].alias("user_text"),
+        turns[2]["content"].alias("assistant_text"),
+        "has_real_image",
+        "split",
+    )

@@ -21,7 +21,9 @@ def documents(t: Tables) -> DataFrame:
 
 
 def pairs(t: Tables) -> DataFrame:
-    return spread(t.documents).join(t.benchmark.select("item_id", F.col("text").alias("gt_answer")), F.col("doc_id") % 40 == F.col("item_id")).select(
+    """Every document with one of the benchmark items, which are all used."""
+    items = t.benchmark.select("item_id", F.col("text").alias("gt_answer"))
+    return spread(t.documents).join(items, F.col("doc_id") % items.count() == F.col("item_id")).select(
         F.col("doc_id").alias("sample_id"), F.col("text").alias("response"), "gt_answer"
     )
 

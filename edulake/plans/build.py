@@ -1,4 +1,4 @@
-"""From raw source tables to split samples, in one lazy plan."""
+"""From raw source tables to split samples. The split counts keys while the plan is built."""
 
 from __future__ import annotations
 
@@ -34,13 +34,19 @@ def build_samples(
     settings: DataFrame | None = None,
     seed: str = "42",
     group_by_question: bool = False,
+    question_chars: int | None = 100,
 ) -> DataFrame:
-    """Normalised and split samples. Splitting ranks keys only; the image bytes never take part in a shuffle."""
+    """Normalised and split samples. Splitting ranks keys only; the image bytes never take part in a shuffle.
+
+    Questions are the same when their first ``question_chars`` characters are, or as a whole with None.
+    """
     samples = normalize_sources(sources)
     if not group_by_question:
         return holdout_split(samples, "sample_key", settings=settings, seed=seed)
-    prefix = F.substring(last_question(parse_turns(F.col("conversations"))), 1, 100)
-    keyed = samples.withColumn("question_key", F.md5(prefix))
+    question = last_question(parse_turns(F.col("conversations")))
+    if question_chars is not None:
+        question = F.substring(question, 1, question_chars)
+    keyed = samples.withColumn("question_key", F.md5(question))
     return holdout_split(keyed, "sample_key", settings=settings, seed=seed, group_key="question_key").drop(
         "question_key"
     )
