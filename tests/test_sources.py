@@ -66,12 +66,15 @@ def test_normalise_counts_and_cap(spark):
     seen = Observation("load")
     got = sorted(normalize.normalize_qa(table, "scienceqa", observation=seen).collect(), key=lambda r: r["row_id"])
     assert [json.loads(r["conversations"])[1]["content"] for r in got] == [
-        "<image>\nq1\nA. x\nB. y", "<image>\nq2", "<image>\nq4\nA. z"]
+        "<image>\nq1\nA. x\nB. y", "<image>\nq4\nA. z"]
     assert [json.loads(r["conversations"])[2]["content"] for r in got] == [
-        "解析：why\n\n正确答案是 B", "正确答案是 A", "正确答案是 A"]
-    assert (seen.get["kept"], seen.get["skipped"]) == (3, 1)
+        "解析：why\n\n正确答案是 B", "正确答案是 A"]
+    # A row without an answer is skipped; a table without the column means the first choice.
+    assert (seen.get["kept"], seen.get["skipped"]) == (2, 2)
+    bare = normalize.normalize_qa(table.drop("answer"), "scienceqa").collect()
+    assert {json.loads(r["conversations"])[2]["content"][-1] for r in bare} == {"A"} and len(bare) == 3
     capped = normalize.normalize_qa(table, "scienceqa", max_samples=2).collect()
-    assert sorted(r["row_id"] for r in capped) == [1, 2]
+    assert sorted(r["row_id"] for r in capped) == [1, 4]
 
 
 def test_normalise_letters_close_up_and_literal_lists(spark):
