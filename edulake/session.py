@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +41,30 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_settled(spark: SparkSession) -> int:
-    """Delete what this process has settled, once all results that rest on it are written. Gives the number."""
+def release_settled(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this process has settled, once all results that rest on it are written. Gives the number.
+
+    ``since`` leaves the first so many tables alone.
+    """
     configuration = spark._jsc.hadoopConfiguration()
-    count = len(_SETTLED)
-    while _SETTLED:
+    count = 0
+    while len(_SETTLED) > since:
         target = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
         target.getFileSystem(configuration).delete(target, True)
+        count += 1
     return count
 
 
+@contextmanager
+def settled_within(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving the block, what was settled inside it. Write results that rest on it before."""
+    before = len(_SETTLED)
+    try:
+        yield
+    finally:
+        release_settled(spark, before)
+
+
 def join_with_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null. The key columns are those of ``left``.
 

@@ -269,5 +269,9 @@ def test_settled_tables_are_kept_until_released(spark, monkeypatch):
     assert table.count() == 5 and len(session._SETTLED) == 1
     folder = session._SETTLED[0]
     assert samples.path_exists(spark, folder)
+    with session.settled_within(spark):
+        inner = settle(spark.range(3))
+        assert inner.count() == 3 and len(session._SETTLED) == 2
+    assert session._SETTLED == [folder] and samples.path_exists(spark, folder)
     assert session.release_settled(spark) == 1
     assert not samples.path_exists(spark, folder)
