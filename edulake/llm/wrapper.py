@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edulake.llm.dom import Node, Template, parse, skeleton
-from edulake.llm.textops import whole_text
+from edulake.llm.textops import released, whole_text
 from edulake.session import settle
 
 #: A text that this share of a host's pages holds in one slot is constant, on a host of at least so many pages.
-CONSTANT, LEAST_PAGES = 0.6, 4
-#: A slot with so many texts of which only this share is distinct recycles them.
-RECYCLED, LEAST_TEXTS = 0.2, 20
+CONSTANT, LEAST_PAGES = 0.9, 8
+#: A slot outside of the article with so many texts of which only this share is distinct recycles them.
+RECYCLED, LEAST_TEXTS = 0.1, 50
 #: Distinct counters that a task holds before it hands them on.
 HELD = 1 << 17
 
@@ -47,6 +47,7 @@ def _counted(counts: Counter, names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([*arrays, pa.array(list(counts.values()), type=pa.int64())], [*names, "n"])
 
 
+@released
 def _skeleton_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ["host", "skeleton"], [pa.string(), pa.string()]
     counts: Counter = Counter()
@@ -79,6 +80,7 @@ def _aligned(page: str, template: Template) -> list[tuple[Node, str]]:
     return blocks
 
 
+@released
 def _slot_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ["host", "slot", "key"], [pa.string(), pa.string(), pa.int64()]
     counts: Counter = Counter()
@@ -102,12 +104,13 @@ def main_text(blocks: list[tuple[Node, str]], constant: set[tuple[str, int]], re
         for node, text in blocks
         if not node.aside
         and (node.main or not inside)
-        and node.slot not in recycled
+        and (node.main or node.slot not in recycled)
         and (node.slot, text_key(text)) not in constant
     )
 
 
 def _text_batches(names: list[str]):
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = _Templates()
         for batch in batches:
