@@ -291,6 +291,7 @@ _SIZES = """SELECT o_orderpriority AS dataset, CAST(o_totalprice / 500000 AS DOU
    FROM means WHERE mean IS NOT NULL GROUP BY dataset""",
     doubles=["lower", "upper", "p_value"],
     longs=["n"],
+    digits=6,
 )
 def bootstrap_sizes(t: Tables) -> DataFrame:
     """Intervals of groups of a few rows and of all rows, by the same method."""
