@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from edulake.llm.labels import held_out, training_rows
 from edulake.llm.perplexity import measures
-from edulake.llm.textops import Slice, Words, mix, slices, sum_by_row, whole_text
+from edulake.llm.textops import Slice, Words, mix, released, slices, sum_by_row, whole_text
 
 #: Labelled rows that are learnt from, at most.
 MAX_TRAINING_ROWS = 20_000
@@ -151,6 +151,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     return Forest(start, np.array(features), np.array(thresholds), np.array(values))
 
 
+@released
 def _statistic_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "__text"):
@@ -160,6 +161,7 @@ def _statistic_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _score_batches(forest: Forest):
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [n for n in batch.schema.names if n != "__text"]

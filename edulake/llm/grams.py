@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edulake.llm.textops import Slice, slices
+from edulake.llm.textops import Slice, released, slices
 
 #: Stands before a text, and after it where the end counts; no UTF-8 text holds this byte.
 EDGE = 0xFF
@@ -82,6 +82,7 @@ def counted_batch(found: tuple[np.ndarray, np.ndarray], kind: int | None = None)
 
 
 def _gram_batches(order: int, chosen: Callable[[Slice], np.ndarray] | None):
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:

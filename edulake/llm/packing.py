@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edulake.llm.textops import IS_SPACE, Slice, slices, span_hashes, whole_text
+from edulake.llm.textops import IS_SPACE, Slice, released, slices, span_hashes, whole_text
 
 WINDOW = 1024
 END_ID = 0
@@ -27,7 +27,7 @@ END_ID = 0
 GROUP_PIECES = 1 << 15
 GROUP_BYTES = 1 << 25
 #: Distinct segments in a generation of those whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 
 class OpenWindows:
@@ -158,6 +158,7 @@ class _Pieces:
 
 
 def _pack_batches(path: str, pattern: str, window: int, end_id: int, names: list[str]):
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, open_windows = _segments_of(path, pattern), OpenWindows(window)
         sequence = TaskContext.get().partitionId() << 40

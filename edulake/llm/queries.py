@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edulake.llm import boosting, ctw, decontaminate, line_dedup, packing, perplexity, pii, simhash, toxicity, wrapper
+from edulake.llm.textops import small_batches
 
 #: The key of the surrogates in the query. Whoever keeps it secret keeps the surrogates from being undone by trial.
 PII_KEY = "surrogates-1"
@@ -18,6 +19,7 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 

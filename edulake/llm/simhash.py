@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edulake.llm.graph import components
-from edulake.llm.textops import slices, whole_text
+from edulake.llm.textops import inner_text, released, slices, whole_text
 from edulake.session import settle
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
@@ -87,12 +87,13 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return result
 
 
-def _fingerprint_batches(words: int):
+def _fingerprint_batches(words: int, field: str | None):
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             found = []
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text" if field is None else inner_text(batch, field)):
                 lists = [shingle_hashes(part.text_bytes(row), words) for row in range(part.rows)]
                 counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
                 flat = np.fromiter((h for own in lists for h in own), dtype=np.uint64, count=int(counts.sum()))
@@ -107,15 +108,17 @@ def _fingerprint_batches(words: int):
     return run
 
 
-def fingerprints(rows: DataFrame, text: str, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Replace the text column by ``__row``, a number for the row, and ``__print``, the fingerprint as a signed long.
+def fingerprints(rows: DataFrame, text: str | None = None, field: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """Add ``__row``, a number for the row, and ``__print``, the fingerprint as a signed long.
 
+    The column ``text`` is replaced by them; without one the text is the ``field`` of the column ``row``, which stays.
     Null and wordless texts have the fingerprint 0.
     """
     kept = [c for c in rows.columns if c != text]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    source = rows.select(*[F.col(f"`{c}`") for c in kept], whole_text(F.col(f"`{text}`")).alias("__text"))
-    return source.mapInArrow(_fingerprint_batches(words), f"{schema + ', ' if schema else ''}__row bigint, __print bigint")
+    whole = [whole_text(F.col(text)).alias("__text")] if text else []
+    run = _fingerprint_batches(words, None if text else field)
+    return rows.select(*kept, *whole).mapInArrow(run, f"{schema}, __row bigint, __print bigint")
 
 
 def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -151,6 +154,7 @@ def _link_batches(bits: int):
         b = np.concatenate((prints[pairs + 1], extra[:, 1])).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, prints = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.uint64)
         for batch in batches:
@@ -211,7 +215,7 @@ def near_duplicates(
     through others. Null texts count as empty: the fingerprint is zero, linked like any other. Repeated rows each get
     their row. A null id never is the smallest; a component of null ids alone has a null component. No rows give none.
     """
-    rows = settle(fingerprints(docs.select(F.col(id).alias("__id"), F.col(text).alias("__whole")), "__whole", words))
+    rows = settle(fingerprints(docs.select(F.col(id).alias("__id"), F.col(text).alias("__whole")), "__whole", words=words))
     reached = _reached(rows, F.min("__id").alias("least"), F.least("first", "least"), bits)
     return rows.join(settle(reached), "__print").select(
         F.col("__id").alias(id),
@@ -242,8 +246,8 @@ def keep_one(
     Null ids come last, and of rows with one id, also of repeated rows, one stays. Rows are linked as in
     ``near_duplicates``; null, empty and wordless texts are duplicates of each other.
     """
-    source = docs.select(F.struct("*").alias("row"), F.col(text).alias("__whole"), F.col(id).alias("__id"))
-    rows = settle(fingerprints(source, "__whole", words))
+    source = docs.select(F.struct("*").alias("row"), F.col(id).alias("__id"))
+    rows = settle(fingerprints(source, field=text, words=words))
     place = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row"))
     narrow = rows.select("__id", "__row", "__print")
     # The least of two places; a class without links has its own alone.

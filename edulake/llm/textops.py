@@ -6,15 +6,20 @@ arrays that are derived from a slice stay small whatever the size of an Arrow ba
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of texts that cross to Python at once.
+BATCH_ROWS = 1000
 
 #: White space of the operators' words: ``[\x20\x09-\x0D]``.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -35,6 +40,38 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let this session send at most so many rows to Python at once.
+
+    Whole texts make the usual batch of ten thousand rows tens of megabytes, several times over in both processes of
+    every running task; slices are small anyway.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
+def released(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """Hand free memory back to the system when a task ends, as its worker waits for others with what it holds."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
+def inner_text(batch: pa.RecordBatch, name: str, column: str = "row") -> pa.Array:
+    """The texts of a field of the rows in ``column``, null as empty."""
+    return pc.fill_null(pc.struct_field(batch.column(column), name).cast(pa.string()), "")
+
+
 class Slice:
     """Rows ``first`` to ``last`` of a batch: ``data`` holds their bytes, ``offsets`` where each text begins and ends."""
 
@@ -54,11 +91,11 @@ class Slice:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a batch into slices. The text column must hold no null."""
+def slices(batch: pa.RecordBatch, column: str | pa.Array = "text", most: int = SLICE_BYTES) -> Iterator[Slice]:
+    """Cut a batch into slices by the texts of a column, or by those given. No text may be null."""
     if batch.num_rows == 0:
         return
-    texts = batch.column(column).cast(pa.large_binary())
+    texts = (batch.column(column) if isinstance(column, str) else column).cast(pa.large_binary())
     buffers = texts.buffers()
     offsets = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, dtype=np.uint8)
@@ -111,7 +148,7 @@ _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64
 
 def _power(kind: str, factor: int, count: int) -> np.ndarray:
     if len(_powers[kind]) < count:
-        size = max(count, 1 << 16)
+        size = max(count, SLICE_BYTES)
         steps = np.full(size + 1, factor, dtype=np.uint64)
         steps[0] = 1
         with np.errstate(over="ignore"):
