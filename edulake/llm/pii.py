@@ -9,6 +9,8 @@ corpus, are drawn anew until all entities stay distinct; only the distinct entit
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,10 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A quick look that no text with an entity fails.
 _HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|(?:{'|'.join([*FEMALE, *MALE, *EITHER])})\b"
+#: A secret that stands hidden already: one sign over and over, and what ends the sentence.
+_MASKED = r"^([^\p{L}\p{N}])\1{4,}[^\p{L}\p{N}]{0,2}$"
 _SECRET_HEAD = r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?)"
-#: Rounds of drawing anew; the names that are used up by then get numbers.
+#: Rounds of drawing anew; what is undecided by then gets a keyed number as well.
 _ROUNDS = 64
 
 
@@ -91,7 +95,17 @@ def _draw(key: str, canonical: Column, attempt: Column, place: Column) -> Column
 
 _LOWER, _UPPER, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Lower-case letters of scripts beyond ASCII: their first code point and their number.
-_SCRIPTS = {"Greek": (0x3B1, 17), "Cyrillic": (0x430, 32)}
+_SCRIPTS = {
+    "Greek": (0x3B1, 17),
+    "Cyrillic": (0x430, 32),
+    "Hebrew": (0x5D0, 27),
+    "Arabic": (0x628, 19),
+    "Devanagari": (0x915, 37),
+    "Hiragana": (0x3042, 81),
+    "Katakana": (0x30A2, 81),
+    "Hangul": (0xAC00, 588),
+    "Han": (0x4E00, 1024),
+}
 
 
 def _pick(letters: str, draw: Column) -> Column:
@@ -99,7 +113,7 @@ def _pick(letters: str, draw: Column) -> Column:
 
 
 def _like(char: Column, draw: Column, digits: str = "0123456789") -> Column:
-    """A character of the same class: digit, letter of either case and script, or the character itself."""
+    """A character of the same class: digit, letter of either case and script, or the character itself if no letter."""
     found = (
         F.when(char.rlike("[0-9]"), _pick(digits, draw))
         .when(char.rlike("[a-z]"), _pick(_LOWER, draw))
@@ -108,7 +122,8 @@ def _like(char: Column, draw: Column, digits: str = "0123456789") -> Column:
     for script, (first, number) in _SCRIPTS.items():
         letters = "".join(chr(first + n) for n in range(number))
         found = found.when(char.rlike(rf"^\p{{Is{script}}}$"), _pick(letters, draw))
-    return found.otherwise(char)
+    other = F.when(char.rlike(r"\p{N}"), _pick(digits, draw)).when(char.rlike(r"\p{L}"), _pick(_LOWER, draw))
+    return found.otherwise(other.otherwise(char))
 
 
 def _characters(key: str, canonical: Column, attempt: Column, keep_first: int | Column = 0) -> Column:
@@ -189,6 +204,9 @@ def _replacement(key: str, kind: Column, canonical: Column, attempt: Column) ->
     hexed = F.array_join(
         F.transform(F.split(canonical, ""), lambda c, i: _pick(_HEX, _draw(key, canonical, attempt, i))), ""
     )
+    letters = F.array_join(
+        F.transform(F.split(canonical, ""), lambda c, i: _pick(_LOWER, _draw(key, canonical, attempt, i))), ""
+    )
     return (
         F.when(kind == "email", _email(key, canonical, attempt))
         .when(kind == "card", _card(key, canonical, attempt))
@@ -196,6 +214,8 @@ def _replacement(key: str, kind: Column, canonical: Column, attempt: Column) ->
         .when(kind == "phone", _characters(key, canonical, attempt, F.length(canonical) - 10))
         .when(kind == "hex_key", hexed)
         .when((kind == "secret") & canonical.rlike("^[0-9a-f]{16,}$"), hexed)
+        # Signs alone have nothing to replace one by one.
+        .when((kind == "secret") & ~canonical.rlike(r"[\p{L}\p{N}]"), letters)
         .when(kind == "access_key", _characters(key, canonical, attempt, keep_first=4))
         .when(kind == "iban", _characters(key, canonical, attempt, keep_first=2))
         .when(kind == "name", _name(key, canonical, attempt))
@@ -203,17 +223,28 @@ def _replacement(key: str, kind: Column, canonical: Column, attempt: Column) ->
     )
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
+def _longer(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
+    """A replacement with a keyed number, for those whose own kind has too few."""
+    found = _replacement(key, kind, canonical, attempt)
+    number = F.lpad(_draw(key, canonical, attempt, F.lit(-1)).cast("string"), 16, "0")
+    return F.when(kind == "email", F.concat(number, found)).when(
+        kind == "address", F.concat(found, F.lit("."), number)
+    ).otherwise(F.concat(found, number))
+
+
+def surrogates(entities: DataFrame, key: str, rounds: int = _ROUNDS) -> DataFrame:
     """``canonical``, ``kind`` and ``surrogate`` for distinct entities (``canonical``, ``kind``).
 
     No two entities share a surrogate and no surrogate is an entity. In every round the undecided draw; those whose
-    draw is taken, is an entity, or is also drawn by a smaller entity, draw again in the next.
+    draw is taken, is an entity, or is also drawn by a smaller entity, draw again in the next. After ``rounds`` of them
+    draws get a long number too, so that no kind of entities runs out of replacements.
     """
     waiting = settle(entities.select("kind", "canonical").distinct())
     taken = waiting.select(F.col("canonical").alias("surrogate"))
     done: DataFrame | None = None
-    for attempt in range(_ROUNDS):
-        drawn = waiting.withColumn("surrogate", _replacement(key, F.col("kind"), F.col("canonical"), F.lit(attempt)))
+    for attempt in count():
+        draw = _replacement if attempt < rounds else _longer
+        drawn = waiting.withColumn("surrogate", draw(key, F.col("kind"), F.col("canonical"), F.lit(attempt)))
         drawn = settle(drawn)
         free = drawn.join(taken, "surrogate", "left_anti")
         first = free.groupBy("surrogate").agg(F.min(F.struct("canonical", "kind")).alias("own"))
@@ -223,7 +254,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if waiting.isEmpty():
             return done
         taken = taken.unionByName(won.select("surrogate"))
-    raise RuntimeError("a kind of entities has too few replacements")
 
 
 def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
@@ -248,10 +278,15 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
             )
         ),
     )
+
+    def rest(places: Column) -> Column:
+        """What a surrogate with a number has beyond the places of the mention."""
+        return F.substring(surrogate, F.length(places) + 1, F.length(surrogate))
+
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.array_join(seen, ""))
+        F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(seen, ""), rest(_digits(mention))))
         .when(kind == "email", F.array_join(cased, ""))
-        .when(kind == "iban", F.array_join(spaced, ""))
+        .when(kind == "iban", F.concat(F.array_join(spaced, ""), rest(F.regexp_replace(mention, " ", ""))))
         .when(kind == "secret", F.concat(F.regexp_extract(mention, _SECRET_HEAD, 0), surrogate))
         .otherwise(surrogate)
     )
@@ -261,7 +296,7 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     """``row`` (the whole input row), ``text`` with surrogates and ``n_replaced``.
 
     Texts without entities come back as they are, and null texts stay null with nothing replaced. Repeated rows and
-    repeated mentions get the same surrogates; other keys give others. No rows give none.
+    repeated mentions get the same surrogates; other keys give others. Masked secrets stay. No rows give none.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     hinted = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
@@ -269,7 +304,8 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     looked = rows.where(hinted).select(*digest(F.col("text")), F.explode(F.array_distinct(found)).alias("mention"))
     mentions = settle(looked.distinct())
     forms = mentions.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
-    forms = settle(forms.withColumn("canonical", _canonical(F.col("kind"), F.col("mention"))))
+    forms = forms.withColumn("canonical", _canonical(F.col("kind"), F.col("mention")))
+    forms = settle(forms.where(~((F.col("kind") == "secret") & F.col("canonical").rlike(_MASKED))))
     chosen = surrogates(forms, key)
     rendered = forms.join(chosen, ["kind", "canonical"]).select(
         "mention", _rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")
@@ -285,7 +321,10 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     changed = with_hint.select(
         "row",
         F.when(F.col("new").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"),
-        F.when(F.col("new").isNull(), 0).otherwise(F.size(parts) - 1).cast("bigint").alias("n_replaced"),
+        F.when(F.col("new").isNull(), 0)
+        .otherwise(F.size(F.filter(found, lambda f: F.map_contains_key(F.col("new"), f))))
+        .cast("bigint")
+        .alias("n_replaced"),
     )
     same = rows.where(~hinted).select("row", "text", F.lit(0).cast("bigint").alias("n_replaced"))
     return same.unionByName(changed)

@@ -79,6 +79,26 @@ def test_surrogates_stay_distinct_when_replacements_are_few(spark):
     assert len(found) == 350 == len({r.surrogate for r in found}) and not own & {r.surrogate for r in found}
 
 
+def test_secrets_without_letters_do_not_stop_the_rest(spark):
+    texts = ["password: ******** token=b7db7aa4a5fcc78305", "pwd=------", "secret=密码密码密码密码", "pwd=!@#$%^&*", "pwd=كلمةسرية"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    found = {r.row.doc_id: r for r in pii.replace_personal_data(docs, "k").collect()}
+    # Masked values hold nothing to hide.
+    assert re.fullmatch(r"password: \*{8} token=[0-9a-f]{18}", found[0].text) and found[0].n_replaced == 1
+    assert (found[1].text, found[1].n_replaced) == ("pwd=------", 0)
+    for k in (2, 3, 4):
+        head, own = texts[k].split("=")
+        assert found[k].text.startswith(head + "=") and own not in found[k].text and found[k].n_replaced == 1
+        assert len(found[k].text) == len(texts[k])
+
+
+def test_a_kind_that_runs_out_gets_longer_replacements(spark):
+    entities = spark.createDataFrame([("secret", f"!!!!!{k}") for k in range(10)], "kind string, canonical string")
+    found = pii.surrogates(entities, "k", rounds=1).collect()
+    own = {r.canonical for r in found}
+    assert len(own) == 10 == len({r.surrogate for r in found}) and not own & {r.surrogate for r in found}
+
+
 def test_no_rows(nothing):
     assert pii.replace_personal_data(nothing, "k").count() == 0
 
