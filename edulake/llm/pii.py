@@ -37,6 +37,15 @@ FAMILY_NAMES = (
 CYRILLIC_NAMES = "Иванов Петров Сидоров Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов Волков Павлов".split()
 
 _HONORIFIC = rf"(?:{'|'.join([*FEMALE, *MALE, *EITHER])})\.?"
+# A part of a name, as in McDonald, O'Brien and Smith-Jones without the 's of a genitive; small words before a part; and
+# an initial with its dot before another part.
+_PART = r"\p{Lu}[\p{L}\p{M}]*(?:['’-](?!s\b)[\p{L}\p{M}]+)*(?![\p{L}\p{M}])"
+_SMALL = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|al|zu) ){0,3}"
+_GIVEN = rf"(?:\p{{Lu}}\.(?= \p{{Lu}})|{_SMALL}{_PART})"
+# The country codes of phone numbers, none of which begins another.
+_COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: What stays before the national digits of a phone number.
+_PHONE_HEAD = rf"^(?:{_COUNTRY}[ .-]?)?\(?0*"
 #: Kinds of entities with their patterns, the more specific first.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -49,8 +58,10 @@ PATTERNS = {
     "card": r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b",
     "address": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
     "hex_key": r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}\b",
-    "name": rf"\b{_HONORIFIC} \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?",
+    "name": rf"\b{_HONORIFIC} {_GIVEN}(?: {_GIVEN})*",
 }
+#: Kinds of the names within a mention: the family's, and given names by the honorific's gender.
+NAMES = ["name", "given_f", "given_m", "given"]
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A quick look that no text with an entity fails.
 _HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|(?:{'|'.join([*FEMALE, *MALE, *EITHER])})\b"
@@ -79,7 +90,9 @@ def _digits(text: Column) -> Column:
 def _canonical(kind: Column, mention: Column) -> Column:
     """One form for all formats of an entity."""
     return (
-        F.when(kind.isin("phone", "card", "ssn"), _digits(mention))
+        F.when(kind.isin("card", "ssn"), _digits(mention))
+        # The national digits, with or without the country's code.
+        .when(kind == "phone", _digits(F.regexp_replace(mention, _PHONE_HEAD, "")))
         .when(kind == "email", F.lower(mention))
         .when(kind == "secret", F.regexp_replace(mention, _SECRET_HEAD, ""))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
@@ -173,11 +186,28 @@ def _email(key: str, canonical: Column, attempt: Column) -> Column:
     return F.concat(_characters(key, front, attempt), end)
 
 
-def _name(key: str, canonical: Column, attempt: Column) -> Column:
-    """The honorific stays; given and family names match its gender and the script."""
-    honorific = F.regexp_extract(canonical, rf"^{_HONORIFIC}", 0)
+def _entities(kind: Column, mention: Column) -> Column:
+    """Kinds and canonical forms of what is replaced on its own: given and family names, or the whole mention.
+
+    A family name is one entity whatever honorific and given names stand before it; given names are one by gender.
+    """
+    honorific = F.regexp_extract(mention, rf"^{_HONORIFIC}", 0)
     bare = F.regexp_replace(honorific, r"\.", "")
-    rest = F.trim(F.substring(canonical, F.length(honorific) + 1, F.length(canonical)))
+    rest = F.trim(F.substring(mention, F.length(honorific) + 1, F.length(mention)))
+    family = F.regexp_extract(rest, rf"{_SMALL}{_PART}$", 0)
+    given = F.trim(F.substring(rest, F.lit(1), F.length(rest) - F.length(family)))
+    gender = F.when(bare.isin(FEMALE), "given_f").when(bare.isin(MALE), "given_m").otherwise("given")
+
+    def entity(kind: Column, canonical: Column) -> Column:
+        return F.struct(kind.alias("kind"), canonical.alias("canonical"))
+
+    names = F.array(entity(F.lit("name"), F.lower(family)), entity(gender, F.lower(given)))
+    whole = F.array(entity(kind, _canonical(kind, mention)))
+    return F.when(kind == "name", F.filter(names, lambda e: e.canonical != "")).otherwise(whole)
+
+
+def _name(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
+    """A family name of the script, or a given name of the gender."""
 
     def drawn(names: list[str], place: int) -> Column:
         at = (_draw(key, canonical, attempt, F.lit(place)) % len(names) + 1).cast("int")
@@ -186,9 +216,11 @@ def _name(key: str, canonical: Column, attempt: Column) -> Column:
     either = F.when(_draw(key, canonical, F.lit(0), F.lit(2)) % 2 == 0, drawn(FEMALE_NAMES, 0)).otherwise(
         drawn(MALE_NAMES, 0)
     )
-    given = F.when(bare.isin(FEMALE), drawn(FEMALE_NAMES, 0)).when(bare.isin(MALE), drawn(MALE_NAMES, 0)).otherwise(either)
-    family = F.when(rest.rlike(r"\p{IsCyrillic}"), drawn(CYRILLIC_NAMES, 1)).otherwise(drawn(FAMILY_NAMES, 1))
-    # Names are few: later rounds add a second family name, and then more.
+    given = (
+        F.when(kind == "given_f", drawn(FEMALE_NAMES, 0)).when(kind == "given_m", drawn(MALE_NAMES, 0)).otherwise(either)
+    )
+    family = F.when(canonical.rlike(r"\p{IsCyrillic}"), drawn(CYRILLIC_NAMES, 1)).otherwise(drawn(FAMILY_NAMES, 1))
+    # Names are few: later rounds add a family name, and then more.
     more = F.when(
         attempt > 2,
         F.concat(
@@ -197,7 +229,7 @@ def _name(key: str, canonical: Column, attempt: Column) -> Column:
             F.when(attempt > 6, F.concat(F.lit("-"), drawn(FAMILY_NAMES, 4), drawn(FAMILY_NAMES, 5))).otherwise(""),
         ),
     ).otherwise("")
-    return F.concat_ws(" ", honorific, F.when(rest.contains(" "), given), F.concat(family, more))
+    return F.concat(F.when(kind == "name", family).otherwise(given), more)
 
 
 def _replacement(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -211,14 +243,14 @@ def _replacement(key: str, kind: Column, canonical: Column, attempt: Column) ->
         F.when(kind == "email", _email(key, canonical, attempt))
         .when(kind == "card", _card(key, canonical, attempt))
         .when(kind == "address", _octets(key, canonical, attempt))
-        .when(kind == "phone", _characters(key, canonical, attempt, F.length(canonical) - 10))
+        .when(kind == "phone", _characters(key, canonical, attempt))
         .when(kind == "hex_key", hexed)
         .when((kind == "secret") & canonical.rlike("^[0-9a-f]{16,}$"), hexed)
         # Signs alone have nothing to replace one by one.
         .when((kind == "secret") & ~canonical.rlike(r"[\p{L}\p{N}]"), letters)
         .when(kind == "access_key", _characters(key, canonical, attempt, keep_first=4))
         .when(kind == "iban", _characters(key, canonical, attempt, keep_first=2))
-        .when(kind == "name", _name(key, canonical, attempt))
+        .when(kind.isin(*NAMES), _name(key, kind, canonical, attempt))
         .otherwise(_characters(key, canonical, attempt))
     )
 
@@ -240,24 +272,28 @@ def surrogates(entities: DataFrame, key: str, rounds: int = _ROUNDS) -> DataFram
     draws get a long number too, so that no kind of entities runs out of replacements.
     """
     waiting = settle(entities.select("kind", "canonical").distinct())
-    taken = waiting.select(F.col("canonical").alias("surrogate"))
+    # Names are known in lower case.
+    folded = F.lower("surrogate").alias("folded")
+    taken = waiting.select(F.lower("canonical").alias("folded"))
     done: DataFrame | None = None
     for attempt in count():
         draw = _replacement if attempt < rounds else _longer
         drawn = waiting.withColumn("surrogate", draw(key, F.col("kind"), F.col("canonical"), F.lit(attempt)))
         drawn = settle(drawn)
-        free = drawn.join(taken, "surrogate", "left_anti")
+        free = drawn.withColumn("folded", folded).join(taken, "folded", "left_anti")
         first = free.groupBy("surrogate").agg(F.min(F.struct("canonical", "kind")).alias("own"))
         won = settle(first.select("own.kind", "own.canonical", "surrogate"))
         done = won if done is None else done.unionByName(won)
         waiting = settle(waiting.join(won.select("kind", "canonical"), ["kind", "canonical"], "left_anti"))
         if waiting.isEmpty():
             return done
-        taken = taken.unionByName(won.select("surrogate"))
+        taken = taken.unionByName(won.select(folded))
 
 
-def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of the mention."""
+def _rendered(kind: Column, mention: Column, surrogate: Column, given: Column) -> Column:
+    """The surrogate in the format of the mention; that of a name with ``given`` names, if any."""
+    head = F.when(kind == "phone", F.regexp_extract(mention, _PHONE_HEAD, 0)).otherwise("")
+    mention = F.substring(mention, F.length(head) + 1, F.length(mention))
     # The n-th digit of the mention becomes the n-th of the surrogate; all else stays.
     seen = F.transform(
         F.split(mention, ""),
@@ -284,7 +320,8 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
         return F.substring(surrogate, F.length(places) + 1, F.length(surrogate))
 
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(seen, ""), rest(_digits(mention))))
+        F.when(kind.isin("phone", "card", "ssn"), F.concat(head, F.array_join(seen, ""), rest(_digits(mention))))
+        .when(kind == "name", F.concat_ws(" ", F.regexp_extract(mention, rf"^{_HONORIFIC}", 0), given, surrogate))
         .when(kind == "email", F.array_join(cased, ""))
         .when(kind == "iban", F.concat(F.array_join(spaced, ""), rest(F.regexp_replace(mention, " ", ""))))
         .when(kind == "secret", F.concat(F.regexp_extract(mention, _SECRET_HEAD, 0), surrogate))
@@ -304,11 +341,17 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     looked = rows.where(hinted).select(*digest(F.col("text")), F.explode(F.array_distinct(found)).alias("mention"))
     mentions = settle(looked.distinct())
     forms = mentions.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
-    forms = forms.withColumn("canonical", _canonical(F.col("kind"), F.col("mention")))
+    forms = forms.select("mention", F.col("kind").alias("whole"), F.inline(_entities(F.col("kind"), F.col("mention"))))
     forms = settle(forms.where(~((F.col("kind") == "secret") & F.col("canonical").rlike(_MASKED))))
     chosen = surrogates(forms, key)
-    rendered = forms.join(chosen, ["kind", "canonical"]).select(
-        "mention", _rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")
+    met = forms.join(chosen, ["kind", "canonical"]).groupBy("mention", "whole")
+    is_given = F.col("kind").isin(*NAMES[1:])
+    whole = met.agg(
+        F.max(F.when(~is_given, F.col("surrogate"))).alias("surrogate"),
+        F.max(F.when(is_given, F.col("surrogate"))).alias("given"),
+    )
+    rendered = whole.select(
+        "mention", _rendered(F.col("whole"), F.col("mention"), F.col("surrogate"), F.col("given")).alias("new")
     )
     named = mentions.join(settle(rendered), "mention").groupBy("d0", "d1")
     # As large as the distinct entities of one text.

@@ -92,6 +92,24 @@ def test_secrets_without_letters_do_not_stop_the_rest(spark):
         assert len(found[k].text) == len(texts[k])
 
 
+def test_whole_names_go_and_other_formats_agree(spark):
+    text = (
+        "Mr McDonald, Mrs O'Brien's, Dr Smith-Jones, Ms Mary Jane Cole, Mr Vincent van Gogh, Mr. J. Kirk; "
+        "Mr. John Brown, Mr John Brown, Mr Brown, Mrs Brown; +1 (988) 555-2485, 988-555-2485, +1 988 555 2485, +19885552485"
+    )
+    new = pii.replace_personal_data(spark.createDataFrame([(1, text, "en", "s", 1)], SCHEMA), "k").first().text
+    for own in "McDonald Donald Brien Smith Jones Mary Jane Cole Vincent van Gogh Kirk John Brown 988 555 2485".split():
+        assert own not in new, own
+    word = r"[\w-]+"
+    names = new.split("; ")
+    assert re.fullmatch(rf"Mr {word}, Mrs {word}'s, Dr {word}, Ms {word} {word}, Mr {word} {word}, Mr\. {word} {word}", names[0])
+    one, two, three, four = names[1].split(", ")
+    assert one == two.replace("Mr ", "Mr. ") and three == f"Mr {two.split()[-1]}" and four == f"Mrs {two.split()[-1]}"
+    phones = names[2].split(", ")
+    assert phones[0].startswith("+1 (") and phones[3].startswith("+1")
+    assert len({re.sub(r"\D", "", p)[-10:] for p in phones}) == 1
+
+
 def test_a_kind_that_runs_out_gets_longer_replacements(spark):
     entities = spark.createDataFrame([("secret", f"!!!!!{k}") for k in range(10)], "kind string, canonical string")
     found = pii.surrogates(entities, "k", rounds=1).collect()
