@@ -9,6 +9,7 @@ Windows that are still open serve the groups that follow. A task that is run aga
 from __future__ import annotations
 
 import base64
+import json
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -65,6 +66,18 @@ class OpenWindows:
         return capacity, self.stacks[capacity].pop()
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a tokeniser's JSON file adds to its vocabulary, which are found in texts before all else."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get("added_tokens") or []
+    for token in found:
+        # Segments end at white space, and a token that takes its surroundings along would change them.
+        flags = any(token.get(flag) for flag in ("lstrip", "rstrip", "single_word"))
+        if flags or not token["content"] or any(c.isspace() for c in token["content"]):
+            raise ValueError(f"the added token {token['content']!r} reaches beyond a segment")
+    return {token["content"]: token["id"] for token in found}
+
+
 class Segments:
     """Token ids of texts from the ids of their segments.
 
@@ -73,10 +86,12 @@ class Segments:
     remembered in two generations: when the newer is full it becomes the older, which keeps what is in use.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: str | None = None):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        special = added_tokens(added) if added else {}
+        self.special = [token.encode() for token in special]
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.newer: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -85,7 +100,11 @@ class Segments:
         if ids is None:
             ids = self.older.get(segment)
             if ids is None:
-                found = self.encoding.encode_ordinary(segment.decode("utf-8", "replace"))
+                own = segment.decode("utf-8", "replace")
+                if any(token in segment for token in self.special):
+                    found = self.encoding.encode(own, allowed_special="all")
+                else:
+                    found = self.encoding.encode_ordinary(own)
                 ids = array("I", found).tobytes()
             self.newer[segment] = ids
         return ids
@@ -133,14 +152,14 @@ class Segments:
         return starts, np.append(starts[1:], len(data))
 
 
-_segments: dict[str, Segments] = {}
+_segments: dict[tuple, Segments] = {}
 
 
-def _segments_of(path: str, pattern: str) -> Segments:
+def _segments_of(path: str, pattern: str, added: str | None) -> Segments:
     """The tokeniser of this worker, which serves all its tasks."""
-    if path not in _segments:
-        _segments[path] = Segments(path, pattern)
-    return _segments[path]
+    if (path, pattern, added) not in _segments:
+        _segments[path, pattern, added] = Segments(path, pattern, added)
+    return _segments[path, pattern, added]
 
 
 class _Pieces:
@@ -157,10 +176,10 @@ class _Pieces:
         return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def _pack_batches(path: str, pattern: str, window: int, end_id: int, names: list[str]):
+def _pack_batches(path: str, pattern: str, added: str | None, window: int, end_id: int, names: list[str]):
     @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, open_windows = _segments_of(path, pattern), OpenWindows(window)
+        encoder, open_windows = _segments_of(path, pattern, added), OpenWindows(window)
         sequence = TaskContext.get().partitionId() << 40
         waiting: list[tuple] = []
         held = 0
@@ -219,12 +238,13 @@ def pack(
     text: str = "text",
     window: int = WINDOW,
     end_id: int = END_ID,
+    added: str | None = None,
 ) -> DataFrame:
     """One row per piece: the id, ``start``, ``length``, ``ids``, ``doc_tokens``, ``sequence_id`` and ``offset``.
 
     ``ranks`` is the file of a byte-level tokeniser's tokens in the order of their merges, at the same path on every
-    machine, and ``pattern`` cuts texts before merging. A document's ids are those
-    of its text without special tokens, then ``end_id``; a null text is empty, so it is one piece of one id. ``ids``
+    machine, and ``pattern`` cuts texts before merging. ``added`` is the tokeniser's JSON file, whose added tokens get
+    their own ids where a text holds them; without it they are plain text. A document's ids are those of its text, then ``end_id``; a null text is empty, so it is one piece of one id. ``ids``
     holds little-endian unsigned 32-bit numbers. Pieces fill a sequence without gaps from offset 0 and no sequence
     exceeds ``window``. Ids may be null or repeat; each row is packed. No rows give no pieces.
     """
@@ -232,4 +252,4 @@ def pack(
     kind = docs.select(id).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id).alias("__id"), whole_text(F.col(text)).alias("__text"))
     schema = f"`{id}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return rows.mapInArrow(_pack_batches(ranks, pattern, window, end_id, names), schema)
+    return rows.mapInArrow(_pack_batches(ranks, pattern, added, window, end_id, names), schema)

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from edulake.llm import packing
+import corpus_pipeline
+from edulake.llm import packing, queries
 from edulake.llm.textops import slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +67,23 @@ def test_segments_give_the_ids_of_the_whole_text(texts):
     assert found == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_have_their_ids(spark, monkeypatch):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", end, end * 2, f"x{end}y", f"two  {end}  b\n\n{end}\n", f" {end[:-1]} {end}é's", "a <|endoftext |>"]
+    choose = random.Random(7)
+    texts += ["".join(choose.choices([end, " ", "  ", "a", "é", "'s", "\n", "12", "<|"], k=12)) for _ in range(300)]
+    want = {k: [*own.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(queries, "table", lambda *args: docs)
+    digests = {(r.doc_id, r.start): r.ids_crc32 for r in queries.packed(spark, "").collect()}
+    for r in corpus_pipeline.pack_sequences(spark, docs, "").collect():
+        assert r.start == 0 and np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id], texts[r.doc_id]
+        assert digests[r.doc_id, 0] == zlib.crc32(r.ids) and r.doc_tokens == len(want[r.doc_id])
+    assert len(digests) == len(texts)
+
+
 def test_tightest_window_is_found():
     choose = random.Random(3)
     tree, held = packing.OpenWindows(100), []
