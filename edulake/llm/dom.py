@@ -17,10 +17,12 @@ BLOCK = frozenset(
     "h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr "
     "ul caption center".split()
 )
-#: Elements that never hold main text, and those that do not unless they stand inside the article.
-ASIDE = frozenset("nav footer aside form menu dialog search".split())
+#: Elements that never hold main text, unless the article stands inside them.
+ASIDE = frozenset("nav footer aside menu dialog search".split())
 MAIN = frozenset(("article", "main"))
-#: Words in a class, id or role that mark menus, notices, adverts, side matter and readers' comments.
+#: Containers whose class, id or role may mark them; not the page, the article, or single paragraphs and headings.
+MARKED = frozenset("div section ul ol dl table details fieldset center address form header".split())
+#: Classes, ids and roles, as whole words, of menus, notices, adverts, side matter and readers' comments.
 MARKS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent "
     "contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices "
@@ -50,10 +52,10 @@ _ENDS = {
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "aside", "main", "slot")
+    __slots__ = ("tag", "key", "children", "aside", "marked", "main", "slot")
 
-    def __init__(self, tag: str, key: str, aside: bool, main: bool):
-        self.tag, self.key, self.aside, self.main = tag, key, aside, main
+    def __init__(self, tag: str, key: str, aside: bool, marked: bool, main: bool):
+        self.tag, self.key, self.aside, self.marked, self.main = tag, key, aside, marked, main
         self.children: list[Node] = []
         self.slot = ""
 
@@ -62,20 +64,46 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
     named, words = "", set()
     if "=" in attributes:
         for name, a, b, c in _NAMED.findall(attributes):
-            own = _WORD.findall((a or b or c).lower())
-            words.update(own)
+            value = (a or b or c).lower()
+            own = _WORD.findall(value)
+            words.update(value.split())
             if name.lower() != "role":
                 named += "." + "-".join(own)
             elif "main" in own:
-                return Node(tag, tag + named, parent.aside, True)
+                return Node(tag, tag + named, False, False, True)
     main = parent.main or tag in MAIN
-    aside = parent.aside or tag in ASIDE or (tag == "header" and not parent.main) or not words.isdisjoint(MARKS)
-    return Node(tag, tag + named, aside, main)
+    # A form may wrap the whole page, as a marked container may.
+    marked = tag == "form" or (tag in MARKED and not words.isdisjoint(MARKS))
+    return Node(tag, tag + named, tag in ASIDE or (tag == "header" and not parent.main), marked, main)
+
+
+def _inherit(root: Node) -> None:
+    """Hand ``aside`` and ``marked`` down, but from elements that hold the page's first article."""
+    path: list[Node] = []
+
+    def find(node: Node) -> bool:
+        if node.main:
+            path.append(node)
+            return True
+        if any(map(find, node.children)):
+            path.append(node)
+            return True
+        return False
+
+    find(root)
+    for node in path:
+        node.aside = node.marked = False
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        for child in node.children:
+            child.aside, child.marked = child.aside or node.aside, child.marked or node.marked
+        waiting += node.children
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The block tree of a page, and its texts in order, each with the block that holds it."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, blocks, held = [root], [], []
 
     def flush() -> None:
@@ -133,6 +161,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         stack[-1].children.append(node)
         stack.append(node)
     flush()
+    _inherit(root)
     return root, blocks
 
 

@@ -4,7 +4,8 @@ Three passes over the pages, each in the tasks that hold them. The first counts
 the commonest as the host's template. The second aligns each page with it by simple tree matching and counts, per host
 and slot, on how many pages each text stands. Texts that most pages of a host hold in one slot are constant, and slots
 that recycle few texts over many pages hold no content either. The third aligns again and joins the varying slots.
-Elements that say what they are (menus, footers, adverts, comments) are template on any site, also on one of few pages.
+Elements that say what they are (menus, footers, adverts, comments) are template on any site, also on one of few pages,
+but not where they hold the article or most of a page's varying text.
 
 Only counts cross the network, summed up inside the tasks first; pages stay where they are unless the templates of all
 hosts are too large to broadcast, and then a hot host's pages are split over tasks by the skewed join.
@@ -97,16 +98,22 @@ def _slot_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def main_text(blocks: list[tuple[Node, str]], constant: set[tuple[str, int]], recycled: set[str]) -> str:
-    """The texts of varying slots, outside of marked elements, one to a line; within the article where there is one."""
-    inside = any(node.main and not node.aside for node, _ in blocks)
-    return "\n".join(
-        text
+    """The texts of varying slots, one to a line.
+
+    Marked containers are left out, unless no article stands outside of them and they hold most of what varies.
+    """
+    varying = [
+        (node, text)
         for node, text in blocks
         if not node.aside
-        and (node.main or not inside)
         and (node.main or node.slot not in recycled)
         and (node.slot, text_key(text)) not in constant
-    )
+    ]
+    plain = [(node, text) for node, text in varying if not node.marked]
+    size = sum(len(text) for _, text in plain)
+    if any(node.main for node, _ in plain) or 2 * size >= sum(len(text) for _, text in varying):
+        varying = plain
+    return "\n".join(text for _, text in varying)
 
 
 def _text_batches(names: list[str]):

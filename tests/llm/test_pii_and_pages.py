@@ -162,6 +162,29 @@ def test_slots_that_recycle_few_texts_hold_no_content(spark):
     assert all(r.text == f"Long own text {r.page_id}" for r in found)
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<body class='no-sidebar'><article>%s</article></body>",
+        "<body class='has-header comments'><article class='post comments-open'>%s</article></body>",
+        "<body><div class='search-result'>%s</div></body>",
+        "<body><div class='widget'><article class='comments'>%s</article></div></body>",
+        "<body><form id='all'>%s</form></body>",
+        "<body><div class='comments'>%s</div></body>",
+        "<body><article><div class='article-header'>%s</div></article></body>",
+        "<body><div>%s</div><article><p>Teaser</p></article></body>",
+    ],
+)
+def test_names_of_elements_do_not_drop_the_article(around):
+    own = "<h1>Title</h1><p class='notice'>One long paragraph.</p><p>Two long paragraphs.</p>"
+    page = around % own + "<aside><p>Side</p></aside><div class='ad'><p>Buy</p></div><nav>Menu</nav>"
+    root, blocks = dom.parse(page)
+    dom.Template(dom.skeleton(root)).align(root)
+    lines = wrapper.main_text(blocks, set(), set()).split("\n")
+    assert lines[:3] == ["Title", "One long paragraph.", "Two long paragraphs."]
+    assert not {"Side", "Menu"} & set(lines) and ("Buy" not in lines or "<article" not in around)
+
+
 def brute_match(a, b) -> int:
     if a.key != b.key:
         return 0
