@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -311,6 +312,18 @@ def test_thresholds_by_language():
     assert toxicity.best_thresholds(scores[:4], y[:4], [None] * 4) == {None: 0.7}
 
 
+def test_long_rows_do_not_end_the_training_sample(spark, monkeypatch):
+    rows = [(k, ("long word " * 500) if k % 4 == 0 else f"bad word {k}" if k % 2 else f"good word {k}") for k in range(80)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], SCHEMA)
+    marks = spark.createDataFrame([(k, 1, k % 2) for k, _ in rows], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.Network, "train", lambda self, texts, y: seen.extend(map(len, texts)))
+    toxicity.train(docs, marks, "doc_id", "text", "lang", 1000, 600)
+    short = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k, _ in rows if k % 4)
+    # One row in five calibrates.
+    assert len(seen) == short - short // toxicity.CALIBRATION and max(seen) == 3
+
+
 def test_toxicity_classifier(spark, edges, labels, nothing):
     rows = toxicity.classify(edges, labels).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in edges.collect())
