@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edulake.llm import boosting, ctw, decontaminate, line_dedup, packing, perplexity, pii, simhash, toxicity, wrapper
+from edulake.llm import (
+    boosting,
+    ctw,
+    decontaminate,
+    line_dedup,
+    packing,
+    perplexity,
+    pii,
+    simhash,
+    spelling,
+    toxicity,
+    wrapper,
+)
 from edulake.llm.textops import small_batches
 
 #: The key of the surrogates in the query. Whoever keeps it secret keeps the surrogates from being undone by trial.
@@ -104,3 +116,9 @@ def main_texts(spark: SparkSession, folder: str) -> DataFrame:
 def private(spark: SparkSession, folder: str) -> DataFrame:
     replaced = pii.replace_personal_data(table(spark, folder, "documents"), PII_KEY)
     return replaced.select("row.doc_id", "text", "n_replaced")
+
+
+@query("op11_spelling_variants")
+def spellings(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, folder, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
