@@ -12,10 +12,12 @@ from edulake.llm import (
     boosting,
     ctw,
     decontaminate,
+    hard_negatives,
     line_dedup,
     packing,
     perplexity,
     pii,
+    resharding,
     simhash,
     spelling,
     toxicity,
@@ -26,6 +28,9 @@ from edulake.llm.textops import small_batches
 #: The key of the surrogates in the query. Whoever keeps it secret keeps the surrogates from being undone by trial.
 PII_KEY = "surrogates-1"
 
+#: The shards that documents lie in, by source, before they are dealt out anew, and the shards after.
+OLD_SHARDS, SHARDS = 12, 16
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -122,3 +127,31 @@ def private(spark: SparkSession, folder: str) -> DataFrame:
 def spellings(spark: SparkSession, folder: str) -> DataFrame:
     words = spelling.vocabulary(table(spark, folder, "documents"))
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_min_cost_resharding")
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(OLD_SHARDS))
+    dealt = resharding.shard_documents(table(spark, folder, "documents"), old, SHARDS)
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+        "moved",
+    )
+
+
+@query("op13_hard_negatives", hard_negatives.SQL)
+def negatives(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    finite = F.transform("embedding", lambda x: F.when(F.abs(x) < float("inf"), 1))
+    vector = F.when(F.forall(finite, lambda x: x.isNotNull()), whole)
+    rows = found.select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
