@@ -32,6 +32,8 @@ MOST_CENTRES = 256
 SAMPLE = 8192
 #: Vectors of a node that is searched without children.
 LEAF = 16
+#: Anchors whose scores for a root's children are computed together.
+AT_ONCE = 64
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -58,16 +60,21 @@ def spread_out(points: np.ndarray, most: int, radius: float = 0.0, first: int =
     """Places of centres, each the point furthest from those before, until all lie within ``radius`` of one; and the
     centre of each point. The first centre is the point at ``first``."""
     chosen = [first]
-    distance = np.linalg.norm(points - points[first], axis=1)
+    squares = np.einsum("ij,ij->i", points, points)
+    distance = np.full(len(points), np.inf)
     owner = np.zeros(len(points), dtype=np.int64)
-    while len(chosen) < most:
-        far = int(distance.argmax())
-        if distance[far] <= radius:
-            break
-        further = np.linalg.norm(points - points[far], axis=1)
+    far = first
+    while True:
+        # Squared distances by one product with a vector; a centre is never chosen twice, whatever the rounding.
+        further = squares + squares[far] - 2 * (points @ points[far])
         nearer = further < distance
-        owner[nearer] = len(chosen)
+        nearer[chosen[:-1]] = False
+        owner[nearer] = len(chosen) - 1
         distance[nearer] = further[nearer]
+        distance[far], owner[far] = -1.0, len(chosen) - 1
+        far = int(distance.argmax())
+        if len(chosen) >= most or distance[far] <= radius * radius:
+            break
         chosen.append(far)
     return np.array(chosen), owner
 
@@ -85,6 +92,16 @@ class Tree:
         self.vectors, self.ids, self.labels, self.radius = vectors, ids, labels, radius
         for name, column in zip(self.INTEGERS, nodes, strict=True):
             setattr(self, name, column)
+        self._below: dict[int, tuple] = {}
+
+    def below(self, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a node's children those of a single vector, as rows, and the other ones; and the vectors of both."""
+        if node not in self._below:
+            nodes = np.arange(self.child[node], self.child[node] + self.kids[node])
+            alone = self.hi[nodes] - self.lo[nodes] == 1
+            rows, wider = self.lo[nodes[alone]], nodes[~alone]
+            self._below[node] = rows, wider, self.vectors[rows], self.vectors[self.lo[wider]]
+        return self._below[node]
 
     @classmethod
     def grow(cls, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, square: float) -> Tree:
@@ -137,16 +154,34 @@ class Search:
         self.norm = float(np.linalg.norm(query))
         self.known: dict[int, tuple] = {}
 
-    def _children(self, node: int) -> tuple:
-        """Least and largest score below each child, without rounding errors, and the exact score of each child."""
-        if node not in self.known:
-            tree, first = self.tree, self.tree.child[node]
-            part = slice(first, first + tree.kids[node])
-            scores = tree.vectors[tree.lo[part]] @ self.query
-            wide = tree.radius[part] * (self.norm * (1 + 1e-9)) + 1e-6 * (tree.radius[part] > 0)
-            self.known[node] = first, scores - wide, scores + wide, scores
+    @classmethod
+    def several(cls, tree: Tree, anchors: list[int], labels: list[int], queries: np.ndarray) -> Iterator[Search]:
+        """A search for each anchor; the scores of the root's children come from one product for many of them."""
+        for k in range(0, len(anchors), AT_ONCE):
+            some = queries[k : k + AT_ONCE]
+            if tree.kids[0]:
+                _, _, rows, wider = tree.below(0)
+                first, second = some @ rows.T, some @ wider.T
+            for at in range(len(some)):
+                search = cls(tree, anchors[k + at], labels[k + at], some[at])
+                if tree.kids[0]:
+                    search._keep(0, first[at], second[at])
+                yield search
+
+    def _keep(self, node: int, alone: np.ndarray, scores: np.ndarray) -> tuple:
+        """Rows and scores of single children; least and largest score below the others, and these."""
+        rows, wider, *_ = self.tree.below(node)
+        radius = self.tree.radius[wider]
+        wide = radius * (self.norm * (1 + 1e-9)) + 1e-6 * (radius > 0)
+        self.known[node] = rows, alone, scores - wide, scores + wide, wider
         return self.known[node]
 
+    def _children(self, node: int) -> tuple:
+        if node in self.known:
+            return self.known[node]
+        _, _, rows, wider = self.tree.below(node)
+        return self._keep(node, rows @ self.query, wider @ self.query)
+
     def best(self, count: int, low: float, high: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the ``count`` rows with the highest scores in [low, high], ties by the smaller id.
 
@@ -158,11 +193,13 @@ class Search:
 
         def take(rows: np.ndarray, found: np.ndarray) -> None:
             nonlocal scores, ids, low
-            good = (found >= low) & (found <= high) & ((tree.labels[rows] == self.label) == same)
-            good &= tree.ids[rows] != self.anchor
+            inside = np.flatnonzero((found >= low) & (found <= high))
+            rows = rows[inside]
+            good = ((tree.labels[rows] == self.label) == same) & (tree.ids[rows] != self.anchor)
             if not good.any():
                 return
-            scores, ids = np.concatenate((scores, found[good])), np.concatenate((ids, tree.ids[rows[good]]))
+            scores = np.concatenate((scores, found[inside[good]]))
+            ids = np.concatenate((ids, tree.ids[rows[good]]))
             order = np.lexsort((ids, -scores))[:count]
             scores, ids = scores[order], ids[order]
             if len(scores) == count:
@@ -182,11 +219,9 @@ class Search:
                 rows = np.arange(tree.lo[node], tree.hi[node])
                 take(rows, tree.vectors[rows] @ self.query)
                 continue
-            first, under, upper, exact = self._children(node)
-            nodes = np.arange(first, first + len(exact))
-            alone = tree.hi[nodes] - tree.lo[nodes] == 1
-            take(tree.lo[nodes[alone]], exact[alone])
-            open_ = ~alone & (upper >= low) & (under <= high)
+            rows, alone, under, upper, nodes = self._children(node)
+            take(rows, alone)
+            open_ = (upper >= low) & (under <= high)
             least, most = tree.least[nodes], tree.most[nodes]
             if same:
                 open_ &= (least <= self.label) & (self.label <= most)
@@ -272,9 +307,9 @@ def _positives(count: int, width: int):
         queries = _matrix(anchors.column("vector"), width)
         keys, labels, lows = (anchors.column(c).to_pylist() for c in ("id", "label", "low"))
         for tree in map(Tree.unpacked, trees.to_pylist()):
-            for query, key, label, low in zip(queries, keys, labels, lows, strict=True):
-                scores, ids = Search(tree, key, label, query).best(count, low, np.inf, same=True)
-                out += [(key, i, int(s)) for i, s in zip(ids.tolist(), scores, strict=True)]
+            for search, low in zip(Search.several(tree, keys, labels, queries), lows, strict=True):
+                scores, ids = search.best(count, low, np.inf, same=True)
+                out += [(search.anchor, i, int(s)) for i, s in zip(ids.tolist(), scores, strict=True)]
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["anchor", "id", "score"])
 
@@ -292,14 +327,13 @@ def _negatives(count: int, width: int, low: int, high: int):
         queries = _matrix(anchors.column("vector"), width)
         keys, labels, wanted = (anchors.column(c).to_pylist() for c in ("id", "label", "positives"))
         for tree in map(Tree.unpacked, trees.to_pylist()):
-            for query, key, label, positives in zip(queries, keys, labels, wanted, strict=True):
-                search = Search(tree, key, label, query)
+            for search, positives in zip(Search.several(tree, keys, labels, queries), wanted, strict=True):
                 for positive in positives:
                     least, most = window(positive["score"], low, high)
                     if least > most:
                         continue
                     scores, ids = search.best(count, least, most, same=False)
-                    own = (key, positive["id"], positive["score"])
+                    own = (search.anchor, positive["id"], positive["score"])
                     out += [(*own, i, int(s)) for i, s in zip(ids.tolist(), scores, strict=True)]
         names = ["anchor", "positive_id", "positive_score", "id", "score"]
         columns = list(zip(*out, strict=True)) or [()] * 5
