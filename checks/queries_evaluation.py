@@ -10,7 +10,7 @@ from checks import duck
 from checks.harness import Tables, query, spread
 from checks.queries_chat import d1
 from edulake.functions import text as tx
-from edulake.functions.poisson import SPLIT, WIDE, quantile
+from edulake.functions.poisson import BASE, BASE_BITS, MASK, PLACES, quantile_sql
 from edulake.operators import bootstrap, chat, checks, compare, report, resample, rollout, runs, scoring, summary
 from edulake.plans import evaluate, feedback
 
@@ -224,16 +224,17 @@ def _means(scores: str, by: str, replicates: int = 1000) -> str:
     """CTEs that end in ``means(by, n, b, mean)`` for the scores ``(by, value)``."""
     same = " AND ".join(f"m.{c} IS NOT DISTINCT FROM s.{c}" for c in by.split(", "))
     floor = "CAST(floor(value) AS BIGINT)"
-    seed = duck.hash52(by, floor, f"CAST(floor((value - {floor}) * 1e9) AS BIGINT)", "piece")
+    seed = duck.hash52(by, floor, f"CAST(floor((value - {floor}) * 1e9) AS BIGINT)", "place", "j")
+    digit = f"CASE WHEN place = {PLACES - 1} THEN cnt >> (place * {BASE_BITS}) ELSE (cnt >> (place * {BASE_BITS})) & {BASE - 1} END"
     return f"""scores AS ({scores}),
       hist AS (SELECT {by}, value, count(*) AS cnt FROM scores GROUP BY ALL),
       sizes AS (SELECT {by}, sum(cnt) AS n FROM hist GROUP BY {by}),
-      pieces AS (SELECT *, unnest(range(CASE WHEN cnt >= {WIDE} THEN 1 ELSE cnt // {SPLIT} + cnt % {SPLIT} END)) AS piece FROM hist),
-      seeded AS (SELECT *, CAST(CASE WHEN cnt >= {WIDE} THEN cnt WHEN piece < cnt // {SPLIT} THEN {SPLIT} ELSE 1 END AS DOUBLE) AS lam,
-        {seed} & {(1 << 31) - 1} AS seed FROM pieces),
-      mixed AS (SELECT {by}, value, lam, b, ({duck.draw_number('seed', 'b')} + 0.5::DOUBLE) / {1 << 31}::DOUBLE AS u
+      placed AS (SELECT *, unnest(range({PLACES})) AS place FROM hist),
+      pieces AS (SELECT *, unnest(range({digit})) AS j FROM placed),
+      seeded AS (SELECT *, 1 << (place * {BASE_BITS}) AS lam, {seed} & {MASK} AS seed FROM pieces),
+      mixed AS (SELECT {by}, value, lam, b, ({duck.draw_number('seed', 'b')} + 0.5::DOUBLE) / {MASK + 1}::DOUBLE AS u
         FROM seeded, range({replicates}) AS r(b)),
-      drawn AS (SELECT {by}, value, b, {quantile('u', 'lam')} AS k FROM mixed),
+      drawn AS (SELECT {by}, value, b, {quantile_sql('u', 'lam')} AS k FROM mixed),
       summed AS (SELECT {by}, b, sum(k * value) / nullif(sum(k), 0) AS mean FROM drawn GROUP BY {by}, b),
       means AS (SELECT m.*, s.n FROM summed m JOIN sizes s ON {same})"""
 

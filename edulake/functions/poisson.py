@@ -1,65 +1,73 @@
-"""Quantiles of the Poisson distribution as SQL text that several engines read alike."""
+"""Quantiles of Poisson distributions from portable random numbers, the same in numpy and in SQL."""
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
+
 #: Multipliers that mix a seed and a replicate into 31 bits.
 MIX = (0x1E3779B1, 0x2C1B3C6D, 0x297A2D39)
-#: Means from here on go by expansion around the normal quantile, which is then exact to a hundredth of a count.
-WIDE = 64
-#: Smaller means are sums of this mean and of 1.
-SPLIT = 8
+BITS = 31
+MASK = (1 << BITS) - 1
+#: A count of samples is written with digits of this base, and each unit of digit k draws with mean ``BASE ** k``. Poisson
+#: counts add up, so the sum of the draws has the whole count as its mean, exactly, whatever the count.
+BASE_BITS = 3
+BASE = 1 << BASE_BITS
+#: The largest digit's place takes what is left, in as many units as it needs.
+PLACES = 5
 
 
-def _steps(u: str, mean: float) -> str:
-    """The least count whose cumulative probability exceeds ``u``."""
-    share, total, count, cases = math.exp(-mean), 0.0, 0, []
-    while True:
-        total += share
-        if total >= 1 - 1e-12 and count > mean:
-            break
-        cases.append(f"WHEN {u} < {total:.17e} THEN {count}e0")
+@functools.cache
+def cumulative(mean: int) -> tuple[int, tuple[float, ...]]:
+    """The least count that matters and, from it on, the probability of that count or fewer."""
+    reach = int(9 * math.sqrt(mean)) + 9
+    count, shares = max(0, mean - reach), []
+    first, total = count, 0.0
+    while count <= mean or (total < 1 - 1e-12 and count < mean + reach):
+        total += math.exp(count * math.log(mean) - mean - math.lgamma(count + 1))
+        shares.append(total)
         count += 1
-        share *= mean / count
-    return f"(CASE {' '.join(cases)} ELSE {count}e0 END)"
-
-
-# Coefficients of a rational approximation of the normal quantile, to nine digits.
-_A = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239e0)
-_B = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
-_C = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838e0, -2.549732539343734e0, 4.374664141464968e0, 2.938163982698783e0)
-_D = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996e0, 3.754408661907416e0, 1.0)
-_TAIL = 0.02425
-
-
-def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
-    text = f"({coefficients[0]:.17e})"
-    for c in coefficients[1:]:
-        text = f"({text} * {x} + ({c:.17e}))"
-    return text
+    return first, tuple(shares)
 
 
-def normal_quantile(u: str) -> str:
-    middle = f"({u} - 5e-1)"
-    square = f"({middle} * {middle})"
+@functools.cache
+def _limits(mean: int) -> tuple[int, np.ndarray]:
+    """The least count, and the random numbers from which on each larger one is drawn."""
+    first, shares = cumulative(mean)
+    limits = np.ceil(np.array(shares) * (1 << BITS) - 0.5)
+    return first, limits[limits <= MASK].astype(np.uint32)
 
-    def tail(p: str) -> str:
-        q = f"sqrt(-2e0 * ln({p}))"
-        return f"({_polynomial(_C, q)} / {_polynomial(_D, q)})"
 
-    return (
-        f"(CASE WHEN {u} < {_TAIL:.17e} THEN {tail(u)} WHEN {u} > {1 - _TAIL:.17e} THEN -{tail(f'(1e0 - {u})')} "
-        f"ELSE {_polynomial(_A, square)} * {middle} / {_polynomial(_B, square)} END)"
-    )
+def counts(seeds: np.ndarray, replicates: np.ndarray, mean: int) -> np.ndarray:
+    """A Poisson count for every seed (row) and replicate (column)."""
+    mask = np.uint32(MASK)
+    first, second, third = (np.uint32(m) for m in MIX)
+    with np.errstate(over="ignore"):
+        x = seeds.astype(np.uint32)[:, None] + replicates.astype(np.uint32)[None, :] * first
+        x &= mask
+        x ^= x >> np.uint32(15)
+        x *= second
+        x &= mask
+        x ^= x >> np.uint32(12)
+        x *= third
+        x &= mask
+        x ^= x >> np.uint32(15)
+    least, limits = _limits(mean)
+    if len(limits) > 16:
+        return least + np.searchsorted(limits, x, side="right").astype(np.float64)
+    drawn = np.zeros(x.shape, dtype=np.uint8)
+    for limit in limits:
+        drawn += x >= limit
+    return least + drawn.astype(np.float64)
 
 
-def quantile(u: str, mean: str) -> str:
-    """The Poisson count at ``u``, for means of 1, ``SPLIT``, and from ``WIDE`` on."""
-    z = normal_quantile(u)
-    root = f"sqrt({mean})"
-    wide = (
-        f"floor({mean} + {root} * {z} + ({z} * {z} - 1e0) / 6e0 "
-        f"+ ({z} - {z} * {z} * {z}) / (7.2e1 * {root}) + 5e-1)"
-    )
-    return f"(CASE WHEN {mean} = 1e0 THEN {_steps(u, 1.0)} WHEN {mean} = {SPLIT}e0 THEN {_steps(u, float(SPLIT))} ELSE {wide} END)"
+def quantile_sql(u: str, mean: str) -> str:
+    """The Poisson count at ``u`` in SQL, for the means of all places."""
+    branches = []
+    for place in range(PLACES):
+        least, shares = cumulative(BASE**place)
+        steps = " ".join(f"WHEN {u} < {p:.17e} THEN {least + k}e0" for k, p in enumerate(shares))
+        branches.append(f"WHEN {mean} = {BASE**place} THEN (CASE {steps} ELSE {least + len(shares)}e0 END)")
+    return f"(CASE {' '.join(branches)} END)"

@@ -1,72 +1,151 @@
 """Bootstrap intervals and tests on per-sample scores, by one method for groups of any size.
 
 Scores are reduced to a histogram per group. In every replicate a histogram row that stands for c samples gets a Poisson
-count of mean c, which is what c samples drawn with replacement come to in a group of any size. The counts are quantiles
-of portable hashes, so they are the same on every engine and retry. The work is distinct values times replicates, in
-generated code, and the counts are added up inside each task before they are shuffled.
+count of mean c, which is what c samples drawn with replacement come to. A task keeps for its group one vector with the
+counts of all replicates and one with their weighted sums, and hands on only these: what is shuffled is two numbers per
+task, group and replicate, however many scores there are. The counts come from portable hashes of group, value and
+replicate, so they are the same on every engine and retry, and wherever a row is worked on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edulake.functions import poisson
 from edulake.functions.hashing import hash52
 from edulake.functions.numeric import round_exact
-from edulake.functions.poisson import MIX, SPLIT, WIDE, quantile
 from edulake.schema import METRICS
-from edulake.session import join_with_nulls, settle
+from edulake.session import join_with_nulls
 
 REPLICATES = 1000
 MIN_ROWS = 5
 MIN_ATTACHED = 10
-
-
-def _uniform(pieces: DataFrame) -> DataFrame:
-    """A column ``u`` in (0, 1) mixed from ``seed`` and the replicate ``b``.
-
-    Plain integer columns, so that the draws run in generated code; all products fit in 63 bits.
-    """
-    mask = F.lit((1 << 31) - 1).cast("bigint")
-    first, second, third = [F.lit(x).cast("bigint") for x in MIX]
-    steps = [
-        ("u", (F.col("seed") + F.col("b") * first).bitwiseAND(mask)),
-        ("u", (F.col("u").bitwiseXOR(F.shiftright("u", 15)) * second).bitwiseAND(mask)),
-        ("u", (F.col("u").bitwiseXOR(F.shiftright("u", 12)) * third).bitwiseAND(mask)),
-        ("u", (F.col("u").bitwiseXOR(F.shiftright("u", 15)) + F.lit(0.5)) / F.lit(float(1 << 31))),
-    ]
-    for name, step in steps:
-        pieces = pieces.withColumn(name, step)
-    return pieces
+#: Histogram rows whose counts are drawn at once: a few megabytes for a thousand replicates.
+ROWS_AT_ONCE = 256
+#: Parts that the vectors of a group are cut into, so that they are added up by several tasks.
+BLOCKS = 8
+
+
+def _units(count: Column) -> Column:
+    """The units of all digits of a count, as an array of (place, j)."""
+
+    def units(place: int) -> Column:
+        digit = F.shiftright(count, poisson.BASE_BITS * place)
+        if place < poisson.PLACES - 1:
+            digit = digit.bitwiseAND(F.lit(poisson.BASE - 1).cast("bigint"))
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.greatest(digit, F.lit(1)) - 1)
+        numbers = F.when(digit > 0, numbers).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda j: F.struct(F.lit(place).alias("place"), j.alias("j")))
+
+    return F.flatten(F.array(*[units(place) for place in range(poisson.PLACES)]))
+
+
+def _starts(batch: pa.RecordBatch, by: Sequence[str]) -> np.ndarray:
+    """The rows at which a group begins, where equal groups lie side by side."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[:1] = True
+    for name in by:
+        codes = pc.dictionary_encode(batch.column(name), null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _vectors(by: Sequence[str], replicates: int) -> Callable[[Iterable], Iterator]:
+    columns = np.arange(replicates)
+    edges = np.linspace(0, replicates, BLOCKS + 1).astype(int)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key, n, weights, sums = None, None, 0, None, None
+
+        def finished() -> pa.RecordBatch:
+            lists = [
+                pa.array([v[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.list_(pa.float64()))  # noqa: B905
+                for v in (weights, sums)
+            ]
+            first = [group.column(c).take(pa.array([0] * BLOCKS)) for c in by]
+            own = [pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([n] * BLOCKS, pa.int64())]
+            return pa.RecordBatch.from_arrays([*first, *own, *lists], [*by, "block", "n", "w", "s"])
+
+        for batch in batches:
+            starts = _starts(batch, by)
+            values, seeds, places, samples = (batch.column(c).to_numpy() for c in ("value", "seed", "place", "samples"))
+            for first, last in zip(starts, [*starts[1:], batch.num_rows]):  # noqa: B905
+                head = batch.slice(first, 1)
+                new = tuple(head.column(c)[0].as_py() for c in by)
+                if group is None or new != key:
+                    if group is not None:
+                        yield finished()
+                    group, key, n = head, new, 0
+                    weights, sums = np.zeros(replicates), np.zeros(replicates)
+                n += int(samples[first:last].sum())
+                for place in np.unique(places[first:last]):
+                    rows = first + np.flatnonzero(places[first:last] == place)
+                    for k in range(0, len(rows), ROWS_AT_ONCE):
+                        some = rows[k : k + ROWS_AT_ONCE]
+                        drawn = poisson.counts(seeds[some], columns, poisson.BASE ** int(place))
+                        weights += drawn.sum(axis=0)
+                        sums += values[some] @ drawn
+        if group is not None:
+            yield finished()
+
+    return run
+
+
+def _added_up(by: Sequence[str], replicates: int) -> Callable[[pa.Table], pa.Table]:
+    edges = np.linspace(0, replicates, BLOCKS + 1).astype(int)
+
+    def run(parts: pa.Table) -> pa.Table:
+        block = parts.column("block")[0].as_py()
+        numbers = np.arange(edges[block], edges[block + 1])
+        weights, sums = (
+            np.asarray(parts.column(c).combine_chunks().flatten()).reshape(parts.num_rows, -1).sum(axis=0)
+            for c in ("w", "s")
+        )
+        n = pc.sum(parts.column("n")).as_py()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = pa.array(sums / weights, mask=weights == 0)
+        same = pa.array(np.zeros(len(numbers), dtype=np.int64))
+        first = [parts.column(c).combine_chunks().take(same) for c in by]
+        return pa.table(
+            [*first, pa.array([n] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), means],
+            [*by, "n", "b", "mean"],
+        )
+
+    return run
 
 
 def resample_means(df: DataFrame, by: Sequence[str], value: str, replicates: int = REPLICATES) -> DataFrame:
     """One row per group and replicate: the mean of a resample; null where a replicate holds no sample.
 
-    A count below ``WIDE`` is dealt out as Poisson counts of mean ``SPLIT`` and 1, which add up to the same.
+    Null scores take no part. Drawing takes a thousand times longer than reading, so the histogram is dealt out over all
+    tasks whatever its bytes, the rows of one value as well.
     """
     by = list(by)
-    hist = settle(df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("cnt")))
-    sizes = hist.groupBy(*by).agg(F.sum("cnt").alias("n"))
-    wide, whole = F.col("cnt") >= WIDE, F.floor(F.col("cnt") / SPLIT)
-    number = F.when(wide, 1).otherwise(whole + F.col("cnt") % SPLIT)
-    mean = F.when(wide, F.col("cnt")).when(F.col("piece") < whole, SPLIT).otherwise(1)
+    spark = df.sparkSession
+    scores = df.select(*by, F.col(value).cast("double").alias("value")).where("value IS NOT NULL")
+    hist = scores.groupBy(*by, "value").agg(F.count("*").alias("cnt"))
     floor = F.floor("value")
-    name = [*[F.col(c) for c in by], floor, F.floor((F.col("value") - floor) * F.lit(1e9)), F.col("piece")]
+    name = [*[F.col(c) for c in by], floor, F.floor((F.col("value") - floor) * F.lit(1e9)), F.col("place"), F.col("j")]
     pieces = (
-        hist.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), number.cast("bigint") - 1)).alias("piece"))
-        .withColumn("lam", mean.cast("double"))
-        .withColumn("seed", hash52(*name).bitwiseAND(F.lit((1 << 31) - 1)))
-        .select(*by, "value", "lam", "seed", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+        hist.select("*", F.explode(_units(F.col("cnt"))).alias("u"))
+        .select(*by, "value", "cnt", "u.place", "u.j")
+        .withColumn("seed", hash52(*name).bitwiseAND(F.lit(poisson.MASK).cast("bigint")))
+        .withColumn("samples", F.pow(F.lit(float(poisson.BASE)), F.col("place")).cast("bigint"))
+        .select(*by, "value", "seed", "place", "samples")
     )
-    drawn = _uniform(pieces).select(*by, "b", "value", F.expr(quantile("u", "lam")).alias("count"))
-    sums = drawn.groupBy(*by, "b").agg(
-        F.sum("count").alias("w"), F.sum(F.col("count") * F.col("value")).alias("s")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = pieces.repartition(tasks, "seed", "place").sortWithinPartitions(*by)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    vectors = dealt.mapInArrow(_vectors(by, replicates), f"{kinds}, block int, n bigint, w array<double>, s array<double>")
+    return vectors.groupBy(*by, "block").applyInArrow(
+        _added_up(by, replicates), f"{kinds}, n bigint, b int, mean double"
     )
-    means = sums.select(*by, "b", F.try_divide("s", "w").alias("mean"))
-    return join_with_nulls(means, sizes, by).select(*by, "n", "b", "mean")
 
 
 def long_scores(df: DataFrame, ids: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:

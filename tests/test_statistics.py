@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 import statistics
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import duck
 from edulake.functions import poisson
 from edulake.operators import bootstrap, checks, rollout
 
@@ -28,12 +31,45 @@ def test_interval_of_a_proportion(spark, n):
     assert row["p_value"] == pytest.approx(0.001)
 
 
-@pytest.mark.parametrize("mean", [1, 8, 64, 1000])
-def test_counts_have_the_mean_and_variance_of_a_poisson(spark, mean):
-    draws = spark.range(200_000).selectExpr("(id + 0.5D) / 200000D AS u", f"{mean}D AS lam")
-    row = draws.select(F.expr(poisson.quantile("u", "lam")).alias("k")).agg(F.avg("k").alias("m"), F.var_pop("k").alias("v")).first()
-    assert row["m"] == pytest.approx(mean, rel=2e-3)
-    assert row["v"] == pytest.approx(mean, rel=2e-2)
+@pytest.mark.parametrize("mean", [poisson.BASE**k for k in range(poisson.PLACES)])
+def test_counts_have_the_mean_and_variance_of_a_poisson(mean):
+    drawn = poisson.counts(np.arange(0, 1 << 31, 10**7), np.arange(1000), mean)
+    assert drawn.mean() == pytest.approx(mean, rel=3e-3)
+    assert drawn.var() == pytest.approx(mean, rel=2e-2)
+
+
+@pytest.mark.parametrize("mean", [1, 8, 512])
+def test_counts_are_those_of_sql(mean):
+    seeds, replicates = np.array([0, 7, 12345, (1 << 31) - 1]), np.arange(50)
+    con = duckdb.connect()
+    for seed, drawn in zip(seeds, poisson.counts(seeds, replicates, mean), strict=True):
+        u = f"(({duck.draw_number(str(seed), 'b')} + 0.5::DOUBLE) / {1 << 31}::DOUBLE)"
+        sql = f"SELECT {poisson.quantile_sql('u', 'lam')} FROM (SELECT {u} AS u, {mean} AS lam FROM range(50) r(b) ORDER BY b)"
+        assert [r[0] for r in con.execute(sql).fetchall()] == drawn.tolist()
+
+
+def test_units_of_a_count_add_up(spark):
+    numbers = [1, 7, 8, 63, 64, 4095, 4096, 40_961]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", bootstrap._units(F.col("n")).alias("u"))
+    for row in rows.collect():
+        assert sum(poisson.BASE**u.place for u in row.u) == row.n
+        assert len({tuple(u) for u in row.u}) == len(row.u)
+
+
+def test_vectors_are_all_that_is_handed_on(spark):
+    """Two numbers per task, group and replicate leave a task, however many scores it reads."""
+    data = spark.range(20_000).selectExpr("concat('g', id % 3) AS dataset", "rand(1) AS value")
+    means = bootstrap.resample_means(data, ["dataset"], "value")
+    assert means.count() == 3 * bootstrap.REPLICATES
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(sequence(0, 999" not in plan and "MapInArrow" in plan
+
+
+def test_null_groups_and_null_scores(spark):
+    data = marks(spark, [(None, 1.0)] * 6 + [("a", None)] * 6 + [("a", 0.5)] * 7)
+    rows = {r["dataset"]: (r["n"], r["lower"], r["upper"]) for r in bootstrap.confidence_intervals(data, ["dataset"]).collect()}
+    assert rows == {None: (6, 1.0, 1.0), "a": (7, 0.5, 0.5)}
+    assert bootstrap.confidence_intervals(data.limit(0), ["dataset"]).count() == 0
 
 
 def test_small_groups(spark):
