@@ -262,6 +262,37 @@ def normalize_windata(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "json_array_conversations",
+    """SELECT 'img' || conv_id AS image, count(*) AS turns,
+      md5(string_agg((CASE WHEN role = 'user' THEN 'human' ELSE role END) || ':' || text, '|' ORDER BY turn, role, text)) AS digest,
+      'geo170k' AS image_file FROM @conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY conv_id""",
+    longs=["turns"],
+)
+def json_array_conversations(t: Tables) -> DataFrame:
+    """All conversations written as files of one JSON array each, and read back by ranges of bytes."""
+    from edulake.sources.images import read_conversation_array
+    from edulake.sources.json_array import write_arrays
+
+    said = t.conversations.where("text IS NOT NULL AND role IS NOT NULL")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    who = lambda x: F.when(x["role"] == "user", "human").otherwise(x["role"])
+    rows = said.groupBy("conv_id").agg(
+        F.transform(turns, lambda x: F.struct(who(x).alias("from"), x["text"].alias("value"))).alias("conversations")
+    )
+    rows = rows.select(
+        "conversations", F.array(F.concat(F.lit("img"), "conv_id")).alias("image"), F.lit("geo170k").alias("image_file")
+    )
+    write_arrays(rows, f"{t.scratch}/arrays")
+    lines = F.transform("conversations", lambda x: F.concat(x["from"], F.lit(":"), x["value"]))
+    return read_conversation_array(t.spark, f"{t.scratch}/arrays").select(
+        F.col("image")[0].alias("image"),
+        F.size("conversations").alias("turns"),
+        F.md5(F.concat_ws("|", lines)).alias("digest"),
+        "image_file",
+    )
+
+
 def _built(name: str) -> str:
     user, assistant, has_image, kept, _ = EXPECTED[name]
     return f"""SELECT '{name}' AS dataset, row_id, {user} AS user_text, {assistant} AS assistant_text, {has_image} AS has_real_image

@@ -194,7 +194,23 @@ def weighted_draws_feedback(t: Tables) -> DataFrame:
     return sampling.weighted_draws(_draw_rows(t), "doc_id", multipliers=weights)
 
 
-_ORDER = f"SELECT event_id, row_number() OVER (ORDER BY {_h('event_id', '45')}, event_id) AS position FROM @events"
+def _permuted(tag: str) -> str:
+    """``event_id`` and ``position``: row numbers through the rounds of the permutation, again while beyond the last."""
+
+    def rounds(p: str, source: str) -> str:
+        h = [hash52("'permutation'", f"'{tag}'", f"'{turn}'", half) for turn, half in enumerate(("y0", "x1", "y1", "x2"))]
+        return f"""SELECT event_id, n, a, b, x2 * b + (y1 + {h[3]}) % b AS p FROM (SELECT *, (x1 + {h[2]}) % a AS x2
+          FROM (SELECT *, (y0 + {h[1]}) % b AS y1 FROM (SELECT *, ({p} // b + {h[0]}) % a AS x1
+          FROM (SELECT *, {p} % b AS y0 FROM {source}))))"""
+
+    return f"""WITH RECURSIVE numbered AS (SELECT event_id, row_number() OVER (ORDER BY {_h('event_id', 'rows')}, event_id) - 1 AS row_number,
+        count(*) OVER () AS n FROM @events),
+      sided AS (SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM numbered)),
+      walk AS ({rounds('row_number', 'sided')} UNION ALL {rounds('p', '(SELECT * FROM walk WHERE p >= n)')})
+      SELECT event_id, p + 1 AS position FROM walk WHERE p < n"""
+
+
+_ORDER = _permuted("45")
 
 
 @query("epoch_order", _ORDER, longs=["event_id", "position"])
@@ -208,7 +224,17 @@ def epoch_order(t: Tables) -> DataFrame:
     longs=["event_id", "position", "batch_id"],
 )
 def batches_resumed(t: Tables) -> DataFrame:
-    return sampling.assign_batches(sampling.epoch_order(t.events, "event_id", epoch=3), 32, skip_batches=7)
+    numbered = sampling.number_rows(t.events, "event_id")
+    return sampling.assign_batches(sampling.epoch_order(numbered, "event_id", epoch=3), 32, skip_batches=7)
+
+
+@query(
+    "batch_rows",
+    f"SELECT event_id, position, CAST((position - 1) // 32 AS BIGINT) AS batch_id FROM ({_ORDER}) WHERE (position - 1) // 32 IN (2, 7, 30)",
+    longs=["event_id", "position", "batch_id"],
+)
+def batch_rows(t: Tables) -> DataFrame:
+    return sampling.batch_rows(sampling.number_rows(t.events, "event_id"), "event_id", [2, 7, 30], 32, epoch=3)
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edulake.functions.hashing import unit
+from edulake.functions.permutation import Permutation
 from edulake.operators.ranking import first_by_id, lowest, with_rank
 from edulake.session import join_with_nulls, settle
 
@@ -112,9 +115,24 @@ def weighted_draws(
     return join_with_nulls(picks, rows, ["dataset", "position"]).select("draw", "dataset", key)
 
 
+def number_rows(df: DataFrame, key: str) -> DataFrame:
+    """The keys with a ``row_number`` from 0, settled. Done once for a dataset; all epochs permute these numbers."""
+    return settle(with_rank(df.select(key), [], key, "rows", "__rank").select(key, (F.col("__rank") - 1).alias("row_number")))
+
+
+def _permutation(numbered: DataFrame, seed: int, epoch: int) -> Permutation:
+    return Permutation(numbered.count(), str(seed + epoch))
+
+
 def epoch_order(df: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """A permutation of the keys for one epoch, as a 1-based ``position``."""
-    return with_rank(df.select(key), [], key, str(seed + epoch))
+    """A permutation of the keys for one epoch, as a 1-based ``position``.
+
+    A row's position is computed from its number alone, without a sort or shuffle. ``df`` is the result of
+    ``number_rows``, or any table with the key, which is numbered first.
+    """
+    numbered = df if "row_number" in df.columns else number_rows(df, key)
+    place = _permutation(numbered, seed, epoch).place_column(F.col("row_number"))
+    return numbered.select(key, (place + 1).alias("position"))
 
 
 def assign_batches(ordered: DataFrame, batch_size: int, skip_batches: int = 0) -> DataFrame:
@@ -123,6 +141,25 @@ def assign_batches(ordered: DataFrame, batch_size: int, skip_batches: int = 0) -
     return ordered.withColumn("batch_id", batch).where(F.col("batch_id") >= skip_batches)
 
 
+def batch_rows(
+    numbered: DataFrame, key: str, batches: Iterable[int], batch_size: int, seed: int = 42, epoch: int = 0
+) -> DataFrame:
+    """The rows of some batches of an epoch: ``key``, ``position`` and ``batch_id``.
+
+    The numbers of the rows are computed from the positions asked for, and only these rows are looked up in the result
+    of ``number_rows``, by a filter that the scan can use. What is asked for passes through the driver.
+    """
+    permutation = _permutation(numbered, seed, epoch)
+    wanted = [
+        (permutation.number(place), place + 1, batch)
+        for batch in batches
+        for place in range(batch * batch_size, min((batch + 1) * batch_size, permutation.n))
+    ]
+    places = numbered.sparkSession.createDataFrame(wanted, "row_number bigint, position bigint, batch_id bigint")
+    found = numbered.where(F.col("row_number").isin([w[0] for w in wanted]))
+    return found.join(F.broadcast(places), "row_number").select(key, "position", "batch_id")
+
+
 def resume_position(total_rows: int, batch_size: int, done_steps: int) -> tuple[int, int]:
     """Epoch and batches to skip in it after so many finished steps."""
     per_epoch = total_rows // batch_size

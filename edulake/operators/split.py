@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edulake.functions.bloom import BloomFilter
 from edulake.operators.ranking import first_per_group, lowest_cut, with_lowest_mark
 from edulake.session import settle
 
@@ -62,22 +63,30 @@ def train_rows(df: DataFrame, eval_rows: DataFrame, key: str) -> DataFrame:
     return df.join(settle(eval_rows.select(key)), key, "left_anti")
 
 
+def _among(rows: DataFrame, key: Column, few: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``key`` is in the settled table ``few``. What its Bloom filter stops is neither joined nor shuffled."""
+    keyed = rows.withColumn("__key", key)
+    passed = keyed.where(BloomFilter(few, name).might_contain(F.col("__key")))
+    return passed.join(few, F.col("__key").eqNullSafe(few[name]), "left_semi").drop("__key")
+
+
 def leaked_prefixes(df: DataFrame, question: str = "question", chars: int = 100) -> DataFrame:
-    """Distinct question prefixes that occur in both splits. Copies collapse before the shuffle."""
-    prefix = F.substring(question, 1, chars).alias("prefix")
-    sides = df.groupBy(prefix).agg(
-        F.max((F.col("split") == "train").cast("int")).alias("in_train"),
-        F.max((F.col("split") == "eval").cast("int")).alias("in_eval"),
-    )
-    return sides.where("in_train = 1 and in_eval = 1").select("prefix")
+    """Distinct question prefixes that occur in both splits.
+
+    The held-out prefixes are few. A Bloom filter of them stops nearly all training rows where they are read; what passes
+    is looked up exactly, so nothing is missed and nothing wrong is found.
+    """
+    prefix = F.substring(question, 1, chars)
+    held = settle(df.where("split = 'eval'").select(prefix.alias("prefix")).distinct())
+    trained = df.where("split = 'train'").select(prefix.alias("prefix"))
+    return _among(trained, F.col("prefix"), held, "prefix").distinct()
 
 
 def leaked_rows(df: DataFrame, question: str = "question", chars: int = 100) -> DataFrame:
     """Rows whose question prefix occurs in both splits."""
+    leaked = settle(leaked_prefixes(df, question, chars).where("prefix IS NOT NULL"))
     prefix = F.substring(question, 1, chars)
-    return df.withColumn("prefix", prefix).join(
-        settle(leaked_prefixes(df, question, chars)), "prefix", "left_semi"
-    )
+    return _among(df.withColumn("prefix", prefix), F.col("prefix"), leaked, "prefix")
 
 
 def config_overlap(evaluated: DataFrame, trained: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edulake.schema import SOURCE_CONVERSATION
+from edulake.sources.json_array import read_objects
+
 # ---- Fixed values: folder of every image key. ----
 IMAGE_FOLDERS = (
     ("Docmatix", "Docmatix"),
@@ -18,13 +20,11 @@ IMAGE_FOLDERS = (
 # ---- End of fixed values. ----
 
 
-def read_conversation_array(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of files that hold one JSON array each, with the name of the file they came from.
-
-    A file is read by one task; large arrays should be stored as one object per line.
-    """
-    rows = spark.read.schema(SOURCE_CONVERSATION).option("multiLine", True).json(path)
-    return rows.withColumn("json_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def read_conversation_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows of files that hold one JSON array each, with the name of the file they came from. Large files are split."""
+    objects = read_objects(spark, path)
+    rows = objects.select(F.from_json("json", SOURCE_CONVERSATION).alias("row"), F.col("file_name").alias("json_file"))
+    return rows.select("row.*", "json_file")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:

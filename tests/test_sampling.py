@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from edulake.functions import bloom
 from edulake.operators import ranking, sampling, split
 
 
@@ -182,3 +183,26 @@ def test_no_draw_is_lost(uneven):
 
 def test_order_of_repeated_keys_is_a_permutation(uneven):
     assert sorted(r["position"] for r in sampling.epoch_order(uneven, "key").collect()) == list(range(1, 204))
+
+
+def test_bloom_filter_misses_nothing(spark):
+    keys = spark.range(0, 3000, 3).select(F.when(F.col("id") > 0, F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    own = bloom.BloomFilter(keys, "k")
+    asked = spark.range(30_000).select("id", F.when(F.col("id") > 0, F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    passed = {r.id for r in asked.where(own.might_contain(F.col("k"))).collect()}
+    assert passed >= set(range(0, 3000, 3))
+    assert len(passed) < 1000 + 0.03 * 29_000
+
+
+def test_leakage_moves_only_what_the_filter_passes(spark):
+    """Prefixes are found wherever they occur, null ones too; other training rows reach no exchange."""
+    rows = [(f"question {k}", "train") for k in range(5000)] + [(f"question {k * 100}", "eval") for k in range(70)]
+    rows += [(None, "train"), (None, "eval"), ("x" * 150, "eval"), ("x" * 120, "train"), ("question 7", "other")]
+    df = spark.createDataFrame(rows, "question string, split string")
+    found = split.leaked_prefixes(df)
+    assert {r.prefix for r in found.collect()} == {f"question {k}" for k in range(0, 5000, 100)} | {None, "x" * 100}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "scalar-subquery" in plan.lower() or "subquery" in plan.lower()
+    leaked = split.leaked_rows(df)
+    assert leaked.count() == 2 * 50 + 2 and set(leaked.columns) == {"question", "split", "prefix"}
+    assert split.leaked_prefixes(df.limit(0)).count() == 0
