@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.harness import Tables, query
-from edulake.streaming import metrics
+from edulake.streaming import live, metrics
 
 _NEWEST = "SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY ts DESC, step DESC) AS recency FROM @points"
 _TREND = f"""SELECT run, metric, current, delta, CASE WHEN delta IS NULL THEN 'none' WHEN abs(delta) < 1e-6 THEN 'flat' WHEN delta > 0 THEN 'up' ELSE 'down' END AS trend
@@ -130,3 +130,53 @@ def stream_dataset_progress(t: Tables) -> DataFrame:
     fields = F.struct("completed", "total", "percent", "accuracy")
     last = out.groupBy("dataset").agg(F.max_by(fields, "batch").alias("last"))
     return last.select("dataset", "last.*")
+
+
+def _last(out: DataFrame, *keys: str) -> DataFrame:
+    """What the last micro-batch that touched a key says of it."""
+    newest = out.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return out.join(newest, [*keys, "batch"]).drop("batch")
+
+
+@query("stream_bounded_history", f"SELECT run, metric, step, value, recency FROM ({_NEWEST}) WHERE recency <= 100", doubles=["value"], longs=["step", "recency"])
+def stream_bounded_history(t: Tables) -> DataFrame:
+    live.use_state_store(t.spark)
+    out = run_to_end(live.stream_history(live_points(t)), t, "update")
+    return _last(out, "run", "metric").select("run", "metric", "step", "value", "recency")
+
+
+_STEPS = 100_000_000
+
+
+@query(
+    "stream_run_progress",
+    f"""SELECT run, spent AS elapsed_seconds, most AS step, floor(spent / greatest(most - least, 1) * ({_STEPS} - most) / 60) AS eta_minutes
+      FROM (SELECT run, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS spent, min(step) AS least, max(step) AS most
+        FROM @points GROUP BY run)""",
+    doubles=["elapsed_seconds"],
+    longs=["step", "eta_minutes"],
+)
+def stream_run_progress(t: Tables) -> DataFrame:
+    live.use_state_store(t.spark)
+    out = run_to_end(live.stream_run_progress(live_points(t), _STEPS), t, "update")
+    return _last(out, "run").select("run", "elapsed_seconds", "step", "eta_minutes")
+
+
+@query("stream_progress_once", _PROGRESS, doubles=["percent", "accuracy"], longs=["completed", "total"])
+def stream_progress_once(t: Tables) -> DataFrame:
+    """Every result is delivered twice."""
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    again = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    results = events.unionByName(again).select(
+        F.col("event_type").alias("dataset"), F.col("event_id").alias("sample_id"), "ts", (F.col("value") > 20).alias("is_correct")
+    )
+    live.use_state_store(t.spark)
+    folder, totals = t.scratch, _totals(t)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    writer = live.stream_counts(results, late="365 days").writeStream.outputMode("update")
+    writer = writer.foreachBatch(live.with_totals(keep, lambda: totals)).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _last(t.spark.read.parquet(f"{folder}/out"), "dataset")
