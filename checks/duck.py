@@ -168,3 +168,10 @@ def normal_cdf(z: str) -> str:
         poly = f"(({poly} + ({c})::DOUBLE) * {t})"
     erf = f"(1.0::DOUBLE - {poly} * exp(-{x} * {x}))"
     return f"(CASE WHEN {z} < 0 THEN (1.0 - {erf}) / 2 ELSE (1.0 + {erf}) / 2 END)"
+
+
+def judge_template(question: str, response: str, answer: str) -> str:
+    text = lit(lx.JUDGE_TEMPLATE)
+    for name, column in (("question", question), ("gt", answer), ("response", response)):
+        text = f"replace({text}, '{{{name}}}', coalesce(nullif({column}, ''), '{lx.JUDGE_EMPTY[name]}'))"
+    return text

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.duck import hash52, lit, strip, unit
+from checks.duck import hash52, judge_template, lit, strip, unit
 from checks.harness import Tables, query
-from edulake.functions.lexicon import EVAL_PROMPTS, JUDGE_EMPTY, JUDGE_TEMPLATE, TUTOR_PROMPTS
+from edulake.functions.lexicon import EVAL_PROMPTS, TUTOR_PROMPTS
 from edulake.operators import chat
 from edulake.operators.judge import judge_prompt
 from edulake.session import settle
@@ -191,9 +191,7 @@ def answer_offset(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", chat.answer_offset(rendered).alias("offset_chars"))
 
 
-_TEMPLATE = lit(JUDGE_TEMPLATE)
-for _name, _column in (("question", "question"), ("gt", "gt_answer"), ("response", "response")):
-    _TEMPLATE = f"replace({_TEMPLATE}, '{{{_name}}}', coalesce(nullif({_column}, ''), '{JUDGE_EMPTY[_name]}'))"
+_TEMPLATE = judge_template("question", "response", "gt_answer")
 
 
 @query("judge_prompt", f"SELECT sample_id, md5({_TEMPLATE}) AS prompt_md5, length({_TEMPLATE}) AS chars FROM @responses", longs=["chars"])
@@ -278,6 +276,36 @@ def runs_write_read(t: Tables) -> DataFrame:
     return runs.flatten_runs(back).select("run_id", "stage", "ts", "model_path", "dataset", "accuracy", "total")
 
 
+@query(
+    "run_table_write_read",
+    "SELECT run_id, stage, ts, model_path, dataset, accuracy, total FROM @run_table",
+    doubles=["accuracy"],
+    longs=["total"],
+)
+def run_table_write_read(t: Tables) -> DataFrame:
+    """All runs staged and published twice, as after a lost answer, beside a run that broke off before it was published."""
+    path, table = f"{t.scratch}/run-table", t.run_table.select("run_id", "stage", "ts", "model_path", "dataset", "accuracy", "total")
+    for attempt in ("a1", "a2"):
+        table.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt").parquet(f"{path}/rows")
+        commits = table.select("run_id", F.lit(attempt).alias("attempt")).distinct()
+        commits.write.mode("append").parquet(f"{path}/commits")
+    runs.stage_run(table.select("dataset", "accuracy", "total"), path, "broken", "sft", "99991231_000000", "model/none")
+    return runs.read_run_table(t.spark, path)
+
+
+@query(
+    "json_exports_write_read",
+    "SELECT run_id, dataset, accuracy, total FROM @run_table",
+    doubles=["accuracy"],
+    longs=["total"],
+)
+def json_exports_write_read(t: Tables) -> DataFrame:
+    """Rows exported as JSON lines and read back."""
+    path = f"{t.scratch}/export"
+    runs.write_json(t.run_table, path, ["run_id", "dataset", "accuracy", "total"])
+    return t.spark.read.schema("run_id string, dataset string, accuracy double, total long").json(path)
+
+
 @query(
     "run_metrics_write_read",
     """WITH weighted AS (SELECT run_id, sum(accuracy * total) / nullif(sum(total), 0) AS w FROM @run_table GROUP BY run_id),

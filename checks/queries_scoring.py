@@ -339,3 +339,49 @@ def final_answer(t: Tables) -> DataFrame:
     return t.responses.select(
         "sample_id", scoring.final_answer(r).alias("final_answer"), scoring.final_answer_match(r, g).alias("final_match")
     )
+
+
+def _length_model():
+    """A judge without weights: its scores follow from the length of its prompt."""
+
+    def model(prompts):
+        marks = [(len(p) % 11, len(p) % 7, len(p) % 5, len(p) % 10, len(p) % 13) for p in prompts]
+        return [
+            f'{{"accuracy": {a}, "completeness": {c}, "scaffolding": {s}, "fluency": {f}, "format": {m}}}' if a else "no scores"
+            for a, c, s, f, m in marks
+        ]
+
+    return model
+
+
+_MODEL_TOTAL = """CASE WHEN n % 11 = 0 THEN 0 ELSE ((n % 11) * 0.4::DOUBLE + (n % 7) * 0.2::DOUBLE + (n % 5) * 0.2::DOUBLE
+   + (n % 10) * 0.1::DOUBLE + least(n % 13, 10) * 0.1::DOUBLE) / 10 END"""
+_PROMPTS = f"SELECT sample_id, length({duck.judge_template('question', 'response', 'gt_answer')}) AS n FROM @responses"
+
+
+@query("model_scores", f"SELECT sample_id, {_MODEL_TOTAL} AS reward FROM ({_PROMPTS})", doubles=["reward"], longs=["sample_id"])
+def model_scores(t: Tables) -> DataFrame:
+    return judge.score_with_model(t.responses, _length_model).select("sample_id", "reward")
+
+
+_GROUPS = f"""SELECT sample_id, prompt_id, length({duck.judge_template('q', 'response', 'a')}) AS n FROM (SELECT *,
+   first(question) OVER own AS q, first(gt_answer) OVER own AS a FROM @responses WINDOW own AS (PARTITION BY prompt_id ORDER BY sample_id))"""
+
+
+@query(
+    "model_group_scores",
+    f"""SELECT prompt_id, array_to_string(list(printf('%.6f', CAST(reward AS DOUBLE)) ORDER BY sample_id), ' ') AS rewards
+        FROM (SELECT sample_id, prompt_id, {_MODEL_TOTAL} AS reward FROM ({_GROUPS})) GROUP BY prompt_id""",
+    longs=["prompt_id"],
+)
+def model_group_scores(t: Tables) -> DataFrame:
+    """The candidates of every prompt, under the question and answer of the first of them, scored as one row."""
+    candidates = F.sort_array(F.collect_list(F.struct("sample_id", "response")))
+    groups = t.responses.groupBy("prompt_id").agg(
+        F.min_by("question", "sample_id").alias("question"),
+        F.min_by("gt_answer", "sample_id").alias("gt_answer"),
+        F.transform(candidates, lambda c: c["response"]).alias("responses"),
+    )
+    scored = judge.score_groups(groups, "prompt_id", _length_model)
+    text = F.transform("rewards", lambda r: F.format_string("%.6f", r))
+    return scored.select("prompt_id", F.array_join(text, " ").alias("rewards"))

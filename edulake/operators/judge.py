@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,14 +148,69 @@ def score(
     return df.withColumn(to, scorer(F.col(response), F.col(answer), judged_col))
 
 
+#: A judge as a worker calls it: prompts in, one text for each out.
+Model = Callable[[Sequence[str]], Sequence[str]]
+
+PROMPTS_AT_ONCE = 32
+
+
+def judge_outputs(make_model: Callable[[], Model], batch_size: int = PROMPTS_AT_ONCE) -> Callable[[Column], Column]:
+    """A column function from judge prompts to the texts of a model.
+
+    ``make_model`` runs once in a worker, which keeps the model for all its tasks. A model gets ``batch_size`` prompts at
+    once at most, however many rows an Arrow batch has; null prompts are empty.
+    """
+
+    def make_predict():
+        model = make_model()
+
+        def predict(prompts: np.ndarray) -> np.ndarray:
+            return np.array([str(x) for x in model([p or "" for p in prompts.tolist()])], dtype=object)
+
+        return predict
+
+    return predict_batch_udf(make_predict, return_type=T.StringType(), batch_size=batch_size)
+
+
 def score_with_model(
-    df: DataFrame, model: Callable[[pd.DataFrame], pd.Series], inputs: list[str], to: str = "judge_output"
+    df: DataFrame,
+    make_model: Callable[[], Model],
+    backend: str = "judged",
+    question: str = "question",
+    response: str = "response",
+    answer: str = "gt_answer",
+    to: str = "reward",
+    batch_size: int = PROMPTS_AT_ONCE,
+    **options,
 ) -> DataFrame:
-    """Add a text column from a user's model, called on Arrow batches of the input columns."""
-    schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
+    """Add the reward of a user's judge model: prompt, answer of the model, scores and their total, or the hybrid of it.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{to: model(batch[inputs])})
+    A text that holds no scores counts 0. ``judge_output`` carries what the model said.
+    """
+    prompt = judge_prompt(F.col(question), F.col(response), F.col(answer))
+    judged = df.withColumn("judge_output", judge_outputs(make_model, batch_size)(prompt))
+    return score(judged, create_scorer(backend, **options), response, answer, to=to)
+
+
+def score_groups(
+    groups: DataFrame,
+    key: str,
+    make_model: Callable[[], Model],
+    backend: str = "judged",
+    question: str = "question",
+    responses: str = "responses",
+    answer: str = "gt_answer",
+    batch_size: int = PROMPTS_AT_ONCE,
+    **options,
+) -> DataFrame:
+    """``key`` and ``rewards``, one for each of the row's ``responses`` and in their order; ``key`` is unique.
 
-    return df.mapInPandas(run, schema)
+    Candidates of all groups fill the model's batches together. Only key, place and reward are shuffled, and a group is no
+    larger than the row it came in. No responses give an empty list.
+    """
+    each = groups.select(key, question, answer, F.posexplode(responses).alias("place", "response"))
+    scored = score_with_model(each, make_model, backend, question, "response", answer, "reward", batch_size, **options)
+    pairs = F.sort_array(F.collect_list(F.struct("place", "reward")))
+    rewards = scored.groupBy(key).agg(F.transform(pairs, lambda p: p["reward"]).alias("rewards"))
+    none = F.array().cast("array<double>")
+    return groups.select(key).join(rewards, key, "left").select(key, F.coalesce("rewards", none).alias("rewards"))

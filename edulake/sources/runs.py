@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,20 +85,53 @@ def read_flat_runs(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("run_id", "key", F.col("text").try_cast("double").alias("value")).where("value is not null")
 
 
-def append_run(summary: DataFrame, path: str, run_id: str, stage: str, ts: str, model_path: str = "") -> None:
-    """Add one run, a row per dataset, to the run table. The newest run is found by time."""
+def _rows(path: str) -> str:
+    return f"{path.rstrip('/')}/rows"
+
+
+def _commits(path: str) -> str:
+    return f"{path.rstrip('/')}/commits"
+
+
+def stage_run(
+    summary: DataFrame, path: str, run_id: str, stage: str, ts: str, model_path: str = "", attempt: str | None = None
+) -> str:
+    """Write one run's rows under an attempt of its own, which readers do not see yet. Gives the attempt."""
+    attempt = attempt or f"a{time.time_ns():020d}-{uuid.uuid4().hex}"
     stamped = summary.select(
         F.lit(run_id).alias("run_id"),
         F.lit(ts).alias("ts"),
         F.lit(model_path).alias("model_path"),
         F.lit(stage).alias("stage"),
         "*",
+        F.lit(attempt).alias("attempt"),
     )
-    stamped.write.mode("append").partitionBy("stage").parquet(path)
+    stamped.write.mode("append").partitionBy("attempt").parquet(_rows(path))
+    return attempt
+
+
+def commit_run(spark: SparkSession, path: str, run_id: str, attempt: str) -> None:
+    """Publish an attempt as the run's rows. Publishing again changes nothing; a later attempt takes the place of others."""
+    record = spark.createDataFrame([(run_id, attempt)], "run_id string, attempt string")
+    record.coalesce(1).write.mode("append").parquet(_commits(path))
+
+
+def append_run(summary: DataFrame, path: str, run_id: str, stage: str, ts: str, model_path: str = "") -> None:
+    """Add one run, a row per dataset, to the run table. The newest run is found by time.
+
+    The rows are written first and count only once a commit record names them. So a run that broke off stays invisible,
+    and a run that is appended again, after a lost answer, is there once.
+    """
+    attempt = stage_run(summary, path, run_id, stage, ts, model_path)
+    commit_run(summary.sparkSession, path, run_id, attempt)
 
 
 def read_run_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """The rows of the last published attempt of every run. Attempts sort by the time they began."""
+    commits = spark.read.schema("run_id string, attempt string").parquet(_commits(path))
+    published = commits.groupBy("run_id").agg(F.max("attempt").alias("attempt"))
+    rows = spark.read.option("mergeSchema", "true").parquet(_rows(path))
+    return rows.join(published, ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
 def write_json(df: DataFrame, path: str, columns: Iterable[str] | None = None) -> None:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
 
-import pandas as pd
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -199,6 +199,24 @@ def test_run_table_is_appended(spark, tmp_path):
     assert {r["stage"] for r in runs.read_run_table(spark, path).collect()} == {"sft", "grpo"}
 
 
+def test_run_appended_twice_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "table")
+    first = spark.createDataFrame([("x", 0.5), ("y", 0.25)], "dataset string, accuracy double")
+    again = spark.createDataFrame([("x", 0.75, 3)], "dataset string, accuracy double, total long")
+    runs.append_run(first, path, "20260101", "sft", "1")
+    runs.append_run(first, path, "20260101", "sft", "1")
+    runs.append_run(first, path, "b", "sft", "2")
+    assert runs.read_run_table(spark, path).count() == 4
+    # A half-written run, and one that was written and published twice.
+    runs.stage_run(first, path, "broken", "sft", "3")
+    attempt = runs.stage_run(again, path, "b", "sft", "2")
+    assert runs.read_run_table(spark, path).count() == 4
+    for _ in range(2):
+        runs.commit_run(spark, path, "b", attempt)
+    got = sorted((r.run_id, r.dataset, r.accuracy, r.total) for r in runs.read_run_table(spark, path).collect())
+    assert got == [("20260101", "x", 0.5, None), ("20260101", "y", 0.25, None), ("b", "x", 0.75, 3)]
+
+
 def test_metric_log(spark, tmp_path):
     (tmp_path / "log").mkdir()
     lines = ['{"step": 1, "time": "2026-01-01T00:00:00.5", "loss": 0.5, "lr": 1e-4, "note": "x"}', '{"step": 2, "time": "2026-01-01T00:00:01", "loss": 0.25}']
@@ -219,16 +237,48 @@ def test_write_is_skipped_when_present(spark, tmp_path):
         samples.concat_same_schema([rows, rows.drop("dataset")])
 
 
-def test_model_scorer_runs_on_batches(spark):
-    rows = spark.createDataFrame([("a", "x"), ("bb", "y")], "response string, gt_answer string")
-
-    def model(batch: pd.DataFrame) -> pd.Series:
-        score = batch["response"].str.len()
-        return score.map(lambda n: json.dumps({k: n for k in ("accuracy", "completeness", "scaffolding", "fluency", "format")}))
-
-    judged = judge.score_with_model(rows, model, ["response"])
-    scored = judge.score(judged, judge.create_scorer("judged"))
-    assert sorted(r["reward"] for r in scored.collect()) == pytest.approx([0.1, 0.2])
+def length_judge(folder):
+    """A judge that scores by the length of the response in its prompt, and notes every load and call in a folder."""
+
+    def make():
+        own = f"{folder}/{os.getpid()}"
+        with open(own, "a") as file:
+            file.write("load\n")
+
+        def model(prompts):
+            with open(own, "a") as file:
+                file.write(f"call {len(prompts)}\n")
+            sizes = [p.count("§") for p in prompts]
+            return [json.dumps(dict.fromkeys(judge.JUDGE_WEIGHTS, n)) if n else "no idea" for n in sizes]
+
+        return model
+
+    return make
+
+
+def test_model_is_made_once_per_worker_and_batches_are_bounded(spark, tmp_path):
+    rows = spark.range(300).repartition(6).select(
+        F.col("id"), F.lit("q").alias("question"), F.lit("x").alias("gt_answer"),
+        F.repeat(F.lit("§"), (F.col("id") % 4).cast("int")).alias("response"),
+    )
+    for _ in range(2):
+        scored = judge.score_with_model(rows, length_judge(tmp_path), batch_size=16)
+        got = {r.id: r.reward for r in scored.collect()}
+        assert got == {k: pytest.approx(k % 4 / 10) for k in range(300)}
+        logs = [f.read_text().split("\n") for f in tmp_path.iterdir()]
+    # Two queries have a model each.
+    assert all(1 <= log.count("load") <= 2 for log in logs)
+    sizes = [int(line.split()[1]) for log in logs for line in log if line.startswith("call")]
+    assert sum(sizes) == 600 and max(sizes) <= 16
+    hybrid = judge.score_with_model(rows, length_judge(tmp_path), "hybrid").where("id = 3").first()
+    assert hybrid.reward > 0.7 * 0.3
+
+
+def test_groups_are_scored_in_their_order(spark, tmp_path):
+    groups = [(1, "q", ["§§", "", "§", None], "x"), (2, "q", [], "x"), (3, None, ["§§§"], None)]
+    table = spark.createDataFrame(groups, "id long, question string, responses array<string>, gt_answer string")
+    got = {r.id: r.rewards for r in judge.score_groups(table, "id", length_judge(tmp_path)).collect()}
+    assert got == {1: pytest.approx([0.2, 0.0, 0.1, 0.0]), 2: [], 3: pytest.approx([0.3])}
 
 
 def test_build_plan_splits_by_question(spark):
