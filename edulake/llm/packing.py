@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import json
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edulake.llm.textops import IS_SPACE, Slice, released, slices, span_hashes, whole_text
+from edulake.llm.textops import IS_SPACE, Slice, released, slices, two_hashes, whole_text
 
 WINDOW = 1024
 END_ID = 0
 #: Pieces, and bytes of their ids, that a task gathers before it places them.
 GROUP_PIECES = 1 << 15
 GROUP_BYTES = 1 << 25
-#: Distinct segments in a generation of those whose ids a worker remembers.
-REMEMBERED = 60_000
+#: Bytes of a generation of the segments whose ids a worker remembers.
+REMEMBERED_BYTES = 1 << 25
 
 
 class OpenWindows:
@@ -78,12 +77,44 @@ def added_tokens(path: str) -> dict[str, int]:
     return {token["content"]: token["id"] for token in found}
 
 
+class _Known:
+    """Ids of segments by hash: ``keys`` sorted, each with a second hash, and where its ids begin and end in ``ids``."""
+
+    def __init__(self, keys, checks, begins, sizes, ids):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.checks, self.begins, self.sizes = keys[order], checks[order], begins[order], sizes[order]
+        self.ids = ids
+
+    @classmethod
+    def none(cls) -> _Known:
+        empty = np.zeros(0, dtype=np.int64)
+        return cls(empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty.astype(np.uint32))
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def with_others(self, other: _Known) -> _Known:
+        names = ("keys", "checks", "begins", "sizes")
+        own, more = ([getattr(x, n) for n in names] for x in (self, other))
+        more[2] = more[2] + len(self.ids)
+        return _Known(*map(np.concatenate, zip(own, more, strict=True)), np.concatenate((self.ids, other.ids)))
+
+    def size(self) -> int:
+        return 32 * len(self.keys) + 4 * len(self.ids)
+
+
 class Segments:
     """Token ids of texts from the ids of their segments.
 
     A segment begins at white space that follows another character, where every byte-level pre-tokeniser of this
     family also begins a token; so the ids of a text are the ids of its segments in turn. Segments that recur are
-    remembered in two generations: when the newer is full it becomes the older, which keeps what is in use.
+    remembered as arrays, under two 64-bit hashes, in generations: a small newest one, which goes into the newer one when
+    it is large, and the older one, which the newer one replaces when it is full. What a slice does not find there is
+    put together to one text and encoded at once; the bytes of the tokens tell which segment they belong to.
     """
 
     def __init__(self, path: str, pattern: str, added: str | None = None):
@@ -92,46 +123,94 @@ class Segments:
         special = added_tokens(added) if added else {}
         self.special = [token.encode() for token in special]
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.newer: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _ids(self, segment: bytes) -> bytes:
-        ids = self.newer.get(segment)
-        if ids is None:
-            ids = self.older.get(segment)
-            if ids is None:
-                own = segment.decode("utf-8", "replace")
-                if any(token in segment for token in self.special):
-                    found = self.encoding.encode(own, allowed_special="all")
-                else:
-                    found = self.encoding.encode_ordinary(own)
-                ids = array("I", found).tobytes()
-            self.newer[segment] = ids
-        return ids
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = len(token)
+        self.newest = self.newer = self.older = _Known.none()
+
+    def _alone(self, segment: bytes) -> np.ndarray:
+        """The ids of one segment, added tokens included."""
+        return np.array(self.encoding.encode(segment.decode("utf-8", "replace"), allowed_special="all"), dtype=np.uint32)
+
+    def _ids(self, segments: list[bytes], joined: np.ndarray, special: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of segments in any order, and where those of each begin and how many it has.
+
+        ``joined`` tells which segments begin a token of their own in any text.
+        """
+        if special:
+            joined = joined & ~np.array([any(t in s for t in self.special) for s in segments], dtype=bool)
+        begins, sizes = np.zeros(len(segments), dtype=np.int64), np.zeros(len(segments), dtype=np.int64)
+        found, count = [np.zeros(0, dtype=np.uint32)], 0
+        together = np.flatnonzero(joined)
+        if len(together):
+            own = [segments[k] for k in together.tolist()]
+            ends = np.cumsum([len(s) for s in own])
+            ids = self.encoding.encode_to_numpy(b"".join(own).decode("utf-8"), disallowed_special=()).astype(np.uint32)
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            sizes[together] = np.diff(upto, prepend=0)
+            begins[together] = upto - sizes[together]
+            found.append(ids)
+            count = len(ids)
+        for k in np.flatnonzero(~joined).tolist():
+            ids = self._alone(segments[k])
+            begins[k], sizes[k] = count, len(ids)
+            found.append(ids)
+            count += len(ids)
+        return np.concatenate(found), begins, sizes
 
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and how many each of its texts has."""
         data = part.data
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(part.rows, dtype=np.int64)
-        starts, ends = self._segments(part)
-        _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        starts, ends, joined = self._segments(part)
+        keys, checks = two_hashes(data, starts, ends)
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        checks = checks[first]
+        sizes = np.zeros(len(keys), dtype=np.int64)
+        begins = np.zeros(len(keys), dtype=np.int64)
+        flat, base = [], 0
+        left = np.arange(len(keys))
+        for known in (self.newest, self.newer, self.older):
+            at = known.find(keys[left], checks[left])
+            hit = left[at >= 0]
+            sizes[hit] = known.sizes[at[at >= 0]]
+            begins[hit] = known.begins[at[at >= 0]] + base
+            flat.append(known.ids)
+            base += len(known.ids)
+            if known is self.older:
+                kept = hit
+            left = left[at < 0]
         raw = data.tobytes()
-        own = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-        pieces = [self._ids(s) for s in own]
-        if len(self.newer) > REMEMBERED:
-            self.older, self.newer = self.newer, {}
-        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) >> 2
-        begins = np.cumsum(sizes) - sizes
-        length = sizes[inverse]
-        ends_at = np.cumsum(length)
-        places = np.repeat(begins[inverse] - (ends_at - length), length) + np.arange(ends_at[-1])
-        per_row = np.bincount(part.row_of(starts), weights=length, minlength=part.rows).astype(np.int64)
-        return flat[places], per_row
+        begin, end = starts[first[left]].tolist(), ends[first[left]].tolist()
+        special = any(token in raw for token in self.special)
+        new, place, length = self._ids([raw[a:b] for a, b in zip(begin, end)], joined[first[left]], special)  # noqa: B905
+        sizes[left], begins[left] = length, place + base
+        flat.append(new)
+        table = np.concatenate(flat)
+        counts = sizes[inverse]
+        ends_at = np.cumsum(counts)
+        places = np.repeat(begins[inverse] - (ends_at - counts), counts) + np.arange(ends_at[-1])
+        per_row = np.bincount(part.row_of(starts), weights=counts, minlength=part.rows).astype(np.int64)
+        self._remember(keys, checks, begins, sizes, np.concatenate((left, kept)), table)
+        return table[places], per_row
+
+    def _remember(self, keys, checks, begins, sizes, which, table) -> None:
+        """Keep segments that are new, or that only the older generation has."""
+        length = sizes[which]
+        ends = np.cumsum(length)
+        if not len(which):
+            return
+        ids = table[np.repeat(begins[which] - (ends - length), length) + np.arange(ends[-1])]
+        new = _Known(keys[which], checks[which], ends - length, length, ids)
+        self.newest = self.newest.with_others(new)
+        if self.newest.size() > REMEMBERED_BYTES >> 4:
+            self.newer, self.newest = self.newer.with_others(self.newest), _Known.none()
+            if self.newer.size() > REMEMBERED_BYTES:
+                self.older, self.newer = self.newer, _Known.none()
 
     @staticmethod
-    def _segments(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    def _segments(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = part.data
         space = IS_SPACE[data]
         solid = (data > 0x20) & (data < 0x7F)
@@ -149,7 +228,9 @@ class Segments:
         firsts = part.offsets[:-1]
         begin[firsts[firsts < part.offsets[1:]]] = True
         starts = np.flatnonzero(begin)
-        return starts, np.append(starts[1:], len(data))
+        ends = np.append(starts[1:], len(data))
+        # With white space before it and a solid character at its end, a segment can stand between any others.
+        return starts, ends, space[starts] & solid[ends - 1]
 
 
 _segments: dict[tuple, Segments] = {}

@@ -165,6 +165,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * _power("down", _FACTOR_INVERSE, size + 1)[starts])
 
 
+_CHECK_VALUES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def two_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``span_hashes``, and hashes of other values of the bytes: spans that agree in both are equal, but for chance."""
+    size = len(data)
+    back = _power("down", _FACTOR_INVERSE, size + 1)[starts]
+    found = []
+    with np.errstate(over="ignore"):
+        up = _power("up", _FACTOR, size + 1)[:size]
+        for values in (_BYTE_VALUES, _CHECK_VALUES):
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(values[data] * up, out=sums[1:])
+            found.append(mix((sums[ends] - sums[starts]) * back))
+    return found[0], found[1]
+
+
 def sum_by_row(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs that begin at ``firsts`` (one more entry than runs); empty runs give 0."""
     sums = np.concatenate(([0], np.cumsum(values)))

@@ -73,7 +73,6 @@ def test_decontamination(spark, stages):
 
 def test_packing(stages):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     pieces = defaultdict(list)
     for r in stages["packing"].collect():
         pieces[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
