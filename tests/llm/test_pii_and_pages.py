@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -225,3 +227,83 @@ def test_parse_survives_odd_pages():
 
 def test_no_pages(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b " * 350_000, "<p '" * 250_000, '<a "x' * 200_000, '<a "x>" ' * 130_000, "<svg>" * 200_000, "<!-- " * 200_000],
+)
+def test_a_megabyte_of_open_tags_takes_seconds(page):
+    began = time.process_time()
+    dom.parse(page)
+    assert time.process_time() - began < 10
+
+
+def test_many_siblings_are_aligned_in_seconds():
+    letters = str.maketrans("0123456789", "abcdefghij")
+    distinct = "".join(f"<div class=c{k}x>t</div>" for k in range(20_000)).translate(letters)
+    for page in (distinct, "<h2>t</h2><p>x</p>" * 10_000):
+        root, _ = dom.parse(page)
+        began = time.process_time()
+        dom.Template(dom.skeleton(root)).align(root)
+        assert time.process_time() - began < 10
+        assert len({n.slot for n in root.children}) == 20_000
+
+
+def slow_tag_end(page, at):
+    """Where a tag's attributes from ``at`` end: behind whole quoted values, else at the first ``>``."""
+    place = at
+    while place < len(page) and page[place] != ">":
+        if page[place] in "\"'":
+            place = page.find(page[place], place + 1)
+            if place < 0:
+                return page.find(">", at)
+        place += 1
+    return place if place < len(page) else page.find(">", at)
+
+
+def test_tags_end_where_their_quotes_allow():
+    choose = random.Random(6)
+    for _ in range(3000):
+        page = "".join(choose.choices(["<a", " x", '"', "'", ">", "<", "=", "é", "</b", "<!--", "-->"], k=choose.randint(1, 25)))
+        at = 0
+        for begin, end, _, name, _ in dom._Tags(page):
+            assert begin >= at
+            at = end
+            if name is not None:
+                start = begin + 1 + page.startswith("</", begin) + len(name)
+                assert slow_tag_end(page, start) + 1 == end
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_alignment_has_the_best_sum(seed):
+    """Against the full table, for lists in which no key repeats beyond the band."""
+    choose = random.Random(seed)
+    left, right = ([choose.choice("abcdefgh") for _ in range(choose.randint(0, 20))] for _ in range(2))
+    gains = {(i, j): choose.randint(1, 9) for i in range(len(left)) for j in range(len(right))}
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gains[i, j] if a == b else 0)
+    found = dom.aligned(left, right, lambda i, j: gains[i, j])
+    assert all(left[i] == right[j] for i, j in found)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))  # noqa: B905
+    assert sum(gains[p] for p in found) == best[-1][-1]
+
+
+def test_articles_of_all_pages(spark):
+    """Every page of the given table: what its article element holds, and nothing from outside of it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in wrapper.extract(pages, keep=["page_id"]).collect()}
+    several = 0
+    for row in pages.collect():
+        found = re.findall(r"<article\b[^>]*>(.*?)</article>", row.html, re.S)
+        if len(found) != 1:
+            continue
+        several += 1
+        inner = re.sub(r"<(script|style|form|aside|nav|footer|header|svg|noscript)\b.*?</\1\s*>|<!--.*?-->", " ", found[0], flags=re.S)
+        words = html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()
+        assert set(got[row.page_id].split()) <= set(html.unescape(re.sub(r"<[^>]*>", " ", found[0])).split())
+        own = Counter(got[row.page_id].split())
+        assert sum((Counter(words) & own).values()) >= 0.95 * len(words)
+    assert several > 0
