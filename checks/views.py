@@ -95,7 +95,8 @@ VIEWS = {
     # Long texts with a reference text each.
     "text_pairs": """
         SELECT doc_id AS sample_id, source AS dataset, d.text AS response, b.text AS gt_answer
-        FROM @documents d JOIN @benchmark b ON d.doc_id % (SELECT count(*) FROM @benchmark) = b.item_id""",
+        FROM (SELECT *, doc_id % (SELECT count(*) FROM @benchmark) AS item FROM @documents) d
+        JOIN @benchmark b ON d.item = b.item_id""",
     # Marks of single samples in monthly evaluation runs; one dataset was not evaluated in two months of the year.
     "eval_samples": """
         SELECT run_no, concat('run_', CAST(run_no AS STRING)) AS run_id,
