@@ -162,9 +162,9 @@ def test_measures_match_brute_force():
 
 def test_kneser_ney_sums_to_one(spark):
     texts = [invented(k, 300) for k in range(8)]
-    rows = spark.createDataFrame([(t,) for t in texts], "__text string")
+    rows = spark.createDataFrame([(t, "x") for t in texts], "__text string, language string")
     for most in (60, 1 << 20):
-        model = perplexity.fit(rows, 3, most)
+        model = perplexity.fit(rows, 3, most)["x"]
         assert max(map(len, model.keys)) <= most
         for context in (b"an", b"\xff\xff", b"zz", b" \x00", b"n "):
             keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
@@ -174,7 +174,8 @@ def test_kneser_ney_sums_to_one(spark):
 
 def test_kneser_ney_matches_the_formula(spark):
     texts = [invented(k, 300) for k in range(8)]
-    model = perplexity.fit(spark.createDataFrame([(t,) for t in texts], "__text string"), 2)
+    table = spark.createDataFrame([(t, "x") for t in texts], "__text string, language string")
+    model = perplexity.fit(table, 2)["x"]
     pairs = Counter()
     for t in texts:
         own = b"\xff" + t.encode()
@@ -221,6 +222,46 @@ def test_judgement(spark, edges, nothing):
     assert perplexity.judge(nothing).count() == 0
 
 
+def test_rare_languages_keep_their_grams(spark):
+    """One language has a thousandth of the bytes; its model is that of its own texts alone."""
+    common = [(invented(k % 40, 400), "en") for k in range(800)]
+    rare = [("zwölf żółw gęś jaźń " * 3 + invented(7, 70).translate(str.maketrans("aeiou", "óęąźż")), "pl")]
+    schema = "__text string, language string"
+    both = perplexity.fit(spark.createDataFrame(common + rare, schema), 4, 4000)
+    alone = perplexity.fit(spark.createDataFrame(rare, schema), 4, 2000)
+    assert set(both) == {"en", "pl"} and sum(len(t) for t, _ in rare) < 0.003 * sum(len(t) for t, _ in common)
+    for k in range(4):
+        assert np.array_equal(both["pl"].keys[k], alone["pl"].keys[k]) and len(both["pl"].keys[k])
+        assert np.allclose(both["pl"].logs[k], alone["pl"].logs[k])
+        assert len(both["en"].keys[k]) + len(both["pl"].keys[k]) <= 4000
+
+
+def test_bands_and_verdict_match_brute_force(spark):
+    """The limits follow each language's own quantiles, and texts beyond either one go."""
+    choose = random.Random(11)
+    usual = [invented(k, 150) for k in range(200)]
+    syllables = "an on er in th".split()
+    too_plain = " ".join("er" * choose.randint(1, 40) for _ in range(200))
+    # Its many signs keep it from teaching the model.
+    too_odd = "".join(chr(33 + (k * 7919) % 90) + " " * (k % 5 == 0) for k in range(900))
+    rows = [(k, t, "en") for k, t in enumerate(usual)] + [(900, too_plain, "en"), (901, too_odd, "en")]
+    rows += [(500 + k, " ".join("".join(choose.choices(syllables, k=2)) for _ in range(90)), "de") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    judged = {r.doc_id: r for r in perplexity.judge(docs, keep=["doc_id", "lang"]).collect()}
+    for lang in ("en", "de"):
+        own = [r for r in judged.values() if r.lang == lang and not r.base_failed]
+        bins = [math.floor(r.log_perplexity / 0.002) for r in own]
+        low, middle, high = ((np.percentile(bins, q) + 0.5) * 0.002 for q in (25, 50, 75))
+        lower = middle - max(perplexity.LEAST_WIDTH, perplexity.LOWER_WIDTH * (middle - low))
+        upper = middle + max(perplexity.LEAST_WIDTH, perplexity.UPPER_WIDTH * (high - middle))
+        for r in own:
+            assert (r.lower, r.upper) == (pytest.approx(lower), pytest.approx(upper))
+            assert r.kept == (lower <= r.log_perplexity <= upper)
+    assert not judged[900].base_failed and not judged[900].kept and judged[900].log_perplexity < judged[900].lower
+    assert not judged[901].base_failed and not judged[901].kept and judged[901].log_perplexity > judged[901].upper
+    assert sum(judged[k].kept for k in range(200)) >= 198
+
+
 def test_flat_forest_equals_walking_each_tree():
     choose = np.random.default_rng(2)
     x = choose.normal(size=(1200, 5))
