@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edulake.llm.graph import components
-from edulake.llm.textops import inner_text, released, slices, whole_text
+from edulake.llm.textops import inner_text, mix, released, slices, whole_text
 from edulake.session import settle
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
@@ -224,14 +224,18 @@ def near_duplicates(
     )
 
 
-def _reached(rows: DataFrame, smallest: Column, lesser: Column, bits: int) -> DataFrame:
+def _reached(
+    rows: DataFrame, smallest: Column, lesser: Column, bits: int, linked: DataFrame | None = None
+) -> DataFrame:
     """``__print`` of every class of equal fingerprints, and ``least``, the smallest over all it is linked to.
 
     ``smallest`` aggregates the rows of a class as ``least``; ``lesser`` compares ``first`` and ``least``, if any.
+    Classes are linked by ``linked``, or else by their fingerprints.
     """
     classes = settle(rows.groupBy("__print").agg(smallest).withColumnRenamed("least", "first"))
-    prints = classes.select(F.col("__print").alias("print"))
-    joined = settle(components(links(prints, bits)).withColumnRenamed("node", "__print"))
+    if linked is None:
+        linked = links(classes.select(F.col("__print").alias("print")), bits)
+    joined = settle(components(linked).withColumnRenamed("node", "__print"))
     linked = classes.join(joined, "__print")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     found = settle(linked.select("__print", "component").join(least, "component").select("__print", "least"))
@@ -255,3 +259,161 @@ def keep_one(
     kept = reached.select(F.col("least.__row").alias("__row")).distinct()
     gone = settle(narrow.select("__row").join(kept, "__row", "left_anti"))
     return rows.join(gone, "__row", "left_anti").select("row.*")
+
+
+# -- wide fingerprints, for pairs that are similar but not nearly equal --------------------------------------
+
+#: Words of a shingle and similarity of linked texts, 64-bit lanes of a wide fingerprint, and how often its bytes are
+#: dealt out to triples.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+LANES, DEALS = 16, 4
+#: Lists of an index key up to this length give all their pairs; longer ones tie each entry to the first and the last.
+SHORT_LIST = 16
+
+_lanes = np.random.default_rng(64).integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def triples_of(positions: int, deals: int = DEALS) -> np.ndarray:
+    """Triples of byte positions: all positions in random order, cut in threes, several times over."""
+    choose = np.random.default_rng(positions)
+    return np.concatenate([choose.permutation(positions)[: positions // 3 * 3].reshape(-1, 3) for _ in range(deals)])
+
+
+def similar_limits(similarity: float, lanes: int = LANES) -> tuple[int, int]:
+    """Most differing bits, and least equal bytes, of wide fingerprints of texts with so similar shingles.
+
+    Two texts with Jaccard similarity s have shingle counts at an angle with cosine 2s / (1 + s), and a bit differs with
+    the angle's share of a half turn. Two deviations more are let through, so few pairs at the very limit are lost.
+    """
+    bits = 64 * lanes
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = bits * share + 2 * np.sqrt(bits * share * (1 - share))
+    equal = (1 - most / bits) ** 8
+    least = bits / 8 * equal - 4 * np.sqrt(bits / 8 * equal * (1 - equal))
+    return int(most), max(int(least), 1)
+
+
+def wide_bits(hashes: np.ndarray, counts: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """A row of ``8 * lanes`` bytes for each run of hashes: the majority bits of as many hashes of every shingle."""
+    found = np.empty((len(counts), lanes), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for lane in range(lanes):
+            found[:, lane] = majority_bits(mix(hashes * _lanes[lane]), counts)
+    return found.view(np.uint8).reshape(len(counts), 8 * lanes)
+
+
+def _wide_batches(words: int, lanes: int, field: str):
+    @released
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            found: list[bytes] = []
+            for part in slices(batch, inner_text(batch, field)):
+                lists = [shingle_hashes(part.text_bytes(row), words) for row in range(part.rows)]
+                counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+                flat = np.fromiter((h for own in lists for h in own), dtype=np.uint64, count=int(counts.sum()))
+                found += [row.tobytes() for row in wide_bits(flat, counts, lanes)]
+            rows = np.arange(number, number + len(found))
+            number += len(found)
+            arrays = [*batch.columns, pa.array(rows), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__row", "__wide"])
+
+    return run
+
+
+def _matrix(column: pa.Array, lanes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 8 * lanes)
+
+
+def _index_batches(triples: np.ndarray, lanes: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _matrix(batch.column("wide"), lanes).astype(np.int64)
+            key = (own[:, triples[:, 0]] << 16) | (own[:, triples[:, 1]] << 8) | own[:, triples[:, 2]]
+            key |= np.arange(len(triples)) << 24
+            prints = np.repeat(batch.column("print").to_numpy(), len(triples))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(prints)], ["key", "print"])
+
+    return run
+
+
+def _pair_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of prints that share a key. Rows come sorted by key."""
+    key, held, first, last = None, [], 0, 0
+    for batch in batches:
+        a, b = [], []
+        for own, print_ in zip(batch.column("key").to_pylist(), batch.column("print").to_pylist()):  # noqa: B905
+            if own != key:
+                key, held, first = own, [print_], print_
+            elif len(held) < SHORT_LIST:
+                a += held
+                b += [print_] * len(held)
+                held.append(print_)
+            else:
+                a += [first, last]
+                b += [print_, print_]
+            last = print_
+        pairs = np.array([a, b], dtype=np.int64).reshape(2, -1)
+        pairs.sort(axis=0)
+        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _verified_batches(most: int, least: int, lanes: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differing = _matrix(batch.column("wide_a"), lanes) ^ _matrix(batch.column("wide_b"), lanes)
+            near = (differing == 0).sum(axis=1) >= least
+            near &= np.bitwise_count(differing).sum(axis=1) <= most
+            kept = batch.select(["a", "b"]).filter(pa.array(near))
+            yield kept
+
+    return run
+
+
+def similar_links(
+    classes: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, deals: int = DEALS
+) -> DataFrame:
+    """Links ``a``, ``b`` between distinct wide fingerprints (``print``, ``wide``) of similar texts.
+
+    The index posts a fingerprint under triples of (position, byte). Pairs that meet under a key are tallied for all
+    byte positions they share, those below the least are dropped, and the rest are verified by their bits.
+    """
+    most, least = similar_limits(similarity, lanes)
+    index = classes.mapInArrow(_index_batches(triples_of(8 * lanes, deals), lanes), "key bigint, print bigint")
+    dealt = index.repartition("key").sortWithinPartitions("key", "print")
+    pairs = settle(dealt.mapInArrow(_pair_batches, "a bigint, b bigint").distinct())
+    own = pairs.join(classes.select(F.col("print").alias("a"), F.col("wide").alias("wide_a")), "a")
+    own = own.join(classes.select(F.col("print").alias("b"), F.col("wide").alias("wide_b")), "b")
+    return own.mapInArrow(_verified_batches(most, least, lanes), "a bigint, b bigint")
+
+
+def keep_one_similar(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    words: int = SIMILAR_WORDS,
+    lanes: int = LANES,
+    deals: int = DEALS,
+) -> DataFrame:
+    """The rows of ``docs`` without similar ones: of every component, the row with the smallest id stays.
+
+    Texts are linked when their shingles of ``words`` words have about ``similarity`` or more in common, as their wide
+    fingerprints tell. Null ids come last, and of rows with one id, also of repeated rows, one stays; null, empty and
+    wordless texts are duplicates of each other. No rows give none.
+    """
+    source = docs.select(F.struct("*").alias("row"), F.col(id).alias("__id"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    wide = source.mapInArrow(_wide_batches(words, lanes, text), f"{kinds}, __row bigint, __wide binary")
+    rows = settle(wide.withColumn("__print", F.xxhash64("__wide")))
+    place = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row"))
+    narrow = rows.select("__id", "__row", "__print")
+    classes = settle(
+        rows.groupBy(F.col("__print").alias("print")).agg(F.min("__wide").alias("wide")).select("print", "wide")
+    )
+    linked = similar_links(classes, similarity, lanes, deals)
+    reached = _reached(narrow, F.min(place).alias("least"), F.coalesce("least", "first"), 0, linked)
+    kept = reached.select(F.col("least.__row").alias("__row")).distinct()
+    gone = settle(narrow.select("__row").join(kept, "__row", "left_anti"))
+    return rows.join(gone, "__row", "left_anti").select("row.*")

@@ -84,3 +84,13 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
 
 def fold(id, of: int) -> int:
     return zlib.crc32(str(id).encode()) % of
+
+
+def shingle_counts(text: str | None, size: int = 5) -> Counter:
+    own = words(lower(text))
+    return Counter(" ".join(own[i : i + size]) for i in range(max(1, len(own) - size + 1))) if own else Counter()
+
+
+def jaccard(a: Counter, b: Counter) -> float:
+    """Of shingles with their repeats."""
+    return sum((a & b).values()) / max(sum((a | b).values()), 1) if a or b else 1.0

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from edulake.llm import line_dedup, perplexity
+from edulake.llm import line_dedup, perplexity, simhash
 from edulake.session import settle
 from tests.llm import rules
 from tests.llm.conftest import FOLDER
@@ -55,9 +55,32 @@ def test_line_dedup(stages):
 
 
 def test_near_dedup(stages):
+    """Against all pairs of wide fingerprints; texts of like shingles go, and no text of unlike ones."""
     before = rows(stages["line_dedup"])
-    reach = rules.groups([rules.fingerprint(r[1]) for r in before])
-    assert rows(stages["near_dedup"]) == [r for k, r in enumerate(before) if reach[k] == k]
+    hashes = [simhash.shingle_hashes((r[1] or "").encode(), simhash.SIMILAR_WORDS) for r in before]
+    counts = np.array([len(h) for h in hashes])
+    wide = simhash.wide_bits(np.array([x for h in hashes for x in h], dtype=np.uint64), counts)
+    most, least = simhash.similar_limits(simhash.SIMILARITY)
+    parent = list(range(len(before)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(before)):
+        differing = wide[:i] ^ wide[i]
+        near = (np.bitwise_count(differing).sum(axis=1) <= most) & ((differing == 0).sum(axis=1) >= least)
+        for j in np.flatnonzero(near).tolist():
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    after = rows(stages["near_dedup"])
+    assert after == [r for k, r in enumerate(before) if find(k) == k]
+    shingles = [rules.shingle_counts(r[1]) for r in after]
+    for i in range(len(after)):
+        for j in range(i):
+            if abs(len(shingles[i]) - len(shingles[j])) < 0.3 * len(shingles[i]):
+                assert rules.jaccard(shingles[i], shingles[j]) < 0.82
 
 
 def test_decontamination(spark, stages):

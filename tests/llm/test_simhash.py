@@ -90,3 +90,55 @@ def test_empty_table(nothing):
 def test_hash_is_that_of_the_engine(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("one two é")).alias("h")).first()
     assert row.h % (1 << 64) == simhash.shingle_hashes("One  TWO\né".encode())[0]
+
+
+def changed(text: str, share: float, seed: int) -> str:
+    """A copy of which about so great a share of the words is another one."""
+    choose = random.Random(seed)
+    return " ".join(f"w{choose.randrange(10**6)}" if choose.random() < share else w for w in text.split())
+
+
+def test_similar_texts_are_found(spark):
+    """Of pairs with a Jaccard similarity of 0.8 or more at five words nine in ten go, and unlike texts stay."""
+    texts, pairs = {}, []
+    for k in range(150):
+        base = invented_words(k, 60 + 3 * k)
+        texts[2 * k], texts[2 * k + 1] = base, changed(base, 0.005 + 0.09 * (k % 10) / 10, k)
+        pairs.append((2 * k, 2 * k + 1))
+    likeness = {p: rules.jaccard(*(rules.shingle_counts(texts[i]) for i in p)) for p in pairs}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.keep_one_similar(docs).collect()}
+    assert kept >= {a for a, _ in pairs}
+    alike = [b for (_, b), j in likeness.items() if j >= 0.8]
+    unlike = [b for (_, b), j in likeness.items() if j < 0.65]
+    assert len(alike) > 40 and len(unlike) > 40
+    assert sum(b not in kept for b in alike) >= 0.95 * len(alike)
+    assert all(b in kept for b in unlike)
+
+
+def invented_words(seed: int, n: int) -> str:
+    choose = random.Random(seed)
+    return " ".join(f"{choose.choice('abcdefgh')}{choose.randrange(4000)}" for _ in range(n))
+
+
+def test_many_variants_of_one_text_leave_one(spark):
+    base = invented_words(1, 300)
+    rows = [(k, changed(base, 0.01, k)) for k in range(400)] + [(1000 + k, invented_words(50 + k, 100)) for k in range(30)]
+    rows += [(2000, None), (2001, ""), (2002, "  "), (None, base), (1000, "another text"), (3000, "one two"), (3001, "One two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one_similar(docs).collect())
+    assert [i for i, _ in got] == [0, 1000, 1000, *range(1001, 1030), 2000, 3000]
+    assert simhash.keep_one_similar(docs.limit(0)).count() == 0
+
+
+def test_wide_bits_match_the_definition():
+    hashes = [simhash.shingle_hashes(t.encode(), 5) for t in ("a b c d e f g", "x", "", "a b c d e f g " * 70)]
+    counts = np.array([len(h) for h in hashes])
+    flat = np.array([x for h in hashes for x in h], dtype=np.uint64)
+    found = simhash.wide_bits(flat, counts, 3)
+    for row, own in zip(found, hashes, strict=True):
+        for lane in range(3):
+            value = int.from_bytes(row[8 * lane : 8 * lane + 8].tobytes(), "little")
+            with np.errstate(over="ignore"):
+                mixed = simhash.mix(np.array(own, dtype=np.uint64) * simhash._lanes[lane]).tolist()
+            assert value == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(own))
