@@ -1,10 +1,11 @@
 """Surrogates for personal data and secrets, with DataFrame functions only.
 
 Every entity gets a keyed replacement of its own kind: digits stand for digits, letters for letters of the same case
-and script, honorifics, country codes and the ends of mail addresses stay, card numbers keep a valid check digit, names keep the gender of
-their honorific. A replacement depends on the key and the entity's canonical form alone, so all mentions of one entity,
-also in other formats, in all documents agree. Replacements that coincide with each other, or with any entity of the
-corpus, are drawn anew until all entities stay distinct; only the distinct entities take part in that.
+and script, honorifics, country codes and the ends of mail addresses stay, card and account numbers keep valid check
+digits, names keep script and gender. Draws depend on the key and the entity's canonical form, so all mentions of one
+entity, also in other formats, in all documents agree. Replacements that coincide with each other, or with any entity of
+the corpus, are drawn anew until all entities stay distinct; only the distinct entities take part in that, and which of
+them draws again depends on the others.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from edulake.llm.decontaminate import digest
 from edulake.session import settle
 
 # Honorifics by gender, and given and family names that replace others.
-FEMALE = "Mrs Ms Miss Madam Lady Frau Madame Mme Mademoiselle Mlle Señora Sra Doña Signora".split()
-MALE = "Mr Mister Sir Herr Monsieur Señor Sr Don Signor".split()
-EITHER = "Dr Prof Professor Rev".split()
+FEMALE = "Mrs Ms Miss Madam Lady Frau Madame Mme Mademoiselle Mlle Señora Sra Doña Signora Госпожа госпожа г-жа Κυρία κυρία".split()
+MALE = "Mr Mister Sir Herr Monsieur Señor Sr Don Signor Господин господин г-н Κύριος κύριος".split()
+EITHER = "Dr Prof Professor Rev Доктор Профессор".split()
 FEMALE_NAMES = (
     "Alice Anna Bella Carla Clara Diana Edith Elena Emma Eva Fiona Greta Hanna Helen Ida Irene Jana Julia Karla Laura "
     "Lea Lena Lucy Maria Marta Mila Mona Nadia Nina Nora Olga Paula Petra Rita Rosa Ruth Sara Sofia Tessa Vera"
@@ -34,14 +35,25 @@ FAMILY_NAMES = (
     "Hahn Hill Hoffman Keller King Klein Lambert Lang Lopez Martin Meyer Moreau Morris Novak Ortiz Parker Perez Reed "
     "Richter Rivera Romero Rossi Roth Russo Schmidt Simon Stone Torres Vidal Wagner Weber Winter Wolf Young"
 ).split()
+CYRILLIC_FEMALE = "Анна Вера Галина Дарья Елена Ирина Ксения Лариса Мария Нина Ольга Полина Раиса София Татьяна".split()
+CYRILLIC_MALE = "Андрей Борис Виктор Глеб Дмитрий Егор Игорь Кирилл Лев Максим Николай Олег Павел Роман Сергей".split()
+#: Capitalised words that may follow a name and belong to none.
+NO_NAMES = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February July September October November December "
+    "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar Juli Oktober Dezember"
+).split()
+#: Syllables of family names beyond the list: beginnings, vowels, middles and ends.
+SYLLABLES = ("B Br D Dr F G Gr H K Kr L M N P R S St T V W".split(), "a e i o u".split(), "d g k l m n r s t v".split(), "ber feld ger hart ler man mer ner ring sen son ster ton well win".split())
+CYRILLIC_SYLLABLES = ("Б В Г Д З К Л М Н П Р С Т Ф Ч Ш".split(), "а е и о у".split(), "б в г д ж з к л м н р с т".split(), "анов енов инов ков лов нов ров сов тов чев".split())
 CYRILLIC_NAMES = "Иванов Петров Сидоров Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов Волков Павлов".split()
 
 _HONORIFIC = rf"(?:{'|'.join([*FEMALE, *MALE, *EITHER])})\.?"
 # A part of a name, as in McDonald, O'Brien and Smith-Jones without the 's of a genitive; small words before a part; and
-# an initial with its dot before another part.
-_PART = r"\p{Lu}[\p{L}\p{M}]*(?:['’-](?!s\b)[\p{L}\p{M}]+)*(?![\p{L}\p{M}])"
+# an initial with its dot before another part. Honorifics begin another mention.
+_PART = rf"(?!(?:{'|'.join([*FEMALE, *MALE, *EITHER])})(?![\p{{L}}\p{{M}}'’-]))\p{{Lu}}[\p{{L}}\p{{M}}]*(?:['’-](?!s\b)[\p{{L}}\p{{M}}]+)*(?![\p{{L}}\p{{M}}])"
 _SMALL = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|al|zu) ){0,3}"
 _GIVEN = rf"(?:\p{{Lu}}\.(?= \p{{Lu}})|{_SMALL}{_PART})"
+_FURTHER = rf"(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{M}}])){_GIVEN}"
 # The country codes of phone numbers, none of which begins another.
 _COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What stays before the national digits of a phone number.
@@ -51,6 +63,7 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[ ]?[=:][ ]?[\"']?)[^\s\"']{6,}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
+    "address6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}\b"
     r"|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
@@ -58,13 +71,13 @@ PATTERNS = {
     "card": r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b",
     "address": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
     "hex_key": r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}\b",
-    "name": rf"\b{_HONORIFIC} {_GIVEN}(?: {_GIVEN})*",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_HONORIFIC} {_GIVEN}(?: {_FURTHER}){{0,3}}",
 }
 #: Kinds of the names within a mention: the family's, and given names by the honorific's gender.
 NAMES = ["name", "given_f", "given_m", "given"]
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A quick look that no text with an entity fails.
-_HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|(?:{'|'.join([*FEMALE, *MALE, *EITHER])})\b"
+_HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|(?:{'|'.join([*FEMALE, *MALE, *EITHER])})(?!\p{{L}})|::"
 #: A secret that stands hidden already: one sign over and over, and what ends the sentence.
 _MASKED = r"^([^\p{L}\p{N}])\1{4,}[^\p{L}\p{N}]{0,2}$"
 _SECRET_HEAD = r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?)"
@@ -93,7 +106,7 @@ def _canonical(kind: Column, mention: Column) -> Column:
         F.when(kind.isin("card", "ssn"), _digits(mention))
         # The national digits, with or without the country's code.
         .when(kind == "phone", _digits(F.regexp_replace(mention, _PHONE_HEAD, "")))
-        .when(kind == "email", F.lower(mention))
+        .when(kind.isin("email", "address6"), F.lower(mention))
         .when(kind == "secret", F.regexp_replace(mention, _SECRET_HEAD, ""))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .otherwise(mention)
@@ -172,6 +185,18 @@ def _card(key: str, canonical: Column, attempt: Column) -> Column:
     return F.when(valid, F.concat(whole, _check_digit(whole))).otherwise(new)
 
 
+def _account(key: str, canonical: Column, attempt: Column) -> Column:
+    """The country stays, and the two digits behind it check the rest (modulo 97)."""
+    new = _characters(key, canonical, attempt, keep_first=2)
+    country, body = F.substring(new, 1, 2), F.substring(new, F.lit(5), F.length(new))
+    rest = F.aggregate(
+        F.split(F.concat(body, country, F.lit("00")), ""),
+        F.lit(0),
+        lambda sum_, c: F.when(c.rlike("[0-9]"), sum_ * 10 + c.cast("int")).otherwise(sum_ * 100 + F.ascii(c) - 55) % 97,
+    )
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+
 def _octets(key: str, canonical: Column, attempt: Column) -> Column:
     each = F.transform(
         F.split(canonical, r"\."), lambda o, i: (_draw(key, canonical, attempt, i) % 254 + 1).cast("string")
@@ -201,35 +226,39 @@ def _entities(kind: Column, mention: Column) -> Column:
     def entity(kind: Column, canonical: Column) -> Column:
         return F.struct(kind.alias("kind"), canonical.alias("canonical"))
 
-    names = F.array(entity(F.lit("name"), F.lower(family)), entity(gender, F.lower(given)))
+    # A woman's form of a Russian family name is the same family.
+    stem = F.regexp_replace(F.lower(family), "(?<=[вн])а$", "")
+    names = F.array(entity(F.lit("name"), stem), entity(gender, F.lower(given)))
     whole = F.array(entity(kind, _canonical(kind, mention)))
     return F.when(kind == "name", F.filter(names, lambda e: e.canonical != "")).otherwise(whole)
 
 
 def _name(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
-    """A family name of the script, or a given name of the gender."""
+    """A family name of the script, or a given name of the gender and script."""
 
     def drawn(names: list[str], place: int) -> Column:
         at = (_draw(key, canonical, attempt, F.lit(place)) % len(names) + 1).cast("int")
         return F.element_at(_array(names), at)
 
-    either = F.when(_draw(key, canonical, F.lit(0), F.lit(2)) % 2 == 0, drawn(FEMALE_NAMES, 0)).otherwise(
-        drawn(MALE_NAMES, 0)
-    )
-    given = (
-        F.when(kind == "given_f", drawn(FEMALE_NAMES, 0)).when(kind == "given_m", drawn(MALE_NAMES, 0)).otherwise(either)
-    )
-    family = F.when(canonical.rlike(r"\p{IsCyrillic}"), drawn(CYRILLIC_NAMES, 1)).otherwise(drawn(FAMILY_NAMES, 1))
-    # Names are few: later rounds add a family name, and then more.
-    more = F.when(
-        attempt > 2,
-        F.concat(
-            F.lit("-"),
-            drawn(FAMILY_NAMES, 3),
-            F.when(attempt > 6, F.concat(F.lit("-"), drawn(FAMILY_NAMES, 4), drawn(FAMILY_NAMES, 5))).otherwise(""),
-        ),
-    ).otherwise("")
-    return F.concat(F.when(kind == "name", family).otherwise(given), more)
+    def made(syllables: tuple[list[str], ...]) -> Column:
+        """Names beyond the list: one or, later, two middles."""
+        first, vowels, middles, ends = syllables
+        longer = F.when(attempt > 6, F.concat(drawn(middles, 7), drawn(vowels, 8))).otherwise("")
+        return F.concat(drawn(first, 3), drawn(vowels, 4), longer, drawn(middles, 5), drawn(vowels, 9), drawn(ends, 6))
+
+    def of(female: list[str], male: list[str], family: list[str], syllables: tuple[list[str], ...]) -> Column:
+        first = _draw(key, canonical, F.lit(0), F.lit(2)) % 2 == 0
+        either = F.when(first, drawn(female, 0)).otherwise(drawn(male, 0))
+        given = F.when(kind == "given_f", drawn(female, 0)).when(kind == "given_m", drawn(male, 0)).otherwise(either)
+        # Names are few: from the third round on family names are made, and given ones get a second one.
+        further = F.when(attempt > 2, F.concat(F.lit("-"), made(syllables))).otherwise("")
+        return F.when(kind != "name", F.concat(given, further)).when(attempt > 2, made(syllables)).otherwise(drawn(family, 1))
+
+    latin = of(FEMALE_NAMES, MALE_NAMES, FAMILY_NAMES, SYLLABLES)
+    cyrillic = of(CYRILLIC_FEMALE, CYRILLIC_MALE, CYRILLIC_NAMES, CYRILLIC_SYLLABLES)
+    # Names in other scripts are made of letters of theirs.
+    other = F.initcap(_characters(key, canonical, attempt))
+    return F.when(canonical.rlike(r"\p{IsCyrillic}"), cyrillic).when(canonical.rlike(r"\p{IsLatin}"), latin).otherwise(other)
 
 
 def _replacement(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -249,7 +278,8 @@ def _replacement(key: str, kind: Column, canonical: Column, attempt: Column) ->
         # Signs alone have nothing to replace one by one.
         .when((kind == "secret") & ~canonical.rlike(r"[\p{L}\p{N}]"), letters)
         .when(kind == "access_key", _characters(key, canonical, attempt, keep_first=4))
-        .when(kind == "iban", _characters(key, canonical, attempt, keep_first=2))
+        .when(kind == "iban", _account(key, canonical, attempt))
+        .when(kind == "address6", F.array_join(F.transform(F.split(canonical, ""), lambda c, i: F.when(c == ":", c).otherwise(_pick(_HEX, _draw(key, canonical, attempt, i)))), ""))
         .when(kind.isin(*NAMES), _name(key, kind, canonical, attempt))
         .otherwise(_characters(key, canonical, attempt))
     )
@@ -319,9 +349,11 @@ def _rendered(kind: Column, mention: Column, surrogate: Column, given: Column) -
         """What a surrogate with a number has beyond the places of the mention."""
         return F.substring(surrogate, F.length(places) + 1, F.length(surrogate))
 
+    # A woman's form where the mention has one.
+    form = F.when(mention.rlike("[вн]а$") & surrogate.rlike("[вн]$"), F.concat(surrogate, F.lit("а"))).otherwise(surrogate)
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.concat(head, F.array_join(seen, ""), rest(_digits(mention))))
-        .when(kind == "name", F.concat_ws(" ", F.regexp_extract(mention, rf"^{_HONORIFIC}", 0), given, surrogate))
+        .when(kind == "name", F.concat_ws(" ", F.regexp_extract(mention, rf"^{_HONORIFIC}", 0), given, form))
         .when(kind == "email", F.array_join(cased, ""))
         .when(kind == "iban", F.concat(F.array_join(spaced, ""), rest(F.regexp_replace(mention, " ", ""))))
         .when(kind == "secret", F.concat(F.regexp_extract(mention, _SECRET_HEAD, 0), surrogate))
@@ -329,6 +361,17 @@ def _rendered(kind: Column, mention: Column, surrogate: Column, given: Column) -
     )
 
 
+def _one_gender(forms: DataFrame) -> DataFrame:
+    """Given names as one entity under all honorifics: of the gender that their honorifics tell, if they agree."""
+    is_given = F.col("kind").isin(*NAMES[1:])
+    told = [F.max(F.col("kind") == k).alias(k) for k in ("given_f", "given_m")]
+    genders = forms.where(is_given).groupBy("canonical").agg(*told)
+    kind = F.when(F.col("given_f") & ~F.col("given_m"), "given_f").when(F.col("given_m") & ~F.col("given_f"), "given_m")
+    genders = genders.select("canonical", kind.alias("told"))
+    own = F.when(is_given, F.coalesce("told", F.lit("given"))).otherwise(F.col("kind"))
+    return forms.join(genders, "canonical", "left").select("mention", "whole", own.alias("kind"), "canonical")
+
+
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``row`` (the whole input row), ``text`` with surrogates and ``n_replaced``.
 
@@ -343,6 +386,7 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     forms = mentions.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
     forms = forms.select("mention", F.col("kind").alias("whole"), F.inline(_entities(F.col("kind"), F.col("mention"))))
     forms = settle(forms.where(~((F.col("kind") == "secret") & F.col("canonical").rlike(_MASKED))))
+    forms = settle(_one_gender(forms))
     chosen = surrogates(forms, key)
     met = forms.join(chosen, ["kind", "canonical"]).groupBy("mention", "whole")
     is_given = F.col("kind").isin(*NAMES[1:])

@@ -112,6 +112,57 @@ def test_whole_names_go_and_other_formats_agree(spark):
     assert len({re.sub(r"\D", "", p)[-10:] for p in phones}) == 1
 
 
+def iban_is_valid(number: str) -> bool:
+    moved = (number[4:] + number[:4]).replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def one_text(spark, text: str) -> str:
+    return pii.replace_personal_data(spark.createDataFrame([(1, text, "en", "s", 1)], SCHEMA), "k").first().text
+
+
+def test_names_end_where_others_begin(spark):
+    people = " ".join(f"Mr Zed{chr(97 + k)}" for k in range(26))
+    new = one_text(spark, people + ". Mr Brown Monday; Frau Bauer Freitag. Herr Bauer ging.")
+    head, rest = new.split(". ", 1)
+    assert len(re.findall(r"Mr [\w-]+", head)) == 26 == len(set(re.findall(r"Mr ([\w-]+)", head)))
+    found = re.fullmatch(r"Mr ([\w-]+) Monday; Frau ([\w-]+) Freitag\. Herr ([\w-]+) ging\.", rest)
+    assert found and found[2] == found[3] != "Bauer" and found[1] != "Brown"
+
+
+def test_given_names_keep_one_surrogate_script_and_gender(spark):
+    text = (
+        "Dr Anna Smith met Mrs Anna Smith; Herr Иван Петров, Frau Анна Петрова, Господин Петров; "
+        "Mr Παπαδόπουλος and κυρία Παπαδόπουλος"
+    )
+    new = one_text(spark, text)
+    first, second, third = new.split("; ")
+    one, two = first.removeprefix("Dr ").split(" met Mrs ")
+    assert one == two and one.split()[0] in pii.FEMALE_NAMES
+    ivan, anna, family = (x.split()[1:] for x in second.split(", "))
+    assert ivan[0] in pii.CYRILLIC_MALE and anna[0] in pii.CYRILLIC_FEMALE
+    assert anna[1] == ivan[1] + "а" and family == [ivan[1]] and ivan[1] in pii.CYRILLIC_NAMES
+    greek = re.fullmatch(r"Mr (\S+) and κυρία (\S+)", third)
+    assert greek[1] == greek[2] != "Παπαδόπουλος" and re.fullmatch(r"[Α-Ωα-ωάέήίόύώ]+", greek[1])
+    for own in "Anna Smith Иван Петров".split():
+        assert own not in new.replace(anna[0], "")
+
+
+def test_account_numbers_and_long_addresses(spark):
+    text = "DE89 3704 0044 0532 0130 00 is DE89370400440532013000, GB29 NWBK 6016 1331 9268 19; 2001:db8:85a3::8a2e:370:7334, 2001:0db8:0:0:0:0:0:1, std::map"
+    new = one_text(spark, text)
+    assert "370400440532013000" not in new.replace(" ", "") and "std::map" in new and "8a2e" not in new
+    spaced, solid, british = re.match(r"(DE[\d ]{25}) is (DE\d{20}), (GB\d\d [A-Z]{4}[\d ]{18});", new).groups()
+    assert spaced.replace(" ", "") == solid and iban_is_valid(solid) and iban_is_valid(british)
+    assert re.search(r"; [0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}, ", new)
+
+
+def test_many_families_get_names_without_chains(spark):
+    entities = spark.createDataFrame([("name", f"family{k}") for k in range(600)], "kind string, canonical string")
+    found = [r.surrogate for r in pii.surrogates(entities, "k").collect()]
+    assert len(set(found)) == 600 and all(re.fullmatch(r"[A-Z][a-z]+", x) for x in found)
+
+
 def test_a_kind_that_runs_out_gets_longer_replacements(spark):
     entities = spark.createDataFrame([("secret", f"!!!!!{k}") for k in range(10)], "kind string, canonical string")
     found = pii.surrogates(entities, "k", rounds=1).collect()
