@@ -262,6 +262,39 @@ def normalize_windata(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "image_files",
+    """SELECT page_id, md5(html) AS digest, strlen(html) AS bytes, 'math' AS subject FROM @pages
+       WHERE html IS NOT NULL AND page_id % 5 <> 0""",
+    longs=["page_id", "bytes"],
+)
+def image_files(t: Tables) -> DataFrame:
+    """Every page as a file; conversations name most of the files, and some that do not exist."""
+    from edulake.sources import image_files as files
+    from edulake.sources.images import folder_table
+
+    name = F.concat(F.lit("page"), F.col("page_id").cast("string"))
+    pages = t.pages.where("html IS NOT NULL")
+    folder = "data/local/Open-source-data/geo170k"
+    root = f"{t.scratch}/images"
+    files.write_files(pages.select(F.concat(F.lit(f"{folder}/"), name).alias("path"), F.col("html").cast("binary").alias("content")), root)
+    turn = F.struct(F.lit("human").alias("from"), name.alias("value"))
+    rows = pages.where("page_id % 5 <> 0").select("page_id", name.alias("name"), F.array(turn).alias("conversations"))
+    missing = rows.where("page_id % 7 = 0").withColumn("name", F.concat(F.lit("no"), "name"))
+    rows = rows.unionByName(missing).select(
+        F.col("page_id").alias("row_id"),
+        "conversations",
+        F.array("name").alias("image"),
+        F.lit("geo170k").alias("image_file"),
+        F.lit("geo170k-synthetic.json").alias("json_file"),
+    )
+    done = nz.normalize_source_conversations(rows, files.list_files(t.spark, root), folder_table(t.spark))
+    content = F.col("image_bytes")[0]
+    return done.select(
+        F.col("row_id").alias("page_id"), F.md5(content).alias("digest"), F.octet_length(content).alias("bytes"), "subject"
+    )
+
+
 @query(
     "json_array_conversations",
     """SELECT 'img' || conv_id AS image, count(*) AS turns,

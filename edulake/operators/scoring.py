@@ -74,67 +74,55 @@ def _fold(tokens: Column, names: tuple[str, ...], start: tuple, step, finish) ->
     return F.aggregate(tokens, state(F.lit(""), *start), lambda run, item: step(state, run, item), finish)
 
 
-def _squared_counts(tokens: Column) -> Column:
-    """Sum of the squared token counts. A square grows by 2n + 1 when its count grows from n to n + 1."""
-
-    def step(state, run: Column, token: Column) -> Column:
-        again = state(run.token, run.n + 1, run.total + run.n + run.n + 1)
-        return F.when(run.token == token, again).otherwise(state(token, 1, run.total + 1))
-
-    return _fold(F.sort_array(tokens), ("n", "total"), (0, 0), step, lambda run: run.total)
-
-
-def _shared_counts(left: Column, right: Column) -> Column:
-    """Over the tokens of both lists: sums of l*r, l*l and r*r as ``dot``, ``ll`` and ``rr``.
+def _token_sums(left: Column, right: Column) -> Column:
+    """Over the counts l and r of every token: sums of l*l and r*r as ``all_l`` and ``all_r``, and of l*r, l*l and r*r
+    over the tokens of both lists as ``dot``, ``ll`` and ``rr``.
 
     The lists are sorted together by token and side, so the left occurrences of a token come first and its first
-    right occurrence makes it a shared one.
+    right occurrence makes it a shared one. A square grows by 2n + 1 when its count grows from n to n + 1.
     """
 
     def tagged(tokens: Column, side: int) -> Column:
         return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(side).alias("side")))
 
     def step(state, run: Column, item: Column) -> Column:
-        sums = (run.dot, run.ll, run.rr)
-        opened = F.when(item.side == 0, state(item.token, 1, 0, *sums)).otherwise(state(item.token, 0, 1, *sums))
+        shared = (run.dot, run.ll, run.rr)
+        more_left = state(run.token, run.l + 1, run.r, run.all_l + run.l + run.l + 1, run.all_r, *shared)
         more_right = state(
             run.token,
             run.l,
             run.r + 1,
+            run.all_l,
+            run.all_r + run.r + run.r + 1,
             run.dot + run.l,
             F.when(run.r == 0, run.ll + run.l * run.l).otherwise(run.ll),
             F.when(run.l > 0, run.rr + run.r + run.r + 1).otherwise(run.rr),
         )
-        more = F.when(item.side == 0, state(run.token, run.l + 1, run.r, *sums)).otherwise(more_right)
-        return F.when(run.token == item.token, more).otherwise(opened)
+        first_left = state(item.token, 1, 0, run.all_l + 1, run.all_r, *shared)
+        first_right = state(item.token, 0, 1, run.all_l, run.all_r + 1, *shared)
+        more = F.when(item.side == 0, more_left).otherwise(more_right)
+        return F.when(run.token == item.token, more).when(item.side == 0, first_left).otherwise(first_right)
 
     merged = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
-    return _fold(merged, ("l", "r", "dot", "ll", "rr"), (0, 0, 0, 0, 0), step, lambda run: run)
+    names = ("l", "r", "all_l", "all_r", "dot", "ll", "rr")
+    return _fold(merged, names, (0,) * len(names), step, lambda run: run)
 
 
 def tfidf_cosine(left: Column, right: Column) -> Column:
     """Cosine of the TF-IDF vectors of two token lists of one row.
 
     Every token weighs 1 but those of both lists, so the squared lengths come from the counts of each list alone,
-    and only shared tokens add to the product. The cost is that of sorting the row's own tokens, and nothing leaves
+    and only shared tokens add to the product. The cost is that of sorting the row's own tokens once, and nothing leaves
     the row. Both lists are bound once, however dear the expressions that make them.
     """
 
-    def sums(s: Column) -> Column:
-        return F.struct(
-            _squared_counts(s["left"]).alias("ll"),
-            _squared_counts(s["right"]).alias("rr"),
-            _shared_counts(s["left"], s["right"]).alias("both"),
-        )
-
     def cosine(t: Column) -> Column:
         weight = IDF_SHARED * IDF_SHARED
-        ll = t["ll"] - (1 - weight) * t["both"]["ll"]
-        rr = t["rr"] - (1 - weight) * t["both"]["rr"]
-        dot = weight * t["both"]["dot"]
-        return F.when((ll > 0) & (rr > 0), dot / (F.sqrt(ll) * F.sqrt(rr))).otherwise(F.lit(0.0))
+        ll = t["all_l"] - (1 - weight) * t["ll"]
+        rr = t["all_r"] - (1 - weight) * t["rr"]
+        return F.when((ll > 0) & (rr > 0), weight * t["dot"] / (F.sqrt(ll) * F.sqrt(rr))).otherwise(F.lit(0.0))
 
-    return tx.let(tx.let(F.struct(left.alias("left"), right.alias("right")), sums), cosine)
+    return tx.let(tx.let(F.struct(left.alias("left"), right.alias("right")), lambda s: _token_sums(s["left"], s["right"])), cosine)
 
 
 def keyword_recall(response: Column, answer: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edulake.schema import SOURCE_CONVERSATION
+from edulake.sources.image_files import attach_contents
 from edulake.sources.json_array import read_objects
 
 # ---- Fixed values: folder of every image key. ----
@@ -38,8 +39,20 @@ def folder_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(IMAGE_FOLDERS, "folder_key string, folder string")
 
 
-def resolve_images(df: DataFrame, images: DataFrame, folders: DataFrame) -> DataFrame:
-    """Rows whose first image exists, with its ``content``. Rows meet files on the path."""
+def _named(df: DataFrame, folders: DataFrame) -> DataFrame:
+    """Rows with the ``path`` of their first image."""
     named = df.join(folders.withColumnRenamed("folder_key", "image_file"), "image_file", "left")
     path = F.concat_ws("/", F.nullif(F.coalesce("folder", "image_file"), F.lit("")), F.get("image", F.lit(0)))
-    return named.withColumn("path", path).join(images, "path")
+    return named.withColumn("path", path)
+
+
+def resolve_images(df: DataFrame, images: DataFrame, folders: DataFrame) -> DataFrame:
+    """Rows whose first image exists, with its ``content``. Rows meet files on the path.
+
+    ``images`` is the result of ``read_images``, whose bytes are joined, or of ``image_files.list_files``, whose bytes
+    are read only for the rows that stay.
+    """
+    named = _named(df, folders)
+    if "content" in images.columns:
+        return named.join(images, "path")
+    return attach_contents(named, images)

@@ -14,7 +14,7 @@ from edulake.functions.lexicon import TUTOR_PROMPTS
 from edulake.operators import chat, judge, normalize, split
 from edulake.plans import build, evaluate, feedback
 from edulake.session import settle
-from edulake.sources import images, metric_log, registry, runs, samples
+from edulake.sources import image_files, images, metric_log, registry, runs, samples
 
 
 def write_json(path, value):
@@ -325,3 +325,23 @@ def test_settled_tables_are_kept_until_released(spark, monkeypatch):
     assert session._SETTLED == [folder] and samples.path_exists(spark, folder)
     assert session.release_settled(spark) == 1
     assert not samples.path_exists(spark, folder)
+
+
+def test_image_bytes_pass_no_exchange(spark, tmp_path, monkeypatch):
+    root = f"file:{tmp_path}/images"
+    monkeypatch.setattr(image_files, "BATCH_BYTES", 100)
+    stored = [(f"a/b c/{k}.png", bytes([k]) * (k * 10)) for k in range(30)] + [("top.png", b""), ("ü%20.png", b"x")]
+    assert image_files.write_files(spark.createDataFrame(stored, "path string, content binary").repartition(4), root) == 32
+    listed = image_files.list_files(spark, root)
+    # Empty files hold no image and are not listed.
+    full = [(p, c) for p, c in stored if c]
+    assert {(r.path, r.length) for r in listed.collect()} == {(p, len(c)) for p, c in full}
+    rows = [(k, p) for k, (p, _) in enumerate(stored)] * 2 + [(90, "missing.png"), (91, None)]
+    found = image_files.attach_contents(spark.createDataFrame(rows, "k int, path string"), listed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange" in line]
+    assert exchanged and not any("content" in line for line in exchanged)
+    got = sorted((r.k, r.path, bytes(r.content)) for r in found.collect())
+    assert got == sorted((k, p, c) for k, (p, c) in enumerate(stored) if c for _ in range(2))
+    with pytest.raises(ValueError):
+        image_files.opened("ftp://host/file")
