@@ -27,7 +27,7 @@ END_ID = 0
 GROUP_PIECES = 1 << 15
 GROUP_BYTES = 1 << 25
 #: Bytes of a generation of the segments whose ids a worker remembers.
-REMEMBERED_BYTES = 1 << 25
+REMEMBERED_BYTES = 1 << 24
 
 
 class OpenWindows:

@@ -267,8 +267,9 @@ def keep_one(
 #: dealt out to triples.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 LANES, DEALS = 16, 4
-#: Lists of an index key up to this length give all their pairs; longer ones tie each entry to the first and the last.
-SHORT_LIST = 16
+#: Entries of an index key that all others of it are compared with. The texts of a large group share very many keys, with
+#: others of the group at their head, so they are joined without all of their pairs.
+HEADS = 2
 
 _lanes = np.random.default_rng(64).integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -283,11 +284,11 @@ def similar_limits(similarity: float, lanes: int = LANES) -> tuple[int, int]:
     """Most differing bits, and least equal bytes, of wide fingerprints of texts with so similar shingles.
 
     Two texts with Jaccard similarity s have shingle counts at an angle with cosine 2s / (1 + s), and a bit differs with
-    the angle's share of a half turn. Two deviations more are let through, so few pairs at the very limit are lost.
+    the angle's share of a half turn. One deviation more is let through, so most pairs at the very limit are kept.
     """
     bits = 64 * lanes
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = bits * share + 2 * np.sqrt(bits * share * (1 - share))
+    most = bits * share + np.sqrt(bits * share * (1 - share))
     equal = (1 - most / bits) ** 8
     least = bits / 8 * equal - 4 * np.sqrt(bits / 8 * equal * (1 - equal))
     return int(most), max(int(least), 1)
@@ -338,24 +339,19 @@ def _index_batches(triples: np.ndarray, lanes: int):
 
 
 def _pair_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of prints that share a key. Rows come sorted by key."""
-    key, held, first, last = None, [], 0, 0
+    """Pairs of prints that share a key: each with the first ones of the key. Rows come sorted by key."""
+    key, heads = None, []
     for batch in batches:
         a, b = [], []
         for own, print_ in zip(batch.column("key").to_pylist(), batch.column("print").to_pylist()):  # noqa: B905
             if own != key:
-                key, held, first = own, [print_], print_
-            elif len(held) < SHORT_LIST:
-                a += held
-                b += [print_] * len(held)
-                held.append(print_)
-            else:
-                a += [first, last]
-                b += [print_, print_]
-            last = print_
-        pairs = np.array([a, b], dtype=np.int64).reshape(2, -1)
-        pairs.sort(axis=0)
-        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+                key, heads = own, [print_]
+                continue
+            a += heads
+            b += [print_] * len(heads)
+            if len(heads) < HEADS:
+                heads.append(print_)
+        pairs = np.unique(np.array([a, b], dtype=np.int64).reshape(2, -1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
