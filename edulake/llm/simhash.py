@@ -332,25 +332,26 @@ def _index_batches(triples: np.ndarray, lanes: int):
             own = _matrix(batch.column("wide"), lanes).astype(np.int64)
             key = (own[:, triples[:, 0]] << 16) | (own[:, triples[:, 1]] << 8) | own[:, triples[:, 2]]
             key |= np.arange(len(triples)) << 24
-            prints = np.repeat(batch.column("print").to_numpy(), len(triples))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(prints)], ["key", "print"])
+            once = [np.repeat(batch.column(n).to_numpy(), len(triples)) for n in ("print", "group")]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (key.ravel(), *once))), ["key", "print", "group"])
 
     return run
 
 
 def _pair_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of prints that share a key: each with the first ones of the key. Rows come sorted by key."""
+    """Pairs of prints of different groups that share a key: each with the first ones of the key. Rows come sorted by key."""
     key, heads = None, []
     for batch in batches:
         a, b = [], []
-        for own, print_ in zip(batch.column("key").to_pylist(), batch.column("print").to_pylist()):  # noqa: B905
+        for own, print_, group in zip(*[batch.column(n).to_pylist() for n in ("key", "print", "group")]):  # noqa: B905
             if own != key:
-                key, heads = own, [print_]
+                key, heads = own, [(print_, group)]
                 continue
-            a += heads
-            b += [print_] * len(heads)
-            if len(heads) < HEADS:
-                heads.append(print_)
+            others = [head for head, its in heads if its != group]
+            a += others
+            b += [print_] * len(others)
+            if len(others) == len(heads) < HEADS:
+                heads.append((print_, group))
         pairs = np.unique(np.array([a, b], dtype=np.int64).reshape(2, -1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -373,15 +374,26 @@ def similar_links(
     """Links ``a``, ``b`` between distinct wide fingerprints (``print``, ``wide``) of similar texts.
 
     The index posts a fingerprint under triples of (position, byte). Pairs that meet under a key are tallied for all
-    byte positions they share, those below the least are dropped, and the rest are verified by their bits.
+    byte positions they share, those below the least are dropped, and the rest are verified by their bits. The triples
+    of the first deal come first; those of the others look only for pairs that are not joined yet.
     """
     most, least = similar_limits(similarity, lanes)
-    index = classes.mapInArrow(_index_batches(triples_of(8 * lanes, deals), lanes), "key bigint, print bigint")
-    dealt = index.repartition("key").sortWithinPartitions("key", "print")
-    pairs = settle(dealt.mapInArrow(_pair_batches, "a bigint, b bigint").distinct())
-    own = pairs.join(classes.select(F.col("print").alias("a"), F.col("wide").alias("wide_a")), "a")
-    own = own.join(classes.select(F.col("print").alias("b"), F.col("wide").alias("wide_b")), "b")
-    return own.mapInArrow(_verified_batches(most, least, lanes), "a bigint, b bigint")
+    triples = triples_of(8 * lanes, deals)
+    once = len(triples) // deals
+
+    def linked(grouped: DataFrame, own: np.ndarray) -> DataFrame:
+        index = grouped.mapInArrow(_index_batches(own, lanes), "key bigint, print bigint, group bigint")
+        dealt = index.repartition("key").sortWithinPartitions("key", "print")
+        pairs = settle(dealt.mapInArrow(_pair_batches, "a bigint, b bigint").distinct())
+        both = pairs.join(classes.select(F.col("print").alias("a"), F.col("wide").alias("wide_a")), "a")
+        both = both.join(classes.select(F.col("print").alias("b"), F.col("wide").alias("wide_b")), "b")
+        return both.mapInArrow(_verified_batches(most, least, lanes), "a bigint, b bigint")
+
+    first = settle(linked(classes.withColumn("group", F.col("print")), triples[:once]))
+    # What the first deal has joined needs no more links among itself.
+    known = settle(components(first).select(F.col("node").alias("print"), F.col("component").alias("group")))
+    grouped = classes.join(known, "print", "left").withColumn("group", F.coalesce("group", "print"))
+    return first.unionByName(linked(grouped.select("print", "wide", "group"), triples[once:]))
 
 
 def keep_one_similar(

@@ -372,3 +372,14 @@ def test_toxicity_classifier(spark, edges, labels, nothing):
     assert len({r.score for r in rows if r.doc_id == 31}) == 1
     assert toxicity.classify(nothing, labels).count() == 0
     assert len({r.score for r in toxicity.classify(edges, labels.limit(0)).collect()}) == 1
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Rows that the model never learns from, of the given tables: nearly all are told apart."""
+    folder = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    scored = toxicity.classify(docs, marks).where("held_out").join(marks, "doc_id").select("toxic", "predicted").collect()
+    assert len(scored) > 80
+    right = sum(r.toxic == r.predicted for r in scored)
+    assert right >= 0.9 * len(scored)
+    assert right > sum(r.toxic == 0 for r in scored)
