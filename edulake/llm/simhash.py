@@ -267,9 +267,12 @@ def keep_one(
 #: dealt out to triples.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 LANES, DEALS = 16, 4
-#: Entries of an index key that all others of it are compared with. The texts of a large group share very many keys, with
-#: others of the group at their head, so they are joined without all of their pairs.
+#: Entries of an index key that all others of it are compared with first. The texts of a large group share very many keys,
+#: with others of the group at their head, so they are joined without all of their pairs. Entries that are not joined then
+#: all meet each other.
 HEADS = 2
+#: Entries of a key that a task holds at once; keys with more are cut into blocks.
+HELD_ENTRIES = 1 << 14
 
 _lanes = np.random.default_rng(64).integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -339,7 +342,10 @@ def _index_batches(triples: np.ndarray, lanes: int):
 
 
 def _pair_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of prints of different groups that share a key: each with the first ones of the key. Rows come sorted by key."""
+    """Pairs of prints that share a key: each with the first ones of the key. Rows come sorted by key.
+
+    This only joins large groups ahead of ``_met_batches``, which leaves no pair of different groups out.
+    """
     key, heads = None, []
     for batch in batches:
         a, b = [], []
@@ -356,6 +362,112 @@ def _pair_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
+def _met_batches(held: int = HELD_ENTRIES):
+    """All pairs of prints of different groups that share a key, for keys where they are few, as ``a`` and ``b``.
+
+    Keys with more such pairs than twice their entries, or with more than ``held`` entries, are handed on entry by entry,
+    with their ``key`` and the print as ``a``. Rows come sorted by key.
+    """
+
+    def met(keys: np.ndarray, prints: np.ndarray, groups: np.ndarray) -> tuple[list[np.ndarray], ...]:
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        two = starts[sizes == 2]
+        two = two[groups[two] != groups[two + 1]]
+        a, b, crowded = [prints[two]], [prints[two + 1]], []
+        more = sizes > 2
+        mixed = np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts)
+        for at, size in zip(starts[more & mixed], sizes[more & mixed]):
+            own = slice(at, at + size)
+            counts = np.unique(groups[own], return_counts=True)[1].astype(np.int64)
+            if (size * size - (counts * counts).sum()) // 2 > 2 * size:
+                crowded.append(np.arange(at, at + size))
+                continue
+            x, y = np.triu_indices(size, 1)
+            apart = groups[own][x] != groups[own][y]
+            a.append(prints[own][x[apart]])
+            b.append(prints[own][y[apart]])
+        return a, b, crowded
+
+    def batch_of(a: np.ndarray, b: np.ndarray, keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        key = pa.array(np.append(np.zeros(pairs.shape[1], np.int64), keys), mask=np.arange(pairs.shape[1] + len(keys)) < pairs.shape[1])
+        other = pa.array(np.append(pairs[1], prints), mask=np.arange(pairs.shape[1] + len(keys)) >= pairs.shape[1])
+        return pa.RecordBatch.from_arrays([key, pa.array(np.append(pairs[0], prints)), other], ["key", "a", "b"])
+
+    none = np.zeros(0, dtype=np.int64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, large = np.zeros((3, 0), dtype=np.int64), None
+        for batch in batches:
+            own = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "print", "group")]
+            rows = np.concatenate((rows, np.stack(own)), axis=1)
+            if large is not None:
+                more = int(np.searchsorted(rows[0], large, side="right"))
+                yield batch_of(none, none, rows[0, :more], rows[1, :more])
+                rows = rows[:, more:]
+                large = large if not rows.shape[1] else None
+            if not rows.shape[1]:
+                continue
+            # The last key may go on in the next batch.
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            if last:
+                a, b, crowded = met(*rows[:, :last])
+                crowded = np.concatenate([none, *crowded])
+                yield batch_of(np.concatenate(a), np.concatenate(b), rows[0, crowded], rows[1, crowded])
+                rows = rows[:, last:]
+            if rows.shape[1] > held:
+                large = rows[0, 0]
+                yield batch_of(none, none, rows[0], rows[1])
+                rows = rows[:, :0]
+        if rows.shape[1]:
+            a, b, crowded = met(*rows)
+            crowded = np.concatenate([none, *crowded])
+            yield batch_of(np.concatenate(a), np.concatenate(b), rows[0, crowded], rows[1, crowded])
+
+    return run
+
+
+def _cell_batches(most: int, least: int, lanes: int):
+    """Links between the entries of different groups of each cell; what a link joins is one group from then on."""
+
+    def linked(prints: np.ndarray, groups: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
+        found, groups = [], groups.copy()
+        for at in range(len(prints) - 1):
+            others = at + 1 + np.flatnonzero(groups[at + 1 :] != groups[at])
+            differing = wide[others] ^ wide[at]
+            near = np.bitwise_count(differing).sum(axis=1) <= most
+            near &= (differing.view(np.uint8) == 0).sum(axis=1) >= least
+            for other in others[near]:
+                if groups[other] != groups[at]:
+                    found.append((prints[at], prints[other]))
+                    groups[groups == groups[other]] = groups[at]
+        return found
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((0, 5), dtype=np.int64)
+        wide = np.zeros((0, lanes), dtype=np.uint64)
+
+        def links_of(starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            found = [x for s, e in zip(starts, ends) for x in linked(cells[s:e, 3], cells[s:e, 4], wide[s:e])]
+            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            own = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "i", "j", "print", "group")]
+            cells = np.concatenate((cells, np.stack(own, axis=1)))
+            wide = np.concatenate((wide, _matrix(batch.column("wide"), lanes).view(np.uint64)))
+            changes = np.flatnonzero((cells[1:, :3] != cells[:-1, :3]).any(axis=1)) + 1
+            if len(changes):  # the last cell may go on in the next batch
+                bounds = np.append(0, changes)
+                yield links_of(bounds[:-1], bounds[1:])
+                cells, wide = cells[changes[-1] :], wide[changes[-1] :]
+        if len(cells):
+            yield links_of(np.array([0]), np.array([len(cells)]))
+
+    return run
+
+
 def _verified_batches(most: int, least: int, lanes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,32 +480,60 @@ def _verified_batches(most: int, least: int, lanes: int):
     return run
 
 
+def _crowded_links(entries: DataFrame, grouped: DataFrame, most: int, least: int, lanes: int, block: int) -> DataFrame:
+    """Links between the ``entries`` (``key``, ``print``) of crowded keys, cut into blocks that meet in cells."""
+    placed = entries.join(grouped.select("print", "group"), "print")
+    crowds = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    crowds = settle(crowds.where("lo <> hi").select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int").alias("own")
+    met = placed.join(crowds, "key").select("key", "print", "group", "blocks", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = met.select("key", "print", "group", "own", other).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print", "group"
+    )
+    cells = cells.join(grouped.select("print", "wide"), "print").select("key", "i", "j", "print", "group", "wide")
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "print")
+    return dealt.mapInArrow(_cell_batches(most, least, lanes), "a bigint, b bigint")
+
+
 def similar_links(
-    classes: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, deals: int = DEALS
+    classes: DataFrame,
+    similarity: float = SIMILARITY,
+    lanes: int = LANES,
+    deals: int = DEALS,
+    held: int = HELD_ENTRIES,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Links ``a``, ``b`` between distinct wide fingerprints (``print``, ``wide``) of similar texts.
 
     The index posts a fingerprint under triples of (position, byte). Pairs that meet under a key are tallied for all
-    byte positions they share, those below the least are dropped, and the rest are verified by their bits. The triples
-    of the first deal come first; those of the others look only for pairs that are not joined yet.
+    byte positions they share, those below the least are dropped, and the rest are verified by their bits. Under the
+    triples of the first deal all meet the first ones of a key, which joins the large groups; then, under all triples, all
+    that meet and are not joined are compared: as pairs where a key has few, else in cells of bounded size.
     """
     most, least = similar_limits(similarity, lanes)
     triples = triples_of(8 * lanes, deals)
     once = len(triples) // deals
 
-    def linked(grouped: DataFrame, own: np.ndarray) -> DataFrame:
+    def sorted_index(grouped: DataFrame, own: np.ndarray) -> DataFrame:
         index = grouped.mapInArrow(_index_batches(own, lanes), "key bigint, print bigint, group bigint")
-        dealt = index.repartition("key").sortWithinPartitions("key", "print")
-        pairs = settle(dealt.mapInArrow(_pair_batches, "a bigint, b bigint").distinct())
+        return index.repartition("key").sortWithinPartitions("key", "print")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(classes.select(F.col("print").alias("a"), F.col("wide").alias("wide_a")), "a")
         both = both.join(classes.select(F.col("print").alias("b"), F.col("wide").alias("wide_b")), "b")
         return both.mapInArrow(_verified_batches(most, least, lanes), "a bigint, b bigint")
 
-    first = settle(linked(classes.withColumn("group", F.col("print")), triples[:once]))
+    dealt = sorted_index(classes.withColumn("group", F.col("print")), triples[:once])
+    first = settle(verified(settle(dealt.mapInArrow(_pair_batches, "a bigint, b bigint").distinct())))
     # What the first deal has joined needs no more links among itself.
     known = settle(components(first).select(F.col("node").alias("print"), F.col("component").alias("group")))
     grouped = classes.join(known, "print", "left").withColumn("group", F.coalesce("group", "print"))
-    return first.unionByName(linked(grouped.select("print", "wide", "group"), triples[once:]))
+    grouped = settle(grouped.select("print", "wide", "group"))
+    met = settle(sorted_index(grouped, triples).mapInArrow(_met_batches(held), "key bigint, a bigint, b bigint"))
+    few = verified(settle(met.where("b IS NOT NULL").select("a", "b").distinct()))
+    crowded = met.where("b IS NULL").select("key", F.col("a").alias("print"))
+    return first.unionByName(few).unionByName(_crowded_links(crowded, grouped, most, least, lanes, block))
 
 
 def keep_one_similar(

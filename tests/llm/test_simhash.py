@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from edulake.llm import graph, simhash
@@ -142,3 +143,25 @@ def test_wide_bits_match_the_definition():
             with np.errstate(over="ignore"):
                 mixed = simhash.mix(np.array(own, dtype=np.uint64) * simhash._lanes[lane]).tolist()
             assert value == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(own))
+
+
+@pytest.mark.parametrize(("held", "block"), [(1 << 14, 1024), (4, 3)])
+def test_all_entries_of_a_key_meet(spark, monkeypatch, held, block):
+    """Two similar fingerprints meet under one key alone, behind others that are like neither."""
+    choose = np.random.default_rng(5)
+    wide = choose.integers(0, 256, (40, 128), dtype=np.uint8)
+    wide[:12, :3] = 7
+    wide[20:23, :3] = 9
+    for a, b in ((8, 9), (9, 10), (20, 22)):
+        wide[b, 6:] = wide[a, 6:]
+        wide[b, 30:40] ^= 1
+    monkeypatch.setattr(simhash, "triples_of", lambda positions, deals: np.array([[3, 4, 5], [0, 1, 2]]))
+    classes = spark.createDataFrame([(k, bytearray(w.tobytes())) for k, w in enumerate(wide)], "print bigint, wide binary")
+    found = simhash.similar_links(classes.repartition(3), deals=2, held=held, block=block).collect()
+    joined = {}
+    for r in found:
+        a, b = sorted((r.a, r.b))
+        joined[b] = joined.get(a, a)
+    assert joined == {9: 8, 10: 8, 22: 20} or {frozenset((r.a, r.b)) for r in found} == {
+        frozenset(x) for x in ((8, 9), (8, 10), (20, 22))
+    }
