@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edulake.schema import SOURCE_CONVERSATION
+from edulake.session import settle
 from edulake.sources.image_files import attach_contents
 from edulake.sources.json_array import read_objects
 
@@ -40,8 +41,12 @@ def folder_table(spark: SparkSession) -> DataFrame:
 
 
 def _named(df: DataFrame, folders: DataFrame) -> DataFrame:
-    """Rows with the ``path`` of their first image."""
-    named = df.join(folders.withColumnRenamed("folder_key", "image_file"), "image_file", "left")
+    """Rows with the ``path`` of their first image.
+
+    A few keys hold all rows, so a shuffle on the key would put them into as many tasks. The folders are settled: as a
+    table of known size they are sent to the rows.
+    """
+    named = df.join(settle(folders).withColumnRenamed("folder_key", "image_file"), "image_file", "left")
     path = F.concat_ws("/", F.nullif(F.coalesce("folder", "image_file"), F.lit("")), F.get("image", F.lit(0)))
     return named.withColumn("path", path)
 

@@ -345,3 +345,18 @@ def test_image_bytes_pass_no_exchange(spark, tmp_path, monkeypatch):
     assert got == sorted((k, p, c) for k, (p, c) in enumerate(stored) if c for _ in range(2))
     with pytest.raises(ValueError):
         image_files.opened("ftp://host/file")
+
+
+def test_rows_are_not_dealt_out_by_folder_key(spark):
+    """Two keys hold all rows; the few folders go to the rows, and unmapped and null keys stay as they were."""
+    rows = spark.range(1000).select(
+        F.col("id").alias("row_id"),
+        F.array(F.concat(F.lit("i"), F.col("id").cast("string"))).alias("image"),
+        F.when(F.col("id") % 3 == 0, "geo170k").when(F.col("id") % 3 == 1, "other").alias("image_file"),
+    )
+    folder = F.when(F.col("id") % 3 == 0, "data/local/Open-source-data/geo170k/i").otherwise("other/i")
+    files = spark.range(1000).select(F.concat(folder, F.col("id").cast("string")).alias("path"), F.lit(b"x").alias("content"))
+    found = images.resolve_images(rows, files, images.folder_table(spark))
+    assert found.where("image_file IS NOT NULL").count() == found.count() == 667
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(image_file" not in plan and "BroadcastHashJoin [image_file" in plan
