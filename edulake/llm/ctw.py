@@ -5,13 +5,15 @@ context tree of its own over the bytes before. A node's Krichevsky-Trofimov esti
 children, so all depths take part, weighted by how well they have coded the corpus:
 ``log P(node) = log(1/2 KT(node) + 1/2 prod P(children))``.
 
-Spark counts the byte n-grams of all training texts. The trees hold the commonest contexts of the corpus, as many as
-``MAX_CONTEXTS`` allows; a context is never rarer than the longer ones within it, so these form a tree. The rarer
-children of a node are one child. The model is therefore of bounded size at any size of the corpus, and is sent to
-every task, where texts walk down it byte by byte.
+Spark counts the byte n-grams of all texts, those of held-out ones with zero. The trees hold every context of the corpus:
+their nodes are rows, weighted from the longest contexts to the root and mixed on the way back, a join for each depth.
+What comes out is the log probability of every n-gram of any text. The n-grams that make up at least one part in
+``MAX_GRAMS`` of all bytes are sent to the tasks; texts meet the others in a join.
 
 The baseline, a smoothed word model, needs the count of every word. Words that make up at least one part in
 ``MAX_FREQUENT`` of all tokens are sent along; all others meet their counts in a join by their 64-bit hashes.
+
+``fit`` gives a tree of bounded size for one machine, in which the rarer children of a node are one child.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ MAX_CONTEXTS = 40_000
 #: Steps of the histogram of context counts to a factor of two.
 _STEPS = 64
 MAX_FREQUENT = 1 << 19
+MAX_GRAMS = 1 << 21
 GRAM, TOKEN = 0, 1
 #: Stands for the end of a text among the hashes of tokens.
 _END = np.uint64(0x0123456789ABCDEF)
@@ -65,12 +68,24 @@ def _count_batches(depth: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, tokens = Tally(), Tally()
         for batch in batches:
+            learnt = "__learnt" in batch.schema.names
             for part in slices(batch, "__text"):
                 own, words = token_text(part)
-                full = grams.add(gram_keys(own, own.data, depth + 1, end=True)[0])
+                keys, counts = gram_keys(own, own.data, depth + 1, end=True)
+                hashes = np.append(words.hashes(), np.full(part.rows, _END))
+                if learnt:
+                    chosen = part.column("__learnt").to_numpy(zero_copy_only=False)
+                    hashes = hashes[np.append(chosen[words.row], chosen)]
+                    of_key = np.repeat(chosen, counts)
+                    other = np.unique(keys[~of_key])
+                    full = grams.add(other, np.zeros(len(other), dtype=np.int64))
+                    if full is not None:
+                        yield counted_batch(full, GRAM)
+                    keys = keys[of_key]
+                full = grams.add(keys)
                 if full is not None:
                     yield counted_batch(full, GRAM)
-                full = tokens.add(np.append(words.hashes(), np.full(part.rows, _END)))
+                full = tokens.add(hashes)
                 if full is not None:
                     yield counted_batch(full, TOKEN)
         yield counted_batch(grams.take(), GRAM)
@@ -80,11 +95,81 @@ def _count_batches(depth: int):
 
 
 def corpus_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Counts over the column ``__text``: ``kind`` (byte n-gram of ``depth + 1``, or token), ``key`` and ``n``."""
-    found = rows.select("__text").mapInArrow(_count_batches(depth), "kind int, key bigint, n bigint")
+    """Counts over the column ``__text``: ``kind`` (byte n-gram of ``depth + 1``, or token), ``key`` and ``n``.
+
+    Of rows that a column ``__learnt`` excludes, the n-grams are there with zero, the tokens are not.
+    """
+    used = [c for c in ("__text", "__learnt") if c in rows.columns]
+    found = rows.select(*used).mapInArrow(_count_batches(depth), "kind int, key bigint, n bigint")
     return settle(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
+def _ln_gamma(x: Column) -> Column:
+    lift = x
+    for step in range(1, 8):
+        lift = lift * (x + F.lit(float(step)))
+    y = x + F.lit(8.0)
+    series = (y - 0.5) * F.ln(y) - y + F.lit(float(0.5 * np.log(2 * np.pi))) + 1 / (12 * y) - 1 / (360 * y * y * y)
+    return series - F.ln(lift)
+
+
+def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``key``, ``n`` and ``log10``, the log10 probability of the last byte after those before, of every n-gram.
+
+    A node is a context and the bits of the next byte so far, as one number: the context, then a one and these bits. The
+    tree of ``grams`` (``key``, ``n``) holds all contexts; where counts are zero, zeros and ones are alike.
+    """
+    byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
+    nodes = [
+        F.struct(
+            F.col("key").bitwiseAND(F.lit(~255)).bitwiseOR(F.lit(1 << bit).bitwiseOR(F.shiftright(byte, 8 - bit)).cast("bigint")).alias("node"),
+            F.shiftright(byte, 7 - bit).bitwiseAND(F.lit(1)).alias("bit"),
+        )
+        for bit in range(8)
+    ]
+    own = grams.select("n", F.inline(F.array(*nodes)))
+    half = float(np.log(0.5))
+    kt = _ln_gamma(F.col("zeros") + 0.5) + _ln_gamma(F.col("ones") + 0.5) - float(np.log(np.pi))
+    kt = kt - _ln_gamma(F.col("zeros") + F.col("ones") + 1.0)
+    level = own.groupBy("node").agg(
+        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
+        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
+    )
+    levels = [settle(level.withColumn("kt", kt).withColumn("weighted", F.col("kt")))]
+    for d in range(depth - 1, -1, -1):
+        up = F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("node")
+        sums = [F.sum(c).alias(c) for c in ("zeros", "ones")]
+        level = levels[-1].groupBy(up).agg(*sums, F.sum("weighted").alias("below")).withColumn("kt", kt)
+        more, less = F.greatest("kt", "below"), F.least("kt", "below")
+        weighted = F.lit(half) + more + F.log1p(F.exp(less - more))
+        levels.append(settle(level.select("node", "zeros", "ones", "kt", weighted.alias("weighted"))))
+    # From the root down: what the shorter contexts add, and the weight that is left to the longer ones.
+    p = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    above = None
+    for d, level in enumerate(levels[::-1]):
+        stop = F.exp(F.lit(half) + F.col("kt") - F.col("weighted")) if d < depth else F.lit(1.0)
+        if above is None:
+            placed = level.withColumn("added", F.lit(0.0)).withColumn("left", F.lit(1.0))
+        else:
+            up = F.col("node").bitwiseAND(F.lit((1 << 8 * d) - 1))
+            placed = level.withColumn("up", up).join(above.withColumnRenamed("node", "up"), "up")
+        placed = placed.select(
+            "node", (F.col("added") + F.col("left") * stop * p).alias("added"), (F.col("left") * (1 - stop)).alias("left")
+        )
+        above = settle(placed) if d < depth else placed
+    one = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("added")))
+    prefix = F.col("node").bitwiseAND(F.lit(255)).cast("int")
+    tables = above.select(F.shiftright("node", 8).alias("context"), F.struct(prefix.alias("prefix"), one.alias("one")).alias("bit"))
+    # At most 255 bits for a context.
+    tables = tables.groupBy("context").agg(F.map_from_entries(F.collect_list("bit")).alias("bits"))
+    met = grams.withColumn("context", F.shiftright("key", 8)).join(tables, "context")
+    logs = F.lit(0.0)
+    for bit in range(8):
+        own = F.element_at("bits", F.lit(1 << bit).bitwiseOR(F.shiftright(byte, 8 - bit)))
+        logs = logs + F.log10(F.when(F.shiftright(byte, 7 - bit).bitwiseAND(F.lit(1)) == 1, own).otherwise(1 - own))
+    return settle(met.select("key", "n", logs.alias("log10")))
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x > 0, by Stirling's series eight steps up."""
     lift = np.zeros_like(x)
@@ -232,23 +317,43 @@ def fit(counts: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
     return ContextTree(depth, np.concatenate(contexts), np.concatenate(depths), dense)
 
 
-class _Frequent:
+class Frequent:
+    """What is known of frequent keys, sent to every task."""
+
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        hashes = hashes.astype(np.int64).view(np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are frequent, and the counts of those."""
+        """Which hashes are frequent, and the counts (or logs) of those."""
         at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
         return known, self.counts[at[known]]
 
 
-def _score_batches(model, total: int, distinct: int):
+def lists_of(keys: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
+    """The keys of each row as a list of signed longs."""
+    order = np.argsort(row, kind="stable")
+    offsets = np.append(0, np.cumsum(np.bincount(row, minlength=rows)))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order].view(np.int64)))
+
+
+def gram_sums(keys: np.ndarray, row: np.ndarray, rows: int, logs: Frequent) -> tuple[np.ndarray, pa.ListArray]:
+    """The sum of the logs of each row's frequent keys, and a list of its other keys."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    known, found = logs.find(distinct)
+    log = np.zeros(len(distinct))
+    log[known] = found
+    rare = ~known[place]
+    return np.bincount(row, log[place], rows), lists_of(keys[rare], row[rare], rows)
+
+
+def _score_batches(model, total: int, distinct: int, depth: int):
     @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = model.value
+        logs, frequent = model.value
         scale = np.log10(total + 0.1 * (distinct + 1))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -260,11 +365,8 @@ def _score_batches(model, total: int, distinct: int):
                 known, counts = frequent.find(hashes)
                 base = np.bincount(row[known], np.log10(counts + 0.1), rows)
                 n_known = np.bincount(row[known], minlength=rows)
-                # Rare tokens, by row, for the join with their counts.
-                rare, rare_row = hashes[~known], row[~known]
-                order = np.argsort(rare_row, kind="stable")
-                offsets = np.append(0, np.cumsum(np.bincount(rare_row, minlength=rows)))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rare[order].view(np.int64)))
+                keys, n_keys = gram_keys(own, own.data, depth + 1, end=True)
+                score, rare_grams = gram_sums(keys, np.repeat(np.arange(rows), n_keys), rows, logs)
                 tokens = words.counts + 1
                 arrays = [
                     pa.array(np.arange(number, number + rows)),
@@ -272,13 +374,15 @@ def _score_batches(model, total: int, distinct: int):
                     pa.array(tokens.astype(np.int64)),
                     pa.array(n_known.astype(np.int64)),
                     pa.array(base - tokens * scale),
-                    pa.array(tree.scores(own)),
+                    pa.array(score),
                     pa.array((np.diff(own.offsets) + 1).astype(np.int64)),
-                    lists,
+                    # Rare tokens and n-grams, by row, for the joins with their counts and logs.
+                    lists_of(hashes[~known], row[~known], rows),
+                    rare_grams,
                 ]
                 number += rows
                 yield pa.RecordBatch.from_arrays(
-                    arrays, ["row", "id", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"]
+                    arrays, ["row", "id", "n_tokens", "n_known", "base", "score", "n_bytes", "rare", "rare_grams"]
                 )
 
     return run
@@ -289,44 +393,52 @@ def score(
     id: str = "doc_id",
     text: str = "text",
     depth: int = DEPTH,
-    max_contexts: int = MAX_CONTEXTS,
     max_frequent: int = MAX_FREQUENT,
+    max_grams: int = MAX_GRAMS,
 ) -> DataFrame:
     """Per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``,
     ``n_bytes`` and ``bits_per_byte``, the code length of a byte.
 
     Tokens are the lower-cased words and one end. ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))) over them;
-    ``score`` is the tree's log10 probability of the text. Null texts are empty: an end alone. Null ids are held out,
-    repeated rows each count and get their row, and without training rows the scores are those of an empty model.
+    ``score`` is the log10 probability of the text by the tree of all contexts. Null texts are empty: an end alone. Null
+    ids are held out, repeated rows each count and get their row, and without training rows the scores are those of an
+    empty model. At most ``max_frequent`` tokens and ``max_grams`` n-grams are sent to the tasks; the rest is joined.
     """
-    rows = docs.select(F.col(id).alias("__id"), whole_text(F.col(text)).alias("__text"))
-    counts = corpus_counts(rows.where(~held_out(F.col("__id"))), depth)
+    learnt = ~held_out(F.col("__id"))
+    rows = docs.select(F.col(id).alias("__id"), whole_text(F.col(text)).alias("__text")).withColumn("__learnt", learnt)
+    counts = corpus_counts(rows, depth)
     tokens = counts.where(F.col("kind") == TOKEN).select(F.col("key").alias("token"), F.col("n").alias("c"))
     total, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = tokens.where(F.col("c") * F.lit(max_frequent) >= F.lit(total)).toArrow()
-    frequent = _Frequent(
-        common.column("token").to_numpy().astype(np.int64).view(np.uint64), common.column("c").to_numpy()
-    )
-    model = docs.sparkSession.sparkContext.broadcast((fit(counts, depth, max_contexts), frequent))
+    frequent = Frequent(common.column("token").to_numpy(), common.column("c").to_numpy())
+    grams = gram_logs(counts.where(F.col("kind") == GRAM).select("key", "n"), depth)
+    n_bytes = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = grams.where((F.col("n") > 0) & (F.col("n") * F.lit(max_grams) >= F.lit(n_bytes))).toArrow()
+    logs = Frequent(common.column("key").to_numpy(), common.column("log10").to_numpy())
+    model = docs.sparkSession.sparkContext.broadcast((logs, frequent))
     kind = rows.schema["__id"].dataType.simpleString()
     schema = (
         f"row bigint, id {kind}, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, "
-        "rare array<bigint>"
+        "rare array<bigint>, rare_grams array<bigint>"
     )
-    scored = settle(rows.mapInArrow(_score_batches(model, total, distinct), schema))
+    scored = settle(rows.select("__id", "__text").mapInArrow(_score_batches(model, total, distinct, depth), schema))
     each = scored.select("row", F.explode("rare").alias("token"))
     met = each.join(tokens, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = met.groupBy("row").agg(
         F.sum(F.log10(F.col("c") + F.lit(0.1))).alias("rest"), F.count_if(F.col("c") > 0).alias("more")
     )
-    return scored.join(rest, "row", "left").select(
+    each = scored.select("row", F.explode("rare_grams").alias("key"))
+    left = each.join(grams.select("key", "log10"), "key").groupBy("row").agg(F.sum("log10").alias("left"))
+    whole = F.col("score") + F.coalesce("left", F.lit(0.0))
+    narrow = scored.drop("rare", "rare_grams")
+    return narrow.join(rest, "row", "left").join(left, "row", "left").select(
         F.col("id").alias(id),
         held_out(F.col("id")).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        whole.alias("score"),
         "n_bytes",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-whole / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

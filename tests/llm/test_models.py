@@ -127,6 +127,26 @@ def test_rare_contexts_are_one_child(spark):
     assert many.scores(own)[0] > few.scores(own)[0]
 
 
+@pytest.mark.parametrize("most", [4, 1 << 21])
+def test_scores_are_those_of_all_contexts(spark, monkeypatch, most):
+    """No context is left out, however many there are, and no n-gram, however few are sent along."""
+    monkeypatch.setattr(ctw, "MAX_CONTEXTS", 2)
+    texts = {k: " ".join("ab"[(k * k + j * k) % 3 % 2] * (1 + (j + k) % 3) for j in range(5)) for k in range(24)}
+    held = {k for k in texts if rules.fold(k, 10) == 0}
+    assert held and len(held) < len(texts)
+    weighted = _brute_tree([t.encode() for k, t in texts.items() if k not in held], 3)
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts.items()], SCHEMA).repartition(3)
+    scored = {r.doc_id: r.score for r in ctw.score(docs, depth=3, max_grams=most).collect()}
+    for k in [*sorted(held), *range(5)]:
+        own = b"\xff\xff\xff" + texts[k].encode() + b"\xff"
+        want = 0.0
+        for i in range(3, len(own)):
+            for bit in range(8):
+                prefix, value = (bit, own[i] >> (8 - bit)), own[i] >> (7 - bit) & 1
+                want += weighted(b"", prefix, value, own[i - 3 : i]) - weighted(b"", prefix)
+        assert scored[k] == pytest.approx(want / math.log(10), rel=1e-6)
+
+
 def test_scores_match_brute_force(spark, edges):
     rows = [(r.doc_id, r.text) for r in edges.collect()]
     tokens = [[*rules.words(rules.lower(t)), None] for _, t in rows]
