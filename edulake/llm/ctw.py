@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edulake.llm.grams import EDGE, Tally, counted_batch, gram_keys
+from edulake.llm.grams import Frequent, Tally, counted_batch, gram_keys, gram_sums, lists_of
 from edulake.llm.textops import LOWER, Slice, Words, released, slices, sum_by_row, whole_text
 from edulake.session import settle
 
@@ -317,39 +317,6 @@ def fit(counts: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
     return ContextTree(depth, np.concatenate(contexts), np.concatenate(depths), dense)
 
 
-class Frequent:
-    """What is known of frequent keys, sent to every task."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        hashes = hashes.astype(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are frequent, and the counts (or logs) of those."""
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
-        return known, self.counts[at[known]]
-
-
-def lists_of(keys: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
-    """The keys of each row as a list of signed longs."""
-    order = np.argsort(row, kind="stable")
-    offsets = np.append(0, np.cumsum(np.bincount(row, minlength=rows)))
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order].view(np.int64)))
-
-
-def gram_sums(keys: np.ndarray, row: np.ndarray, rows: int, logs: Frequent) -> tuple[np.ndarray, pa.ListArray]:
-    """The sum of the logs of each row's frequent keys, and a list of its other keys."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    known, found = logs.find(distinct)
-    log = np.zeros(len(distinct))
-    log[known] = found
-    rare = ~known[place]
-    return np.bincount(row, log[place], rows), lists_of(keys[rare], row[rare], rows)
-
-
 def _score_batches(model, total: int, distinct: int, depth: int):
     @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +333,7 @@ def _score_batches(model, total: int, distinct: int, depth: int):
                 base = np.bincount(row[known], np.log10(counts + 0.1), rows)
                 n_known = np.bincount(row[known], minlength=rows)
                 keys, n_keys = gram_keys(own, own.data, depth + 1, end=True)
-                score, rare_grams = gram_sums(keys, np.repeat(np.arange(rows), n_keys), rows, logs)
+                score, *rare_grams = gram_sums(keys, np.repeat(np.arange(rows), n_keys), rows, logs)
                 tokens = words.counts + 1
                 arrays = [
                     pa.array(np.arange(number, number + rows)),
@@ -378,7 +345,7 @@ def _score_batches(model, total: int, distinct: int, depth: int):
                     pa.array((np.diff(own.offsets) + 1).astype(np.int64)),
                     # Rare tokens and n-grams, by row, for the joins with their counts and logs.
                     lists_of(hashes[~known], row[~known], rows),
-                    rare_grams,
+                    lists_of(*rare_grams, rows),
                 ]
                 number += rows
                 yield pa.RecordBatch.from_arrays(

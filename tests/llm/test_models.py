@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from edulake.llm import boosting, ctw, grams, perplexity, toxicity
 from edulake.llm.textops import Words, slices
@@ -224,6 +225,23 @@ def test_kneser_ney_matches_the_formula(spark):
         assert found == pytest.approx(math.log(want), rel=1e-3), (a, b)
 
 
+@pytest.mark.parametrize("most", [3, 1 << 19])
+def test_perplexity_rests_on_all_grams(spark, most):
+    """However little room there is, the logs are those of models that hold every n-gram."""
+    texts = [(invented(k, 80 + k), "en" if k % 3 else "fr") for k in range(20)] + [("$ % | " * 60, "de"), (None, "en")]
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(texts)], "doc_id bigint, text string, lang string")
+    whole = docs.select(F.coalesce("text", F.lit("")).alias("__text"), F.col("lang").alias("language"))
+    models = perplexity.fit(whole, max_grams=1 << 24)
+    judged = {r.doc_id: r.log_perplexity for r in perplexity.judge(docs, keep=["doc_id"], max_grams=most).collect()}
+    for k, (text, lang) in enumerate(texts):
+        if not text:
+            assert judged[k] is None
+            continue
+        keys = grams.gram_keys(*(lambda p: (p, p.data))(next(slices(batch([text])))), perplexity.ORDER, end=False)[0]
+        model = models.get(lang, perplexity.empty_model())
+        assert judged[k] == pytest.approx(-model.log_probabilities(keys).mean(), rel=1e-6)
+
+
 def test_judgement(spark, edges, nothing):
     plain = [(200 + k, invented(900 + k, 120), "en", "s", 1) for k in range(40)]
     odd = [(300, "".join(chr(33 + (k * 7919) % 90) + " " * (k % 5 == 0) for k in range(900)), "en", "s", 1)]
@@ -373,6 +391,19 @@ def test_thresholds_by_language():
     assert toxicity.best_thresholds(scores[:4], y[:4], [None] * 4) == {None: 0.7}
 
 
+def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
+    """All labelled rows that the network has not seen are counted, however small the sample that it learns from."""
+    rows = [(k, f"bad word {k}" if k % 2 else f"good word {k}", "en", "s", 1) for k in range(300)] + [(300, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame([(k, 1, k % 2) for k in range(301)], "doc_id bigint, quality int, toxic int")
+    seen, counted = [], []
+    monkeypatch.setattr(toxicity.Network, "train", lambda self, texts, y: seen.extend(texts))
+    monkeypatch.setattr(toxicity, "thresholds_of", lambda counts: counted.extend(counts) or {None: 0.7})
+    toxicity.classify(docs, marks, most=20).collect()
+    folds = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(300))
+    assert len(seen) == 16 and sum(n for *_, n in counted) == folds - 16
+
+
 def test_long_rows_do_not_end_the_training_sample(spark, monkeypatch):
     rows = [(k, ("long word " * 500) if k % 4 == 0 else f"bad word {k}" if k % 2 else f"good word {k}") for k in range(80)]
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], SCHEMA)
