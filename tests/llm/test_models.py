@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from edulake import session
 from edulake.llm import boosting, ctw, grams, perplexity, toxicity
 from edulake.llm.textops import Words, slices
 from tests.llm import rules
@@ -242,6 +243,30 @@ def test_perplexity_rests_on_all_grams(spark, most):
         assert judged[k] == pytest.approx(-model.log_probabilities(keys).mean(), rel=1e-6)
 
 
+def test_frequent_grams_meet_no_join(spark, monkeypatch):
+    """N-grams are sent by how often all texts hold them, and what no result rests on is not kept."""
+    monkeypatch.setattr(session, "_SETTLED", [])
+    texts = [(invented(k, 80), "en") for k in range(20)] + [("$ % | " * 60, "en"), ("# & < " * 9, "de"), (None, "fr")]
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(texts)], "doc_id bigint, text string, lang string")
+    size = sum(len((t or "").encode()) for t, _ in texts)
+    joined = []
+    for most in (1 << 19, 300, 0):
+        assert perplexity.judge(docs, keep=["doc_id"], max_grams=most).count() == len(texts)
+        tables = [spark.read.parquet(path) for path in session._SETTLED]
+        assert sorted("__rare" in t.columns for t in tables) == [False, True]
+        scored = next(t for t in tables if "__rare" in t.columns)
+        joined.append(scored.agg(F.sum(F.size("__rare"))).first()[0])
+        session.release_settled(spark)
+    assert joined[0] == 0 < joined[1] < joined[2] == size
+
+
+def test_most_seen_grams(spark):
+    seen = [1, 1, 1, 2, 2, 7, 7, 7, 9, 1000]
+    table = spark.createDataFrame(list(enumerate(seen)), "key bigint, seen bigint")
+    for most, want in ((0, []), (1, [1000]), (2, [9, 1000]), (4, [9, 1000]), (5, seen[5:]), (9, seen[3:]), (10, seen)):
+        assert sorted(r.seen for r in perplexity.most_seen(table, most).collect()) == want
+
+
 def test_judgement(spark, edges, nothing):
     plain = [(200 + k, invented(900 + k, 120), "en", "s", 1) for k in range(40)]
     odd = [(300, "".join(chr(33 + (k * 7919) % 90) + " " * (k % 5 == 0) for k in range(900)), "en", "s", 1)]
