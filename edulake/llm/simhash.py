@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from edulake.llm.graph import components
 from edulake.llm.textops import inner_text, mix, released, slices, whole_text
-from edulake.session import settle
+from edulake.session import release, settle, shuffles_freed
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
 SHINGLE_WORDS = 4
@@ -525,11 +525,14 @@ def similar_links(
         return both.mapInArrow(_verified_batches(most, least, lanes), "a bigint, b bigint")
 
     dealt = sorted_index(classes.withColumn("group", F.col("print")), triples[:once])
-    first = settle(verified(settle(dealt.mapInArrow(_pair_batches, "a bigint, b bigint").distinct())))
+    pairs = settle(dealt.mapInArrow(_pair_batches, "a bigint, b bigint").distinct())
+    first = settle(verified(pairs))
+    release(pairs)
     # What the first deal has joined needs no more links among itself.
     known = settle(components(first).select(F.col("node").alias("print"), F.col("component").alias("group")))
     grouped = classes.join(known, "print", "left").withColumn("group", F.coalesce("group", "print"))
     grouped = settle(grouped.select("print", "wide", "group"))
+    release(known)
     met = settle(sorted_index(grouped, triples).mapInArrow(_met_batches(held), "key bigint, a bigint, b bigint"))
     few = verified(settle(met.where("b IS NOT NULL").select("a", "b").distinct()))
     crowded = met.where("b IS NULL").select("key", F.col("a").alias("print"))
@@ -551,6 +554,13 @@ def keep_one_similar(
     fingerprints tell. Null ids come last, and of rows with one id, also of repeated rows, one stays; null, empty and
     wordless texts are duplicates of each other. No rows give none.
     """
+    with shuffles_freed(docs.sparkSession):
+        return _kept_similar(docs, id, text, similarity, words, lanes, deals)
+
+
+def _kept_similar(
+    docs: DataFrame, id: str, text: str, similarity: float, words: int, lanes: int, deals: int
+) -> DataFrame:
     source = docs.select(F.struct("*").alias("row"), F.col(id).alias("__id"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
     wide = source.mapInArrow(_wide_batches(words, lanes, text), f"{kinds}, __row bigint, __wide binary")
@@ -564,4 +574,5 @@ def keep_one_similar(
     reached = _reached(narrow, F.min(place).alias("least"), F.coalesce("least", "first"), 0, linked)
     kept = reached.select(F.col("least.__row").alias("__row")).distinct()
     gone = settle(narrow.select("__row").join(kept, "__row", "left_anti"))
+    release(classes)
     return rows.join(gone, "__row", "left_anti").select("row.*")

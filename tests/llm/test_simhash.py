@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from edulake import session
 from edulake.llm import graph, simhash
 from tests.llm import rules
 
@@ -132,6 +134,29 @@ def test_many_variants_of_one_text_leave_one(spark):
     assert simhash.keep_one_similar(docs.limit(0)).count() == 0
 
 
+def test_steps_leave_no_files_behind(spark, monkeypatch):
+    """Shuffle files go with the step that wrote them, and tables with the last step that reads them."""
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+    monkeypatch.setattr(session, "_SETTLED", [])
+    before, name = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    docs = spark.createDataFrame([(k, invented_words(k // 2, 60)) for k in range(40)], "doc_id bigint, text string")
+    kept = simhash.keep_one_similar(docs)
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and spark.conf.get(name) == was
+    columns = [spark.read.parquet(path).columns for path in session._SETTLED]
+    assert not [c for c in columns if c in (["print", "wide"], ["print", "group"])]
+    assert kept.count() == 20
+    session.release_settled(spark)
+
+
 def test_wide_bits_match_the_definition():
     hashes = [simhash.shingle_hashes(t.encode(), 5) for t in ("a b c d e f g", "x", "", "a b c d e f g " * 70)]
     counts = np.array([len(h) for h in hashes])
