@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from edulake.llm import dom, pii, wrapper
 from tests.llm.conftest import SCHEMA
@@ -170,6 +171,31 @@ def test_a_kind_that_runs_out_gets_longer_replacements(spark):
     assert len(own) == 10 == len({r.surrogate for r in found}) and not own & {r.surrogate for r in found}
 
 
+def test_the_quick_look_is_quick_and_finds_the_same(spark):
+    """Against the plain alternatives, on texts that nearly hold them and on long texts without any."""
+    honorifics = [*pii.FEMALE, *pii.MALE, *pii.EITHER]
+    words = "password passwd pwd secret token key".split()
+    plain = rf"[0-9@]|(?i:{'|'.join(words)})|(?:{'|'.join(honorifics)})(?!\p{{L}})|::"
+    choose = random.Random(5)
+    near = [w[:-1] for w in words + honorifics] + [w.swapcase() for w in words + honorifics] + words + honorifics
+    ends = ["", "s", "я", ".", ":", "::", " ", "@", "7", "ſ", "K"]
+    texts = [w + e for w in near for e in ends] + [e + w for w in near for e in ends] + ["Key", "ſecret"]
+    texts += ["".join(choose.choices("".join(near) + ": ", k=choose.randint(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [rows.select(F.col("text").rlike(p)).collect() for p in (plain, pii._HINT)]
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 2
+    long = " ".join("".join(choose.choices("abcdefghijlmnoruvwxyz", k=choose.randint(2, 9))) for _ in range(3000))
+    clean = spark.createDataFrame([(long,)] * 400, "text string").repartition(4).cache()
+    took = {}
+    for _ in range(3):
+        for p in (plain, pii._HINT):
+            begun = time.monotonic()
+            assert clean.where(F.col("text").rlike(p)).count() == 0
+            took[p] = min(took.get(p, 1e9), time.monotonic() - begun)
+    clean.unpersist()
+    assert took[pii._HINT] < 0.7 * took[plain]
+
+
 def test_no_rows(nothing):
     assert pii.replace_personal_data(nothing, "k").count() == 0
 
